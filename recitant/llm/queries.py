@@ -5,9 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import table
-from . import tokenizing
+from . import sentences, splitting, tokenizing
+
+
+def chapters_and_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Chapters and chunks as (rec_table, rec_id, *columns)."""
+    parts = [table(spark, sf_dir, name).select(F.lit(name).alias("rec_table"), F.col(key).alias("rec_id"), *columns) for name, key in (("chapters", "chapter_id"), ("chunks", "chunk_id"))]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = chapters_and_chunks(spark, sf_dir, "text", "limit_id")
+    pieces = splitting.split_rows(items, table(spark, sf_dir, "size_limits"), ["rec_table", "rec_id"], with_text=False)
+    return pieces.where("piece_no = 2").select("rec_table", "rec_id").distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of oversized chapters and chunks; a chunk delivered twice gives them once."""
+    items = chapters_and_chunks(spark, sf_dir, "text", "limit_id")
+    return splitting.split_rows(items, table(spark, sf_dir, "size_limits"), ["rec_table", "rec_id"]).dropDuplicates(["rec_table", "rec_id", "piece_no"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "chapters").join(table(spark, sf_dir, "sentence_checks"), "chapter_id", "left_semi")
+    return sentences.sentence_ends_of(asked, "chapter_id", "text")
+
+
+def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every chapter and chunk; chunks delivered twice appear once."""
+    chapters = sentences.sentences_of(table(spark, sf_dir, "chapters"), "chapter_id", "text").withColumnRenamed("chapter_id", "rec_id")
+    chunks = sentences.sentences_of(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]), "chunk_id", "text").withColumnRenamed("chunk_id", "rec_id")
+    return chapters.select(F.lit("chapters").alias("rec_table"), "*").unionByName(chunks.select(F.lit("chunks").alias("rec_table"), "*"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +51,10 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_sentences": p3_sentences,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
 }

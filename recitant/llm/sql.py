@@ -1,5 +1,10 @@
 """SQL for those queries that SQL can express."""
 
 SQL: dict[str, str] = {
+    "p2_found": """
+        WITH items AS (
+            SELECT 'chapters' AS rec_table, chapter_id AS rec_id, text, limit_id FROM chapters
+            UNION ALL SELECT 'chunks', chunk_id, text, limit_id FROM chunks)
+        SELECT DISTINCT rec_table, rec_id FROM items JOIN size_limits USING (limit_id) WHERE length(text) > max_chars""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
