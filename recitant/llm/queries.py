@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import sentences, splitting, tokenizing
+from . import packing, quality, sentences, splitting, tokenizing
 
 
 def chapters_and_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -50,6 +50,43 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.decode(p7_ids(spark, sf_dir), "doc_id", "ids")
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizing.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of every kind."""
+    return packing.pack(_sizes(spark, sf_dir), "doc_id", "n_tokens", table(spark, sf_dir, "containers"))
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document once, in containers of whichever kind wastes least."""
+    return packing.pack(_sizes(spark, sf_dir), "doc_id", "n_tokens", table(spark, sf_dir, "containers"), joint=True)
+
+
+def p8_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.unused_room(p8_containers(spark, sf_dir))
+
+
+def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The words of all languages: a fixed table of a few hundred rows."""
+    return [r[0] for r in table(spark, sf_dir, "common_words").select("word").distinct().limit(100_000).collect()]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.kinds(table(spark, sf_dir, "documents"), "doc_id", "text").where("doc_kind <> 'prose'")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics and the kind of every document."""
+    return quality.statistics(table(spark, sf_dir, "documents"), "doc_id", "text", _common_words(spark, sf_dir))
+
+
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that SQL can express too."""
+    return p9_report(spark, sf_dir).drop("ngram_coverage", "doc_kind")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -57,4 +94,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_sentences": p3_sentences,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
+    "p8_containers": p8_containers,
+    "p8_mixed": p8_mixed,
+    "p8_room": p8_room,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p9_stats": p9_stats,
 }
