@@ -13,6 +13,7 @@ give repeated rows; shares are rounded to 4 places.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -29,7 +30,7 @@ SYMBOLS = "#*/\\|@&%_{}[]"
 NO_SPACES = ((0x0E00, 0x0E7F), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF))
 OTHER, LETTER, MARK, DIGIT, BLANK, SYMBOL, SINGLE = range(7)
 
-_ended = re.compile(r"[.!?…。！？।॥؟۔;][”’\"'»“«)\]」』]*$")
+_ended = re.compile(r"[.!?…。！？।॥؟۔\u037e][”’\"'»“«)\]」』]*$")
 _paragraphs = re.compile(r"\n\s*\n")
 _words = re.compile(r"[฀-๿぀-ヿ㐀-䶿一-鿿]|[^\s฀-๿぀-ヿ㐀-䶿一-鿿]+")
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
@@ -254,7 +255,7 @@ def statistics(df: DataFrame, key: str, text: str, common_words: list[str]) -> D
     names = [key, "word_count", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share", "dup_line_share", "dup_paragraph_share", "ngram_coverage", "doc_kind"]
 
     def share(a: float, b: float) -> float:
-        return round(float(a) / float(b), 4) if b else 0.0
+        return math.floor(float(a) / float(b) * 10_000 + 0.5) / 10_000 if b else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -25,7 +25,7 @@ SQL: dict[str, str] = {
             CASE WHEN regexp_replace(t, '[{BLANK}]', '', 'g') = '' THEN 0.0
                 ELSE round(length(regexp_replace(t, '[^\p{{S}}#*/\\|@&%_{{}}\[\]]', '', 'g')) / length(regexp_replace(t, '[{BLANK}]', '', 'g')), 4) END AS symbol_ratio,
             CASE WHEN len(lines) = 0 THEN 0.0
-                ELSE round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…。！？।॥؟۔;][”’"''»“«)\]」』]*$'))) / len(lines), 4) END AS punct_line_share,
+                ELSE round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…。！？।॥؟۔\x{{037e}}][”’"''»“«)\]」』]*$'))) / len(lines), 4) END AS punct_line_share,
             CASE WHEN len(words) = 0 THEN 0.0
                 ELSE round(len(list_filter(words, lambda x: list_contains(common, lower(regexp_replace(x, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'))))) / len(words), 4) END AS common_word_share,
             CASE WHEN len(lines) = 0 THEN 0.0 ELSE round((len(lines) - len(list_distinct(lines))) / len(lines), 4) END AS dup_line_share,
