@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import packing, quality, sentences, splitting, tokenizing
+from . import encoding, packing, quality, samples, sentences, splitting, tokenizing
 
 
 def chapters_and_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -41,6 +41,34 @@ def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.select(F.lit("chapters").alias("rec_table"), "*").unionByName(chunks.select(F.lit("chunks").alias("rec_table"), "*"))
 
 
+#: Authors from which the dictionary of names is made.
+AUTHOR_ROWS = 20_000
+
+
+def _text_repairer(spark: SparkSession, sf_dir: str) -> encoding.Repairer:
+    return encoding.train(samples.training_texts(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources")))
+
+
+def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_table, rec_id, restored, chains, garbled) of chapters' texts and sources' authors."""
+    chapters = encoding.repair(table(spark, sf_dir, "chapters"), ["chapter_id"], "text", _text_repairer(spark, sf_dir))
+    sources = table(spark, sf_dir, "sources")
+    drawn = sources.where("author IS NOT NULL").orderBy(F.xxhash64("source_id"), "source_id").limit(AUTHOR_ROWS).select("author").collect()
+    authors = encoding.repair(sources, ["source_id"], "author", encoding.train_names([r[0] for r in drawn]), encoding.is_broken_name)
+    return chapters.select(F.lit("chapters").alias("rec_table"), F.col("chapter_id").alias("rec_id"), "restored", "chains", "garbled").unionByName(
+        authors.select(F.lit("sources").alias("rec_table"), F.col("source_id").alias("rec_id"), "restored", "chains", "garbled")
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restored(spark, sf_dir).where("garbled").select("rec_table", "rec_id")
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The original text of every garbled record, as far as it can be restored, with the chains undone."""
+    return _restored(spark, sf_dir).where("garbled").drop("garbled")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -92,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_sentences": p3_sentences,
+    "p6_found": p6_found,
+    "p6_restored": p6_restored,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_containers": p8_containers,
