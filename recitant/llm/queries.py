@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import encoding, packing, quality, samples, sentences, splitting, tokenizing
+from . import encoding, language, packing, quality, samples, sentences, splitting, tokenizing
 
 
 def chapters_and_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -41,6 +41,39 @@ def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.select(F.lit("chapters").alias("rec_table"), "*").unionByName(chunks.select(F.lit("chunks").alias("rec_table"), "*"))
 
 
+def _language_models(spark: SparkSession, sf_dir: str) -> tuple[language.Model, encoding.Repairer]:
+    texts = samples.training_texts(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources"))
+    common: dict[str, list[str]] = {}
+    for lang, word in table(spark, sf_dir, "common_words").select("lang", "word").distinct().limit(100_000).collect():
+        common.setdefault(lang, []).append(word)
+    return language.train(texts, common), encoding.train(texts)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the narrow result meets the labels, so no text is shuffled and source 417 is no hot group."""
+    model, repairer = _language_models(spark, sf_dir)
+    spoken = language.sentence_languages(table(spark, sf_dir, "chapters"), ["chapter_id", "source_id"], "text", model, repairer)
+    labels = table(spark, sf_dir, "sources").select("source_id", samples.labelled(F.col("language_tag")).alias("named"))
+    return spoken.join(labels, "source_id", "left").where("named IS NULL OR named <> lang").select("chapter_id", "lang").distinct()
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of one language in every chapter."""
+    model, repairer = _language_models(spark, sf_dir)
+    return language.segments(table(spark, sf_dir, "chapters"), "chapter_id", "text", model, repairer)
+
+
+def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every source by the words of its chapters: confidence is the words' confidence times their
+    share. A source without words has null and 0.0; ties go to the code that sorts first."""
+    words = p4_segments(spark, sf_dir).groupBy("chapter_id", "lang").agg(F.sum("n_words").alias("n"), F.sum(F.col("n_words") * F.col("confidence")).alias("c"))
+    of = table(spark, sf_dir, "chapters").select("chapter_id", "source_id")
+    by = words.join(of, "chapter_id").groupBy("source_id", "lang").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    best = by.groupBy("source_id").agg(F.max_by(F.struct("lang", "c"), F.struct("n", F.expr("-ascii(lang)"), F.expr("-ascii(substr(lang, 2))"))).alias("b"), F.sum("n").alias("total"))
+    out = best.select("source_id", F.col("b.lang").alias("lang"), F.round(F.col("b.c") / F.col("total"), 4).alias("confidence"))
+    return table(spark, sf_dir, "sources").select("source_id", "language_tag").join(out, "source_id", "left").select("source_id", "language_tag", "lang", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
 #: Authors from which the dictionary of names is made.
 AUTHOR_ROWS = 20_000
 
@@ -120,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_sentences": p3_sentences,
+    "p4_found": p4_found,
+    "p4_segments": p4_segments,
+    "p4_sources": p4_sources,
     "p6_found": p6_found,
     "p6_restored": p6_restored,
     "p7_ids": p7_ids,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Bounds of the training sample: rows drawn by hash from the whole table, then rows kept per language.
 SAMPLE_ROWS = 8_000
-ROWS_PER_LANGUAGE = 80
+ROWS_PER_LANGUAGE = 40
 
 # Spellings of the languages' names and codes.
 SPELLINGS = {
