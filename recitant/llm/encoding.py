@@ -16,11 +16,13 @@ cannot be restored; repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -73,6 +75,45 @@ SUSPICIOUS = re.compile(
     f"|(?<=[À-ÖØ-öø-ÿ]{{3}})|(?<=[a-z][À-ÖØ-Þ])(?=[a-z])|(?<=[A-Za-z][{_strange}])|(?<=[{_strange}])(?=[A-Za-zÀ-ÿ])|(?<=[А-яЁё][°±µ¶·№»])(?=[А-я])"
     "|(?<=[Α-ώ][¡-·À-ÿ£¥])|(?<=[‚„][Ä-ÿ]))"
 )
+
+
+@lru_cache(maxsize=1)
+def _pair_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rules of SUSPICIOUS as bits: odd characters; first and second characters of pairs, a bit a rule."""
+    odd, first, second = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=np.uint16), np.zeros(0x110000, dtype=np.uint16)
+
+    def members(chars: str) -> list[int]:
+        rule = re.compile(f"[{chars}]")
+        return [c for c in range(0x10000) if rule.match(chr(c))]
+
+    odd[members(f"\x80-\x84\x86-\x9f¤¦¨¬¯±-´µ¸¹¼-¾¢¥©®ÐÞÝðþý×÷ƒ‡ˆ‰˜†‹›ŠŽŸ\ufffdĂăĹĺĎďŃŘřŤťţŢđĆĐ─-╿⌐-⌡√≤≥∩≈≠∂∏∑∫∞◊‗‚ЂЃЄЇЉ-Џђѓєїљ-џҐґЎўｦ-ﾟ{_wide_remains}")] = True
+    letter = "À-ÖØ-öø-ÿ"
+    rules = [
+        ("¡-ª¬-º¼-¾", "А-я"), ("а-яё", "А-Я"), ("α-ώ", "Α-Ω"),
+        ("ÂÃÄÅÎÏÒÓÔÕØÙÑàáâãäåæçèéêëìíîï", "¡-ºˆ¼-¾€‚ƒ„†‡ˆ‰Š‹ŒŽ•–—˜™š›žŸ\xad"), ("ÂÃÄÅÎÏÒÓÔÕØÙ", "‘’“”…»«œ\xa0"),
+        (letter, letter), ("a-z", "À-ÖØ-Þ"), ("A-Za-z", _strange), (_strange, "A-Za-zÀ-ÿ"), ("А-яЁё", "°±µ¶·№»"), ("Α-ώ", "¡-·À-ÿ£¥"), ("‚„", "Ä-ÿ"),
+    ]
+    for bit, (a, b) in enumerate(rules):
+        first[members(a)] |= 1 << bit
+        second[members(b)] |= 1 << bit
+    return odd, first, second
+
+
+def suspicious(texts: list[str]) -> np.ndarray:
+    """For each text whether SUSPICIOUS may match: false only where it does not. One pass over all texts."""
+    out = np.zeros(len(texts), dtype=bool)
+    at = [k for k, t in enumerate(texts) if t and not t.isascii()]
+    for part in range(0, len(at), 256):
+        own = at[part : part + 256]
+        points = np.frombuffer("\n".join([texts[k] for k in own] + [""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        starts = np.concatenate([[0], np.cumsum([len(texts[k]) + 1 for k in own])[:-1]])
+        odd, first, second = _pair_tables()
+        hit = odd[points]
+        hit[1:] |= (first[points[:-1]] & second[points[1:]]) != 0
+        out[own] = np.logical_or.reduceat(hit, starts)
+    return out
+
+
 #: Remains of a wrong decoding that no chain undoes.
 BROKEN = re.compile(
     "\ufffd|â€|Ã[\x80-\xbf\xa0©¨ƒ‚„†‡ˆ‰Š‹ŒŽ–—˜™š›žŸ€]|Â[\xa0«»°·¿¡]|à[¤¥¸¹][\x80-\xbf‚-™ ]|ï»¿|Ð[\xa0-¿][ÐÑ]|锟斤拷|ã[€\x81\x82ƒ‚][\x80-¿‚-™]"
@@ -96,6 +137,13 @@ def byte_of(charset: str) -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=64)
+def byte_map(charset: str):
+    """``byte_of`` in the form that the codecs take."""
+    at = {b: c for c, b in byte_of(charset).items()}
+    return codecs.charmap_build("".join(at.get(b, "\ufffe") for b in range(256)))
+
+
 @lru_cache(maxsize=64)
 def utf8_runs(charset: str) -> re.Pattern:
     """Runs of valid multi-byte UTF-8 sequences as they look when read as ``charset``."""
@@ -123,11 +171,11 @@ def plausible(text: str, base: str = "") -> bool:
 
 
 def undo_utf8(text: str, charset: str) -> str:
-    table = byte_of(charset)
+    table = byte_map(charset)
 
     def fix(found: re.Match) -> str:
         try:
-            fixed = bytes(map(table.__getitem__, found.group())).decode("utf-8")
+            fixed = codecs.charmap_encode(found.group(), "strict", table)[0].decode("utf-8")
         except UnicodeDecodeError:
             return found.group()
         if ALLOWED.fullmatch(fixed) or SUSPICIOUS.search(fixed):
@@ -145,18 +193,45 @@ def undo_wide(text: str, wrong: str, right: str) -> str:
         return text
 
 
-def undo_pair(text: str, wrong: str, right: str) -> str:
+def undo_pairs(text: str, wrong: str, rights: list[str]) -> Iterator[tuple[str, str]]:
+    """(right, text with every run that ``wrong`` can encode read as ``right``) where that changes it."""
     if wrong in WIDE_READ_AS:
-        return undo_wide(text, wrong, right)
-    table = byte_of(wrong)
+        for right in rights:
+            if (fixed := undo_wide(text, wrong, right)) != text:
+                yield right, fixed
+        return
+    table, last, parts = byte_map(wrong), 0, []
+    for found in encodable_runs(wrong).finditer(text):
+        parts += [text[last : found.start()], codecs.charmap_encode(found.group(), "strict", table)[0]]
+        last = found.end()
+    if not parts:
+        return
+    parts.append(text[last:])
+    for right in rights:
+        out = []
+        for k, part in enumerate(parts):
+            if k % 2:
+                try:
+                    part = part.decode(right)
+                except UnicodeDecodeError:
+                    part = part.decode("latin-1").translate(_as_read(wrong))
+            out.append(part)
+        if (fixed := "".join(out)) != text:
+            yield right, fixed
+
+
+@lru_cache(maxsize=64)
+def _as_read(wrong: str) -> dict[int, str]:
+    return {b: c for c, b in byte_of(wrong).items()}
+
+
+def undo_pair(text: str, wrong: str, right: str) -> str:
+    return next((fixed for _, fixed in undo_pairs(text, wrong, [right])), text)
 
-    def fix(found: re.Match) -> str:
-        try:
-            return bytes(map(table.__getitem__, found.group())).decode(right)
-        except UnicodeDecodeError:
-            return found.group()
 
-    return encodable_runs(wrong).sub(fix, text)
+_rights: dict[str, list[str]] = {}
+for _wrong, _right in OTHER_PAIRS:
+    _rights.setdefault(_wrong, []).append(_right)
 
 
 _wide_runs = re.compile(r"[^\s\x00-\x7f]+(?:[\x21-\x7e]?[^\s\x00-\x7f]+)*[\x21-\x7e]?")
@@ -229,9 +304,10 @@ class Repairer:
                 out[fixed] = f"{charset}>utf-8"
         if any(not SUSPICIOUS.search(fixed) and self.unknown(fixed) == 0 for fixed in out):
             return out
-        for wrong, right in OTHER_PAIRS:
-            if (fixed := undo_pair(text, wrong, right)) != text and fixed not in out and plausible(fixed, text):
-                out[fixed] = f"{wrong}>{right}"
+        for wrong, rights in _rights.items():
+            for right, fixed in undo_pairs(text, wrong, rights):
+                if fixed not in out and plausible(fixed, text):
+                    out[fixed] = f"{wrong}>{right}"
         return out
 
     def unknown(self, text: str) -> int:
@@ -356,11 +432,12 @@ def repair(df: DataFrame, keys: list[str], text: str, repairer: Repairer, broken
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             restored, chains, garbled = [], [], []
-            for t in batch.column(len(keys)).to_pylist():
-                fixed, used = repairer.text(t) if t else (t, [])
+            texts = batch.column(len(keys)).to_pylist()
+            for t, close in zip(texts, suspicious(texts).tolist()):
+                fixed, used = repairer.text(t) if close else (t, [])
                 restored.append(fixed)
                 chains.append(used)
-                garbled.append(bool(used) or bool(t and broken(t)))
+                garbled.append(close and (bool(used) or broken(t)))
             columns = [*(batch.column(c) for c in range(len(keys))), pa.array(restored, pa.string()), pa.array(chains, pa.list_(pa.string())), pa.array(garbled, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names)
 

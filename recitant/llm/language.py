@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..tables import spread
-from .encoding import SUSPICIOUS, Repairer
+from .encoding import SUSPICIOUS, Repairer, suspicious
 from .samples import LANGUAGES, LATIN, clean_sentences
 from .sentences import sentence_ends
 
@@ -51,13 +51,25 @@ def trigrams(word: str) -> list[str]:
     return [w[k : k + 3] for k in range(len(w) - 2)]
 
 
+class Rows(dict):
+    """Word to the number of its score vector; unseen words are scored when asked for."""
+
+    def __init__(self, score):
+        super().__init__()
+        self.score, self.vectors = score, []
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self.vectors)
+        self.vectors.append(self.score(word))
+        return at
+
+
 class Model:
     """Trigram scores of the Latin languages, and whole words seen often in one of them."""
 
     def __init__(self, table: dict[str, np.ndarray], floor: np.ndarray, words: dict[str, np.ndarray]):
         self.table, self.floor, self.words = table, floor, words
-        self._vectors: dict[str, int] = {}
-        self._rows: list[np.ndarray] = []
+        self.rows = Rows(self._score)
 
     def __getstate__(self):
         return self.table, self.floor, self.words
@@ -65,15 +77,8 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def row(self, word: str) -> int:
-        """Number of the word's score vector: 0 is best, -BOUND at most as bad for a possible language."""
-        at = self._vectors.get(word)
-        if at is None:
-            at = self._vectors[word] = len(self._rows)
-            self._rows.append(self._score(word))
-        return at
-
     def _score(self, word: str) -> np.ndarray:
+        """0 is best; -BOUND is the worst that a word says against a language of its script."""
         out = np.full(N, -2 * BOUND, dtype=np.float32)
         c = word[0]
         if c < "Ͱ" or "Ḁ" <= c <= "ỿ":
@@ -97,15 +102,14 @@ class Model:
         return out
 
     def vectors_of(self, words: list[str]) -> np.ndarray:
-        return np.stack([self._rows[self.row(w)] for w in words])
+        return np.stack([self.rows.vectors[self.rows[w]] for w in words])
 
     def vectors(self) -> np.ndarray:
-        return np.stack(self._rows) if self._rows else np.zeros((1, N), dtype=np.float32)
+        return np.stack(self.rows.vectors) if self.rows.vectors else np.zeros((1, N), dtype=np.float32)
 
     def trim(self) -> None:
-        if len(self._rows) > 300_000:
-            self._vectors.clear()
-            self._rows.clear()
+        if len(self.rows) > 300_000:
+            self.rows = Rows(self._score)
 
 
 def train(samples: dict[str, list[str]], common_words: dict[str, list[str]]) -> Model:
@@ -184,13 +188,18 @@ def viterbi(rows: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> np.nda
     return labels
 
 
-def label_words(texts: list[str], model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(text number, labels, margins) for all texts; margins are those of the words' own scores."""
+def label_words(texts: list[str], model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[int]]]:
+    """(text number, labels, margins, word numbers at which its paragraphs begin) for all texts; margins are
+    those of the words' own scores."""
     at = 0
     while at < len(texts):
-        rows, starts, first = array("i"), [0], at
+        rows, starts, marks, first, number = array("i"), [0], [], at, model.rows.__getitem__
         while at < len(texts) and (len(rows) < BATCH_WORDS or at == first):
-            rows.extend(map(model.row, _word.findall(texts[at])))
+            begins = []
+            for part in _paragraph.split(texts[at]):
+                begins.append(len(rows) - starts[-1])
+                rows.extend(map(number, _word.findall(part)))
+            marks.append(begins)
             starts.append(len(rows))
             at += 1
         flat, begins, vectors = np.frombuffer(rows, dtype=np.int32) if rows else np.zeros(0, dtype=np.int32), np.array(starts), model.vectors()
@@ -198,7 +207,7 @@ def label_words(texts: list[str], model: Model) -> Iterator[tuple[int, np.ndarra
         own = vectors[flat, labels] if len(flat) else np.zeros(0)
         for k in range(first, at):
             a, b = starts[k - first], starts[k - first + 1]
-            yield k, labels[a:b], own[a:b]
+            yield k, labels[a:b], own[a:b], marks[k - first]
         model.trim()
 
 
@@ -211,13 +220,14 @@ _code = re.compile(r"[<>{}=|\\]|https?://|::|\(\)|\$\S")
 _final = re.compile(r"[.!?…。！？।؟۔;;][”’\"'»“«)\]」』]*$")
 
 
-def whole_sentences(text: str, labels: np.ndarray) -> Counter:
-    """Number of whole sentences in each language: text with a closing mark (or in Thai), at least three
-    words (six characters in scripts without spaces), four of five of them in that language, no code."""
-    out: Counter = Counter()
+def whole_sentences(text: str, labels: np.ndarray, ends: list[int]) -> set[str]:
+    """Languages of the whole sentences of a text whose sentences end at ``ends``: text with a closing mark (or in
+    Thai), at least three words (six characters in scripts without spaces), four of five of them in that
+    language, no code."""
+    out: set[str] = set()
     spans = [m.span() for m in _word.finditer(text)]
     k, last = 0, 0
-    for end in sentence_ends([text])[0]:
+    for end in ends:
         first = k
         while k < len(spans) and spans[k][0] < end:
             k += 1
@@ -225,27 +235,61 @@ def whole_sentences(text: str, labels: np.ndarray) -> Counter:
         last = end
         if k == first:
             continue
-        weights = np.zeros(N)
-        for j in range(first, k):
-            weights[labels[j]] += 1 if LANGUAGES[labels[j]] not in ("zh", "ja", "th") else spans[j][1] - spans[j][0]
-        lang = int(weights.argmax())
-        name = LANGUAGES[lang]
-        if weights[lang] < 0.8 * weights.sum() or weights[lang] < (6 if name in ("zh", "ja", "th") else 2 if name in ("ko", "hi", "ar") else 3):
+        own = labels[first:k]
+        if (own == own[0]).all():
+            lang, share = int(own[0]), 1.0
+            name = LANGUAGES[lang]
+            weight = k - first if name not in ("zh", "ja", "th") else sum(b - a for a, b in spans[first:k])
+        else:
+            weights = np.zeros(N)
+            for j in range(first, k):
+                weights[labels[j]] += 1 if LANGUAGES[labels[j]] not in ("zh", "ja", "th") else spans[j][1] - spans[j][0]
+            lang = int(weights.argmax())
+            name, weight, share = LANGUAGES[lang], weights[lang], weights[lang] / weights.sum()
+        if name in out or share < 0.8 or weight < (6 if name in ("zh", "ja", "th") else 2 if name in ("ko", "hi", "ar") else 3):
             continue
         if _code.search(sentence) and len(sentence) < 60:
             continue
         if name == "th" or _final.search(sentence):
-            out[name] += 1
+            out.add(name)
     return out
 
 
-def has_whole_sentence(text: str, lang: int) -> bool:
-    """Whether a text in one language alone has a whole sentence: paragraphs are looked at until one has."""
-    for part in _paragraph.split(text):
-        words = _word.findall(part)
-        if words and whole_sentences(part, np.full(len(words), lang, dtype=np.uint8)):
-            return True
-    return False
+def languages_of(texts: list[str], model: Model) -> list[set[str]]:
+    """For each text the languages in which it has a whole sentence.
+
+    Blank lines end sentences, so paragraphs can be looked at alone: for each language that has words in a
+    text, its paragraphs are taken, the smallest that may hold a sentence first, twice as many each time, until one
+    has a whole sentence or all were looked at.
+    """
+    found: list[set[str]] = [set() for _ in texts]
+    wanted: dict[int, dict[str, list[int]]] = {}
+    shown: dict[int, tuple[np.ndarray, list[int], list[str]]] = {}
+    for k, labels, _, begins in label_words(texts, model):
+        if len(labels):
+            shown[k] = (labels, [*begins, len(labels)], _paragraph.split(texts[k]))
+            wanted[k] = {}
+            for lang in np.unique(labels).tolist():
+                held = np.add.reduceat(np.append(labels == lang, False), np.minimum(begins, len(labels)), dtype=np.int64)
+                held[np.diff(shown[k][1]) == 0] = 0
+                order = np.lexsort((held, held < 8))  # the smallest that will do first
+                wanted[k][LANGUAGES[lang]] = order[held[order] > 0].tolist()
+    size, seen = 1, set()
+    while wanted:
+        look = []
+        for k, languages in wanted.items():
+            for lang, parts in languages.items():
+                for p in parts[:size]:
+                    if (k, p) not in seen:
+                        seen.add((k, p))
+                        look.append((k, p))
+                del parts[:size]
+        for (k, p), ends in zip(look, sentence_ends([shown[k][2][p] for k, p in look])):
+            labels, begins, parts = shown[k]
+            found[k] |= whole_sentences(parts[p], labels[begins[p] : begins[p + 1]], ends)
+        wanted = {k: rest for k, languages in wanted.items() if (rest := {x: y for x, y in languages.items() if y and x not in found[k]})}
+        size *= 2
+    return found
 
 
 _paragraph = re.compile(r"(?:\r\n|[\r\n])[^\S\r\n]*(?:\r\n|[\r\n])\s*")
@@ -258,25 +302,17 @@ def sentence_languages(df: DataFrame, keys: list[str], text: str, model: Model,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_restored(t, repairer) for t in batch.column(width).to_pylist()]
-            rows: list[tuple[int, str]] = []
-            for k, labels, _ in label_words(texts, model):
-                if not len(labels):
-                    continue
-                if (labels == labels[0]).all():
-                    rows += [(k, LANGUAGES[labels[0]])] * has_whole_sentence(texts[k], int(labels[0]))
-                else:
-                    rows += [(k, lang) for lang in sorted(whole_sentences(texts[k], labels))]
+            texts = _restored(batch.column(width).to_pylist(), repairer)
+            rows = [(k, lang) for k, spoken in enumerate(languages_of(texts, model)) for lang in sorted(spoken)]
             at = pa.array([r[0] for r in rows], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(width)), pa.array([r[1] for r in rows], pa.string())], [*keys, "lang"])
 
     return spread(df.select(*keys, text), *keys).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", lang string")
 
 
-def _restored(text: str | None, repairer: Repairer | None) -> str:
-    if not text:
-        return ""
-    return repairer.text(text)[0] if repairer and SUSPICIOUS.search(text) else text
+def _restored(texts: list[str | None], repairer: Repairer | None) -> list[str]:
+    plain = [t or "" for t in texts]
+    return [repairer.text(t)[0] if close else t for t, close in zip(plain, suspicious(plain).tolist())] if repairer else plain
 
 
 def segments(df: DataFrame, key: str, text: str, model: Model, repairer: Repairer | None = None) -> DataFrame:
@@ -288,9 +324,9 @@ def segments(df: DataFrame, key: str, text: str, model: Model, repairer: Repaire
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_restored(t, repairer) for t in batch.column(1).to_pylist()]
+            texts = _restored(batch.column(1).to_pylist(), repairer)
             rows: list[tuple] = []
-            for k, labels, own in label_words(texts, model):
+            for k, labels, own, _ in label_words(texts, model):
                 if not len(labels):
                     continue
                 spans = [m.span() for m in _word.finditer(texts[k])]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import encoding, language, packing, quality, samples, sentences, splitting, tokenizing
+from . import canonical, encoding, language, packing, quality, samples, sentences, splitting, tokenizing
 
 
 def chapters_and_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -74,6 +74,19 @@ def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "sources").select("source_id", "language_tag").join(out, "source_id", "left").select("source_id", "language_tag", "lang", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
+def _scripts(spark: SparkSession, sf_dir: str) -> canonical.Scripts:
+    return canonical.train(samples.training_texts(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.look_alike_pairs(table(spark, sf_dir, "chapters"), "chapter_id", "source_id", ["title", "text"], _scripts(spark, sf_dir))
+
+
+def p5_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and text of every chapter in their one form."""
+    return canonical.canonical_texts(table(spark, sf_dir, "chapters"), ["chapter_id"], ["title", "text"], _scripts(spark, sf_dir))
+
+
 #: Authors from which the dictionary of names is made.
 AUTHOR_ROWS = 20_000
 
@@ -156,6 +169,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_segments": p4_segments,
     "p4_sources": p4_sources,
+    "p5_found": p5_found,
+    "p5_normalized": p5_normalized,
     "p6_found": p6_found,
     "p6_restored": p6_restored,
     "p7_ids": p7_ids,
