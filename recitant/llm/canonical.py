@@ -160,8 +160,8 @@ def canonical(text: str | None, scripts: Scripts) -> str | None:
     if len(present) == 1 and scripts_here == present:
         return text
     text = unicodedata.normalize("NFD", text)
-    if len(present) == 1:
-        return unicodedata.normalize("NFC", text.translate(_to[present[0]]))
+    if len(present) < 2:  # letters that all could be of any script are taken as Latin
+        return unicodedata.normalize("NFC", text.translate(_to[present[0] if present else 0]))
     tokens = [m.span() for m in _token.finditer(text)]
     states, back = [0.0] * SCRIPTS, []
     for a, b in tokens:

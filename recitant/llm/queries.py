@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import canonical, encoding, language, packing, quality, samples, sentences, splitting, tokenizing
+from . import canonical, encoding, language, markup, packing, quality, samples, sentences, splitting, tokenizing
 
 
 def chapters_and_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -17,6 +17,17 @@ def chapters_and_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> Data
     return parts[0].unionByName(parts[1])
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.find(chapters_and_chunks(spark, sf_dir, "text"), ["rec_table", "rec_id"], "text").distinct()
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean text and blocks of every chapter and chunk; a chunk delivered twice appears once."""
+    chapters = table(spark, sf_dir, "chapters").select(F.lit("chapters").alias("rec_table"), F.col("chapter_id").alias("rec_id"), "text")
+    chunks = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]).select(F.lit("chunks").alias("rec_table"), F.col("chunk_id").alias("rec_id"), "text")
+    return markup.convert(chapters.unionByName(chunks), ["rec_table", "rec_id"], "text")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = chapters_and_chunks(spark, sf_dir, "text", "limit_id")
     pieces = splitting.split_rows(items, table(spark, sf_dir, "size_limits"), ["rec_table", "rec_id"], with_text=False)
@@ -162,6 +173,8 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clean": p1_clean,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
