@@ -153,6 +153,11 @@ def utf8_runs(charset: str) -> re.Pattern:
     return re.compile(f"(?:{part(0xC2, 0xDF)}{tail}|{part(0xE0, 0xEF)}{tail}{tail}|{part(0xF0, 0xF4)}{tail}{tail}{tail})+")
 
 
+@lru_cache(maxsize=64)
+def high_characters(charset: str) -> frozenset[str]:
+    return frozenset(c for c, b in byte_of(charset).items() if b >= 0x80)
+
+
 @lru_cache(maxsize=64)
 def encodable_runs(charset: str) -> re.Pattern:
     high = "".join(re.escape(c) for c, b in byte_of(charset).items() if b >= 0x80)
@@ -295,9 +300,12 @@ class Repairer:
         return best
 
     def candidates(self, text: str) -> dict[str, str]:
+        """Restored text to chain step, for every step whose wrong set has most of the suspicious characters."""
         out: dict[str, str] = {}
+        odd = set(SUSPICIOUS.findall(text))
+        fits = lambda charset: 2 * len(odd & high_characters(charset)) >= len(odd)
         for charset in UTF8_READ_AS:
-            if (fixed := undo_utf8(text, charset)) != text and fixed not in out and plausible(fixed, text):
+            if fits(charset) and (fixed := undo_utf8(text, charset)) != text and fixed not in out and plausible(fixed, text):
                 out[fixed] = f"{charset}>utf-8"
         for charset in WIDE_READ_AS:
             if (fixed := undo_wide_utf8(text, charset)) != text and fixed not in out and plausible(fixed, text):
@@ -305,6 +313,8 @@ class Repairer:
         if any(not SUSPICIOUS.search(fixed) and self.unknown(fixed) == 0 for fixed in out):
             return out
         for wrong, rights in _rights.items():
+            if wrong not in WIDE_READ_AS and not fits(wrong):
+                continue
             for right, fixed in undo_pairs(text, wrong, rights):
                 if fixed not in out and plausible(fixed, text):
                     out[fixed] = f"{wrong}>{right}"

@@ -163,7 +163,8 @@ def viterbi(rows: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> np.nda
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts with more than t words
     best = vectors[rows[begins[: active[0]]]].astype(np.float32)
     stays, tops = [], []
-    final = np.zeros((len(sizes), N), dtype=np.float32)
+    width = vectors.shape[1]
+    final = np.zeros((len(sizes), width), dtype=np.float32)
     for t in range(1, longest):
         n = int(active[t])
         if n < len(best):
@@ -183,11 +184,28 @@ def viterbi(rows: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> np.nda
         n = int(active[t])
         labels[begins[:n] + t] = state[:n]
         if t:
-            stay = np.unpackbits(stays[t - 1], axis=1, count=N)[np.arange(n), state[:n]]
+            stay = np.unpackbits(stays[t - 1], axis=1, count=width)[np.arange(n), state[:n]]
             state[:n] = np.where(stay, state[:n], tops[t - 1])
     return labels
 
 
+def _labels(rows: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """``viterbi`` where the texts whose words are all Latin are searched among the Latin languages alone."""
+    if not len(rows):
+        return np.zeros(0, dtype=np.uint8)
+    latin = vectors[:, _latin_at].max(axis=1) == 0
+    filled = np.flatnonzero(np.diff(starts) > 0)
+    alone = np.zeros(len(starts) - 1, dtype=bool)
+    alone[filled] = np.logical_and.reduceat(latin[rows], starts[filled])
+    labels = np.zeros(len(rows), dtype=np.uint8)
+    for chosen, columns in ((alone, _latin_at), (~alone, list(range(N)))):
+        mask = np.repeat(chosen, np.diff(starts))
+        if mask.any():
+            bounds = np.concatenate([[0], np.cumsum(np.diff(starts)[chosen])])
+            labels[mask] = np.array(columns, dtype=np.uint8)[viterbi(rows[mask], bounds, np.ascontiguousarray(vectors[:, columns]))]
+    return labels
+
+
 def label_words(texts: list[str], model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[int]]]:
     """(text number, labels, margins, word numbers at which its paragraphs begin) for all texts; margins are
     those of the words' own scores."""
@@ -203,7 +221,7 @@ def label_words(texts: list[str], model: Model) -> Iterator[tuple[int, np.ndarra
             starts.append(len(rows))
             at += 1
         flat, begins, vectors = np.frombuffer(rows, dtype=np.int32) if rows else np.zeros(0, dtype=np.int32), np.array(starts), model.vectors()
-        labels = viterbi(flat, begins, vectors)
+        labels = _labels(flat, begins, vectors)
         own = vectors[flat, labels] if len(flat) else np.zeros(0)
         for k in range(first, at):
             a, b = starts[k - first], starts[k - first + 1]
