@@ -100,8 +100,8 @@ def _pair_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def suspicious(texts: list[str]) -> np.ndarray:
-    """For each text whether SUSPICIOUS may match: false only where it does not. One pass over all texts."""
-    out = np.zeros(len(texts), dtype=bool)
+    """For each text at how many places SUSPICIOUS may match, never fewer than it does. One pass over all texts."""
+    out = np.zeros(len(texts), dtype=np.int64)
     at = [k for k, t in enumerate(texts) if t and not t.isascii()]
     for part in range(0, len(at), 256):
         own = at[part : part + 256]
@@ -110,7 +110,7 @@ def suspicious(texts: list[str]) -> np.ndarray:
         odd, first, second = _pair_tables()
         hit = odd[points]
         hit[1:] |= (first[points[:-1]] & second[points[1:]]) != 0
-        out[own] = np.logical_or.reduceat(hit, starts)
+        out[own] = np.add.reduceat(hit, starts, dtype=np.int64)
     return out
 
 
@@ -447,7 +447,7 @@ def repair(df: DataFrame, keys: list[str], text: str, repairer: Repairer, broken
                 fixed, used = repairer.text(t) if close else (t, [])
                 restored.append(fixed)
                 chains.append(used)
-                garbled.append(close and (bool(used) or broken(t)))
+                garbled.append(bool(close) and (bool(used) or broken(t)))
             columns = [*(batch.column(c) for c in range(len(keys))), pa.array(restored, pa.string()), pa.array(chains, pa.list_(pa.string())), pa.array(garbled, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -33,13 +33,18 @@ from .sentences import sentence_ends
 #: Cost of a switch, and bound of what one word can say against a language, in nats.
 SWITCH = 7.0
 BOUND = 4.0
+#: Suspicious places from which on a text is restored before it is labelled: a garbled sentence has more, and
+#: fewer leave the language of the words around them clear.
+GARBLED_PLACES = 5
 #: Words that a batch of texts labels at once; bounds memory, changes no result.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 2_500_000
 
 _word = re.compile(
     r"[A-Za-zÀ-ɏḀ-ỿ̀-ͯ]+|[Ѐ-ԯ]+|[Ͱ-Ͽἀ-῿]+|[؀-ۿ]+|[ऀ-ॿ]+|[฀-๿]+|[가-힣]+|[぀-ヿ㐀-䶿一-鿿々]+"
 )
+_ascii_word = re.compile("[A-Za-z]+")
 _kana = re.compile("[぀-ヿ]")
+BLANK_LINE = "\n\n"  # other blank lines may stay inside a paragraph, where the sentence rules see them
 N = len(LANGUAGES)
 AT = {lang: k for k, lang in enumerate(LANGUAGES)}
 _alone = {"Ѐ": "ru", "Ͱ": "el", "؀": "ar", "ऀ": "hi", "฀": "th", "가": "ko"}
@@ -214,9 +219,10 @@ def label_words(texts: list[str], model: Model) -> Iterator[tuple[int, np.ndarra
         rows, starts, marks, first, number = array("i"), [0], [], at, model.rows.__getitem__
         while at < len(texts) and (len(rows) < BATCH_WORDS or at == first):
             begins = []
-            for part in _paragraph.split(texts[at]):
+            find = (_ascii_word if texts[at].isascii() else _word).findall
+            for part in texts[at].split(BLANK_LINE):
                 begins.append(len(rows) - starts[-1])
-                rows.extend(map(number, _word.findall(part)))
+                rows.extend(map(number, find(part)))
             marks.append(begins)
             starts.append(len(rows))
             at += 1
@@ -284,14 +290,20 @@ def languages_of(texts: list[str], model: Model) -> list[set[str]]:
     wanted: dict[int, dict[str, list[int]]] = {}
     shown: dict[int, tuple[np.ndarray, list[int], list[str]]] = {}
     for k, labels, _, begins in label_words(texts, model):
-        if len(labels):
-            shown[k] = (labels, [*begins, len(labels)], _paragraph.split(texts[k]))
-            wanted[k] = {}
-            for lang in np.unique(labels).tolist():
-                held = np.add.reduceat(np.append(labels == lang, False), np.minimum(begins, len(labels)), dtype=np.int64)
-                held[np.diff(shown[k][1]) == 0] = 0
-                order = np.lexsort((held, held < 8))  # the smallest that will do first
-                wanted[k][LANGUAGES[lang]] = order[held[order] > 0].tolist()
+        if not len(labels):
+            continue
+        bounds = [*begins, len(labels)]
+        shown[k] = (labels, bounds, texts[k].split(BLANK_LINE))
+        if labels.min() == labels.max():
+            held = [b - a for a, b in zip(bounds, bounds[1:])]
+            wanted[k] = {LANGUAGES[labels[0]]: sorted((p for p, n in enumerate(held) if n), key=lambda p: (held[p] < 8, held[p]))}
+            continue
+        wanted[k] = {}
+        for lang in np.unique(labels).tolist():
+            held = np.add.reduceat(np.append(labels == lang, False), np.minimum(begins, len(labels)), dtype=np.int64)
+            held[np.diff(bounds) == 0] = 0
+            order = np.lexsort((held, held < 8))  # the smallest that will do first
+            wanted[k][LANGUAGES[lang]] = order[held[order] > 0].tolist()
     size, seen = 1, set()
     while wanted:
         look = []
@@ -310,9 +322,6 @@ def languages_of(texts: list[str], model: Model) -> list[set[str]]:
     return found
 
 
-_paragraph = re.compile(r"(?:\r\n|[\r\n])[^\S\r\n]*(?:\r\n|[\r\n])\s*")
-
-
 def sentence_languages(df: DataFrame, keys: list[str], text: str, model: Model, repairer: Repairer | None = None) -> DataFrame:
     """(*keys, lang): every language in which a text has at least one whole sentence. Garbled text is
     restored first if a repairer is given."""
@@ -330,7 +339,7 @@ def sentence_languages(df: DataFrame, keys: list[str], text: str, model: Model,
 
 def _restored(texts: list[str | None], repairer: Repairer | None) -> list[str]:
     plain = [t or "" for t in texts]
-    return [repairer.text(t)[0] if close else t for t, close in zip(plain, suspicious(plain).tolist())] if repairer else plain
+    return [repairer.text(t)[0] if places >= GARBLED_PLACES else t for t, places in zip(plain, suspicious(plain).tolist())] if repairer else plain
 
 
 def segments(df: DataFrame, key: str, text: str, model: Model, repairer: Repairer | None = None) -> DataFrame:
