@@ -298,7 +298,7 @@ def labelled_pages(number: int = 700, seed: int = 11) -> list[tuple[str, list[st
         lambda: f"<p>{s()}", lambda: f"{s()}</p>", lambda: f'<p class="body">{s()}</p>', lambda: around(f"<b>{w()}</b>"), lambda: around(f"<i>{w()}</i>"), lambda: around(f"<em>{w()}</em>"),
         lambda: around(f'<a href="x{n()}.xhtml#n{n()}">{w()}</a>'), lambda: around(f"<sup>{n()}</sup>"), lambda: f"<div>{s()}", lambda: f'<span class="c{n()}">{s()}</span>', lambda: around(f"{w()}<br/>{w()}"),
         lambda: around(f"<strong>{w()}</strong>"), lambda: around(f"<small>{w()}"), lambda: around(f"&{chance.choice(['nbsp', 'amp', 'mdash', 'ldquo', 'rsquo', 'eacute', 'lt', 'gt', '#8212', '#x2014'])};"),
-        lambda: around(f"<ref>{w()}, {n()}</ref>"), lambda: f"<poem>{s()}", lambda: f"{s()}</poem>", lambda: around(f"<!-- {w()} -->"), lambda: around(f"&lt;i&gt;{w()}&lt;/i&gt;"),
+        lambda: around(f"<ref>{w()}, {n()}</ref>"), lambda: f"<blockquote>{w(2, 6)}</blockquote>", lambda: f"<center>{w(2, 6)}</center>", lambda: f"<poem>{s()}", lambda: f"{s()}</poem>", lambda: around(f"<!-- {w()} -->"), lambda: around(f"&lt;i&gt;{w()}&lt;/i&gt;"),
         lambda: around(f"**{w()}**"), lambda: around(f"*{w()}*"), lambda: around(f"_{w()}_"), lambda: around(f"__{w()}__"), lambda: around(f"***{w()}***"), lambda: around(f"`{w()}`"), lambda: around(f"~~{w()}~~"),
         lambda: around(f"[{w()}](notes.md#n{n()})"), lambda: around(f"[{w()}][ref{n()}]"), lambda: around(f"![{w()}](plates/p{n()}.png)"), lambda: around(f"{w()}[^{n()}]"), lambda: f"> {s()}", lambda: f"[^{n()}]: {s()}",
         lambda: around(rf"\*{w()}"), lambda: around(rf"{w()} \& {w()}\\"), lambda: f"{s()}  \\*",
@@ -411,7 +411,7 @@ def clean(text: str | None, field: Field) -> tuple[str | None, list[tuple[str, s
         lines.append(text[at:a])
         line = text[a:b]
         if x == AT["code"]:
-            bare = re.sub(r"</?(?:pre|code|syntaxhighlight)\b[^<>]*>", "", line, flags=re.I)
+            bare = re.sub(_tag, "", line, flags=re.I)
             line = store("    " + html.unescape(bare.strip("`")))
         elif x == AT["prose"]:
             line = store(line)
