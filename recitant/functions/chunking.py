@@ -7,7 +7,7 @@ while they are packed (JOINT) and are joined by one space when they are done.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import LINE_END, WS, collapse, strip
@@ -76,13 +76,15 @@ def chunks(text: Column, limit: int) -> Column:
     return F.transform(packed, lambda x: F.replace(x, F.lit(JOINT), F.lit(" ")))
 
 
-def sections(text: Column) -> Column:
-    """array<struct<heading, body>>: short lines of plain words are headings; a heading without body gives way
-    to the next one; blank runs become one blank line."""
-    lines = F.filter(F.transform(F.split(text, LINE_END), lambda x: F.when(strip(x) == "", F.lit("")).otherwise(x)), lambda x: x.isNotNull())
-    is_heading = lambda x: (F.length(x) < 120) & x.rlike(r"^[A-Z0-9][A-Za-z0-9 ,:'\"()/-]{0,118}\z")
-    indexed = F.transform(lines, lambda x, k: F.struct(x.alias("line"), k.alias("at"), is_heading(x).alias("heading")))
-    marks = F.concat(F.array(F.lit(-1)), F.transform(F.filter(indexed, lambda s: s["heading"]), lambda s: s["at"]))
+def with_sections(df: DataFrame, text: str, name: str = "sections") -> DataFrame:
+    """Adds array<struct<heading, body>>: short lines of plain words are headings; a heading without body gives
+    way to the next one; blank runs become one blank line. Null for null.
+
+    Arrays that a later step reads by position are columns of their own, computed once a row."""
+    lines, marks = F.col("_lines"), F.col("_marks")
+    cut = df.withColumn("_lines", F.transform(F.transform(F.split(text, LINE_END), lambda x: F.struct(x.alias("x"), strip(x).alias("y"))), lambda s: F.when(s["y"] == "", F.lit("")).otherwise(s["x"])))
+    found = F.filter(F.transform(lines, lambda x, k: F.when((F.length(x) < 120) & x.rlike(r"^[A-Z0-9][A-Za-z0-9 ,:'\"()/-]{0,118}\z"), k)), lambda k: k.isNotNull())
+    marked = cut.withColumn("_marks", F.concat(F.array(F.lit(-1)), found))
     bodies = F.transform(
         marks,
         lambda at, k: F.struct(
@@ -90,7 +92,7 @@ def sections(text: Column) -> Column:
             strip(F.regexp_replace(F.array_join(F.slice(lines, at + 2, F.greatest(F.lit(0), F.coalesce(F.get(marks, k + 1), F.size(lines)) - at - 1)), "\n"), r"\n{3,}", "\n\n")).alias("body"),
         ),
     )
-    return F.filter(bodies, lambda s: s["body"] != "")
+    return marked.withColumn(name, F.filter(bodies, lambda s: s["body"] != "")).drop("_lines", "_marks")
 
 
 def retry_halves(text: Column) -> Column:

@@ -19,6 +19,7 @@ WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Line ends: every character that ends a line, CR LF as one.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 GROUP_SEPARATOR = " / "
+_BLANK = "\ue000"  # stands for a line that was blank from the start
 
 # Words that mark short sections, provider order, progress lines.
 SHORT_SECTIONS = ["title page", "table of contents", "copyright", "acknowledg", "dedication", "map", "maps", "cover", "foreword", "afterword", "synopsis", "about the author", "about the publisher"]
@@ -77,6 +78,10 @@ def without_front_matter(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?s)\A---[{WS}]*\n.*?\n---[{WS}]*\n", "")
 
 
+def _without(rule: str):
+    return lambda x: F.regexp_replace(x, rule, "")
+
+
 def clean_markdown(c: Column) -> Column:
     """Markdown to running text: fences out, links and code to their text, tags to blanks; then line by line
     without heading, quote, bullet and number marks; rules and table rules out; blank lines at most one."""
@@ -87,16 +92,13 @@ def clean_markdown(c: Column) -> Column:
     ):
         v = F.regexp_replace(v, rule, put)
 
-    def line(x: Column) -> Column:
-        y = strip(x)
-        for rule in (rf"^#{{1,6}}[{WS}]*", rf"^>[{WS}]*", rf"^[-*+][{WS}]+", rf"^\p{{Nd}}+\.[{WS}]+"):
-            y = F.regexp_replace(y, rule, "")
-        rule_line = y.rlike(rf"^[-|:{WS}]+\z")
-        y = collapse(F.translate(y, "|_*", "  "))
-        return F.when(strip(x) == "", F.lit("")).when(rule_line | (y == ""), F.lit(None).cast("string")).otherwise(y)
-
-    lines = F.filter(F.transform(F.split(v, LINE_END), line), lambda x: x.isNotNull())
-    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    # Each rule goes over all lines in a step of its own, so that no rule is evaluated more than once a line.
+    lines = F.transform(F.transform(F.split(v, LINE_END), strip), lambda x: F.when(x == "", F.lit(_BLANK)).otherwise(x))
+    for rule in (rf"^#{{1,6}}[{WS}]*", rf"^>[{WS}]*", rf"^[-*+][{WS}]+", rf"^\p{{Nd}}+\.[{WS}]+"):
+        lines = F.transform(lines, _without(rule))
+    lines = F.filter(lines, lambda x: ~x.rlike(rf"^[-|:{WS}]+\z"))
+    lines = F.filter(F.transform(lines, lambda x: collapse(F.translate(x, "|_*", "  "))), lambda x: x != "")
+    return strip(F.regexp_replace(F.translate(F.array_join(lines, "\n"), _BLANK, ""), r"\n{3,}", "\n\n"))
 
 
 def group_parts(c: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import chunking, text
 from ..operators import events, jobs, layout, render
 from ..sources import epub, markdown
 from ..streaming import phases as stream
-from ..tables import bounded_broadcast, table
+from ..tables import bounded_broadcast, spread, table
 from . import sql as s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def query(oracle: str | None = None):
     return register
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str, key: str, *more: str) -> DataFrame:
+    """Texts of a table by key, on all cores even where the table is one small file."""
+    return spread(table(spark, sf_dir, name).select(key, "text", *more), key)
+
+
 # ---- text to chunks
 @query(f"""
     SELECT doc_id, len(c)::BIGINT AS chunk_count, coalesce(list_max(list_transform(c, lambda z: length(z))), 0)::BIGINT AS max_chunk_chars,
@@ -37,7 +42,7 @@ def query(oracle: str | None = None):
     FROM (SELECT doc_id, {s.chunks('text', LIMIT)} AS c FROM documents WHERE text IS NOT NULL)""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c")
-    packed = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", chunking.chunks(F.col("text"), LIMIT).alias("c"))
+    packed = _texts(spark, sf_dir, "documents", "doc_id").where("text IS NOT NULL").select("doc_id", chunking.chunks(F.col("text"), LIMIT).alias("c"))
     return packed.select(
         "doc_id", F.size(c).cast("long").alias("chunk_count"), F.coalesce(F.array_max(F.transform(c, F.length)), F.lit(0)).cast("long").alias("max_chunk_chars"),
         F.size(F.filter(c, lambda x: F.length(x) > LIMIT)).cast("long").alias("oversize_chunks"), F.array_join(c, "\n").alias("chunks"),
@@ -47,13 +52,13 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT chapter_id, unnest(list_transform(range(1, len(c) + 1), lambda k: k::BIGINT)) AS chunk_no, unnest(c) AS chunk FROM (SELECT chapter_id, {s.chunks('text', LIMIT)} AS c FROM chapters WHERE text IS NOT NULL)")
 def chapter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of every chapter, numbered within it."""
-    return table(spark, sf_dir, "chapters").select("chapter_id", F.posexplode(chunking.chunks(F.col("text"), LIMIT)).alias("pos", "chunk")).select("chapter_id", (F.col("pos") + 1).cast("long").alias("chunk_no"), "chunk")
+    return _texts(spark, sf_dir, "chapters", "chapter_id").select("chapter_id", F.posexplode(chunking.chunks(F.col("text"), LIMIT)).alias("pos", "chunk")).select("chapter_id", (F.col("pos") + 1).cast("long").alias("chunk_no"), "chunk")
 
 
 @query(f"SELECT doc_id, len(x)::BIGINT AS n_sentences, coalesce(list_max(list_transform(x, lambda z: length(z))), 0)::BIGINT AS longest FROM (SELECT doc_id, {s.sentences('text')} AS x FROM documents WHERE text IS NOT NULL)")
 def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("x")
-    split = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", chunking.sentences(F.col("text")).alias("x"))
+    split = _texts(spark, sf_dir, "documents", "doc_id").where("text IS NOT NULL").select("doc_id", chunking.sentences(F.col("text")).alias("x"))
     return split.select("doc_id", F.size(x).cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform(x, F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
@@ -67,7 +72,7 @@ def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT chapter_id, count(*)::BIGINT AS n_sections, count(heading)::BIGINT AS n_headed, sum(length(body))::BIGINT AS body_chars FROM b WHERE coalesce(body, '') <> '' GROUP BY chapter_id""")
 def chapter_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections by headings in running text."""
-    made = table(spark, sf_dir, "chapters").select("chapter_id", chunking.sections(F.col("text")).alias("s")).where(F.size("s") > 0)
+    made = chunking.with_sections(_texts(spark, sf_dir, "chapters", "chapter_id"), "text", "s").where(F.size("s") > 0)
     return made.select(
         "chapter_id", F.size("s").cast("long").alias("n_sections"), F.size(F.filter("s", lambda x: x["heading"].isNotNull())).cast("long").alias("n_headed"),
         F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x["body"])).alias("body_chars"),
@@ -77,7 +82,7 @@ def chapter_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all sections with their heading, numbered over the chapter."""
-    made = table(spark, sf_dir, "chapters").select("chapter_id", F.flatten(F.transform(chunking.sections(F.col("text")), lambda x: F.transform(chunking.chunks(x["body"], LIMIT), lambda c: F.struct(x["heading"].alias("heading"), c.alias("chunk"))))).alias("c"))
+    made = chunking.with_sections(_texts(spark, sf_dir, "chapters", "chapter_id"), "text", "s").select("chapter_id", F.flatten(F.transform("s", lambda x: F.transform(chunking.chunks(x["body"], LIMIT), lambda c: F.struct(x["heading"].alias("heading"), c.alias("chunk"))))).alias("c"))
     return made.select("chapter_id", F.posexplode("c").alias("pos", "x")).select("chapter_id", (F.col("pos") + 1).alias("chunk_no"), "x.heading", "x.chunk")
 
 
@@ -91,12 +96,12 @@ def retry_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Markdown
 @query(f"SELECT chapter_id, {s.clean_markdown('text')} AS clean FROM chapters")
 def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chapters").select("chapter_id", text.clean_markdown(F.col("text")).alias("clean"))
+    return _texts(spark, sf_dir, "chapters", "chapter_id").select("chapter_id", text.clean_markdown(F.col("text")).alias("clean"))
 
 
 @query()
 def clean_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chapters").select("chapter_id", text.clean_plain(F.col("text")).alias("clean"))
+    return _texts(spark, sf_dir, "chapters", "chapter_id").select("chapter_id", text.clean_plain(F.col("text")).alias("clean"))
 
 
 _lines = f"regexp_split_to_array(replace(text, chr(13) || chr(10), chr(10)), '{s.LINE_END}')"
@@ -106,8 +111,7 @@ _level = "coalesce(" + ", ".join(f"CASE WHEN len(list_filter(ls, lambda l: regex
 @query(f"SELECT chapter_id, ({_level})::BIGINT AS level FROM (SELECT chapter_id, {_lines} AS ls FROM chapters WHERE text IS NOT NULL)")
 def md_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heading level that would divide each text."""
-    lines = F.split(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), text.LINE_END)
-    return table(spark, sf_dir, "chapters").where("text IS NOT NULL").select("chapter_id", markdown.heading_level(lines).cast("long").alias("level"))
+    return markdown.heading_levels(_texts(spark, sf_dir, "chapters", "chapter_id"), "chapter_id", "text")
 
 
 @query(f"""
@@ -124,8 +128,8 @@ def md_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY g) AS part_no, title, text FROM (SELECT * FROM k UNION ALL SELECT * FROM e)""")
 def md_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chapter's text read as a Markdown document of its own."""
-    made = table(spark, sf_dir, "chapters").where("text IS NOT NULL").select("chapter_id", F.posexplode(markdown.chapters(F.col("text"), F.coalesce("title", F.lit("Untitled")))).alias("pos", "c"))
-    return made.select("chapter_id", (F.col("pos") + 1).cast("long").alias("part_no"), "c.title", "c.text")
+    named = _texts(spark, sf_dir, "chapters", "chapter_id", "title").withColumn("fallback", F.coalesce("title", F.lit("Untitled")))
+    return markdown.chapters(named, ["chapter_id"], "text", "fallback")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_END, WS, clean_markdown, strip
@@ -16,36 +16,45 @@ MAX_LEVEL = 4
 _heading = rf"^(#{{1,6}})[{WS}]+(.+)$"
 
 
-def heading_level(lines: Column, wanted: int = 0) -> Column:
-    """The level that divides chapters: the wanted one, else the first of 1 to 4 with more than one heading,
-    else 4."""
+def _marked(df: DataFrame, text: str, wanted: int) -> DataFrame:
+    """Adds the lines, their heading levels (0 for none) and the level that divides chapters: the wanted one,
+    else the first of 1 to 4 with more than one heading, else 4. Each is a column, computed once a row."""
     if not 0 <= wanted <= MAX_LEVEL:
         raise ValueError(f"heading level must be 0 to {MAX_LEVEL}")
-    if wanted:
-        return F.lit(wanted)
-    count = lambda level: F.size(F.filter(lines, lambda x: strip(x).rlike(rf"^#{{{level}}}[{WS}]+.")))
-    return F.coalesce(*(F.when(count(level) > 1, F.lit(level)) for level in range(1, MAX_LEVEL + 1)), F.lit(MAX_LEVEL))
-
-
-def chapters(text: Column, fallback: Column, level: int = 0) -> Column:
-    """array<struct<title, text>> in order. Headings of the dividing level or above begin a chapter; chapters
-    without text go; a document without any is one chapter under the fallback title."""
-    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), LINE_END)
-    limit = heading_level(lines, level)
-    marked = F.transform(lines, lambda x, k: F.struct(F.length(F.regexp_extract(strip(x), _heading, 1)).alias("level"), strip(F.regexp_extract(strip(x), _heading, 2)).alias("title"), k.alias("at")))
-    starts = F.concat(
-        F.array(F.struct(F.lit(None).cast("string").alias("title"), F.lit(-1).alias("at"))),
-        F.transform(F.filter(marked, lambda s: (s["level"] > 0) & (s["level"] <= limit)), lambda s: F.struct(s["title"].alias("title"), s["at"].alias("at"))),
+    lines = df.withColumn("_lines", F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), LINE_END))
+    levels = lines.withColumn("_levels", F.transform(F.transform("_lines", strip), lambda x: F.when(F.startswith(x, F.lit("#")), F.length(F.regexp_extract(x, _heading, 1))).otherwise(F.lit(0))))
+    count = lambda level: F.size(F.filter("_levels", lambda x: x == level))
+    auto = F.coalesce(*(F.when(count(level) > 1, F.lit(level)) for level in range(1, MAX_LEVEL + 1)), F.lit(MAX_LEVEL))
+    return levels.withColumn("_level", F.lit(wanted) if wanted else auto)
+
+
+def heading_levels(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, level long): the heading level that would divide each text."""
+    return _marked(df.where(F.col(text).isNotNull()), text, 0).select(key, F.col("_level").cast("long").alias("level"))
+
+
+def chapters(df: DataFrame, keys: list[str], text: str, fallback: str, level: int = 0) -> DataFrame:
+    """(*keys, part_no long from 1, title, text). Headings of the dividing level or above begin a chapter;
+    chapters without text go; a document without any is one chapter under the title in column ``fallback``.
+    Null texts have no chapter."""
+    lines, starts = F.col("_lines"), F.col("_starts")
+    marked = _marked(df.where(F.col(text).isNotNull()).select(*keys, text, F.col(fallback).alias("_fallback")), text, level)
+    heads = F.filter(F.transform("_levels", lambda x, k: F.when((x > 0) & (x <= F.col("_level")), k)), lambda k: k.isNotNull())
+    cut = marked.withColumn("_starts", F.concat(F.array(F.lit(-1)), heads)).select(
+        *keys,
+        text,
+        "_fallback",
+        F.transform(
+            starts,
+            lambda at, k: F.struct(
+                F.when(at >= 0, strip(F.regexp_extract(strip(F.get(lines, at)), _heading, 2))).alias("title"),
+                F.array_join(F.slice(lines, at + 2, F.greatest(F.lit(0), F.coalesce(F.get(starts, k + 1), F.size(lines)) - at - 1)), "\n").alias("raw"),
+            ),
+        ).alias("_parts"),
     )
-    made = F.transform(
-        starts,
-        lambda s, k: F.struct(
-            F.coalesce(s["title"], fallback).alias("title"),
-            clean_markdown(F.array_join(F.slice(lines, s["at"] + 2, F.greatest(F.lit(0), F.coalesce(F.get(starts, k + 1)["at"], F.size(lines)) - s["at"] - 1)), "\n")).alias("text"),
-        ),
-    )
-    kept = F.filter(made, lambda s: s["text"] != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(fallback.alias("title"), clean_markdown(text).alias("text"))))
+    made = cut.withColumn("_made", F.filter(F.transform("_parts", lambda s: F.struct(F.coalesce(s["title"], F.col("_fallback")).alias("title"), clean_markdown(s["raw"]).alias("text"))), lambda s: s["text"] != ""))
+    kept = F.when(F.size("_made") > 0, F.col("_made")).otherwise(F.array(F.struct(F.col("_fallback").alias("title"), clean_markdown(F.col(text)).alias("text"))))
+    return made.select(*keys, F.posexplode(kept).alias("_pos", "_c")).select(*keys, (F.col("_pos") + 1).cast("long").alias("part_no"), "_c.title", "_c.text")
 
 
 def split_by_length(text: str, limit: int) -> list[str]:
@@ -83,8 +92,6 @@ def read(spark: SparkSession, paths: list[str], level: int = 0) -> DataFrame:
     """(source_path, chapter_index, title, text, group_path) of Markdown files, each read whole as UTF-8; the
     fallback title is the file's name without suffix."""
     importable(spark)
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value"))
-    stem = F.regexp_replace(F.url_decode(F.element_at(F.split("source_path", "/"), -1)), r"\.[^.]*$", "")
-    return files.select("source_path", F.posexplode(chapters(F.col("value"), stem, level)).alias("pos", "c")).select(
-        "source_path", (F.col("pos") + 1).alias("chapter_index"), "c.title", "c.text", F.lit(None).cast("string").alias("group_path")
-    )
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), "value", F.regexp_replace(F.url_decode(name), r"\.[^.]*$", "").alias("stem"))
+    return chapters(files, ["source_path"], "value", "stem", level).select("source_path", F.col("part_no").alias("chapter_index"), "title", "text", F.lit(None).cast("string").alias("group_path"))

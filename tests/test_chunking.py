@@ -74,7 +74,7 @@ def test_chunks_equal_the_loop(spark):
 
 def test_sections_and_halves(spark):
     df = spark.createDataFrame([("Title\nOther Title\nbody one.\n\n\nmore\nNext\n\nlast.",), ("no heading here.",), ("",), (None,)], "text string")
-    made = [r.s for r in df.select(chunking.sections(F.col("text")).alias("s")).collect()]
+    made = [r.s for r in chunking.with_sections(df, "text", "s").collect()]
     assert [(x.heading, x.body) for x in made[0]] == [("Other Title", "body one.\n\nmore"), ("Next", "last.")]
     assert [(x.heading, x.body) for x in made[1]] == [(None, "no heading here.")]
     assert made[2] == [] and made[3] is None

@@ -2,14 +2,13 @@ import io
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from recitant.sources import epub, markdown
 
 
 def chapters(spark, text, level=0):
-    df = spark.createDataFrame([(text,)], "v string").select(F.explode(markdown.chapters(F.col("v"), F.lit("Fallback"), level)).alias("c"))
-    return [(r.c.title, r.c.text) for r in df.collect()]
+    df = spark.createDataFrame([(1, text, "Fallback")], "k int, v string, f string")
+    return [(r.title, r.text) for r in markdown.chapters(df, ["k"], "v", "f", level).orderBy("part_no").collect()]
 
 
 def test_markdown_levels(spark):
