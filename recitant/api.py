@@ -22,9 +22,9 @@ MANIFEST = (
 class Options:
     """What a run may be told; defaults are those of a single run."""
 
-    voice: str = "af_sky"
+    voice: str = "af_bella"
     lang: str = "en-us"
-    speed: float = 1.0
+    speed: float = 0.9
     max_chars: int = jobs.MAX_CHARS
     max_phonemes: int = jobs.MAX_PHONEMES
     silence_ms: int = render.SILENCE_MS

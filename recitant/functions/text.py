@@ -23,7 +23,7 @@ _BLANK = "\ue000"  # stands for a line that was blank from the start
 
 # Words that mark short sections, provider order, progress lines.
 SHORT_SECTIONS = ["title page", "table of contents", "copyright", "acknowledg", "dedication", "map", "maps", "cover", "foreword", "afterword", "synopsis", "about the author", "about the publisher"]
-PROVIDER_PRIORITY = ["CUDAExecutionProvider", "DmlExecutionProvider", "CPUExecutionProvider"]
+PROVIDER_PRIORITY = ["CUDAExecutionProvider", "DmlExecutionProvider", "ROCMExecutionProvider", "CPUExecutionProvider"]
 PROGRESS = r"^\[(\d+)/(\d+)\]\s+([0-9.]+)% .* eta=([0-9.]+)s"
 
 

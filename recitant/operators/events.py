@@ -14,6 +14,7 @@ SILENCE, BOOTSTRAP_SILENCE = 300.0, 90.0
 
 def phase_of(line: Column) -> Column:
     """The phase that a line announces; null for lines that leave the phase as it is."""
+    # What the lines hold.
     t = F.lower(F.trim(line))
     has = lambda x: F.contains(t, F.lit(x))
     return (

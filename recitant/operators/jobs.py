@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_component, is_short_section
+from .ranks import with_rank
 
 # Default sizes.
 MAX_CHARS, MAX_PHONEMES = 850, 450
@@ -39,20 +40,16 @@ def worker_chars(provider: Column, title: Column, chunks: Column, chars: Column,
 def output_names(chapters: DataFrame) -> DataFrame:
     """(chapter_id, output_name): number within the folder and title, with the place in the source where
     another chapter of the folder has the name already."""
-    order = [F.col("chapter_index"), F.col("chapter_id")]
-    title = F.coalesce(F.col("title"), F.lit(""))
-    named = chapters.select("chapter_id", "source_id", "chapter_index", "group_path", file_component(title).alias("title")).withColumn(
-        "number", F.row_number().over(Window.partitionBy("source_id", "group_path").orderBy(*order))
-    ).withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy(*order)))
-    named = named.withColumn("name", F.format_string("%02d-%s", "number", "title"))
-    taken = F.row_number().over(Window.partitionBy("source_id", "group_path", "name").orderBy(*order)) > 1
-    return named.withColumn("taken", taken).select("chapter_id", F.when(F.col("taken"), F.format_string("%s-c%03d", "name", "place")).otherwise(F.col("name")).alias("output_name"))
+    own = chapters.select("chapter_id", "source_id", "chapter_index", "group_path", file_component(F.coalesce("title", F.lit(""))).alias("title"))
+    numbered = with_rank(own, ["source_id", "group_path"], "chapter_index", "chapter_id", "number")
+    named = with_rank(numbered, ["source_id"], "chapter_index", "chapter_id", "place").withColumn("name", F.format_string("%02d-%s", "number", "title"))
+    ranked = with_rank(named, ["source_id", "group_path", "name"], "chapter_index", "chapter_id", "rank")
+    return ranked.select("chapter_id", F.when(F.col("rank") > 1, F.format_string("%s-c%03d", "name", "place")).otherwise(F.col("name")).alias("output_name"))
 
 
 def unique_names(df: DataFrame, scope: list[str], name: str, key: str) -> DataFrame:
-    """(key, unique_name): the first row keeps its name, later ones get -cNNN with their rank."""
-    rank = F.row_number().over(Window.partitionBy(*scope, name).orderBy(key))
-    return df.withColumn("rank", rank).select(key, F.when(F.col("rank") > 1, F.format_string("%s-c%03d", F.col(name), F.col("rank"))).otherwise(F.col(name)).alias("unique_name"))
+    """(key, unique_name): the first row by its integer key keeps its name, later ones get -cNNN with their rank."""
+    return with_rank(df.select(key, name, *scope), [*scope, name], key, key, "rank").select(key, F.when(F.col("rank") > 1, F.format_string("%s-c%03d", F.col(name), F.col("rank"))).otherwise(F.col(name)).alias("unique_name"))
 
 
 def complete(parts: DataFrame) -> DataFrame:

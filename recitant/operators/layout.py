@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, file_component, group_parts, group_path, is_blank, slug
+from .ranks import with_rank, with_sum_before
 
 
 def summaries(chapters: DataFrame) -> DataFrame:
@@ -23,13 +24,11 @@ def spoken(chapters: DataFrame) -> DataFrame:
 def numbered(chapters: DataFrame) -> DataFrame:
     """Adds the 1-based place within the source and within the source's group (null is a group of its own).
 
-    The windows sort keys only, not texts: callers join the numbers to the texts where they need both.
+    Keys only are sorted, not texts: callers join the numbers to the texts where they need both.
     """
     keys = chapters.select("chapter_id", "source_id", "chapter_index", "group_path")
-    order = [F.col("chapter_index"), F.col("chapter_id")]
-    return keys.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy(*order)).cast("long")).withColumn(
-        "number_in_group", F.row_number().over(Window.partitionBy("source_id", "group_path").orderBy(*order)).cast("long")
-    )
+    placed = with_rank(keys, ["source_id"], "chapter_index", "chapter_id", "place")
+    return with_rank(placed, ["source_id", "group_path"], "chapter_index", "chapter_id", "number_in_group")
 
 
 def group_directories(chapters: DataFrame) -> DataFrame:
@@ -52,9 +51,7 @@ def group_directories(chapters: DataFrame) -> DataFrame:
 
 def grouped_titles(chapters: DataFrame) -> DataFrame:
     """(source_id, group_path, n_titles, first_titles): the first ten titles of each group in order."""
-    ranked = chapters.select("source_id", "group_path", "chapter_index", "chapter_id", "title").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("source_id", "group_path").orderBy("chapter_index", "chapter_id"))
-    )
+    ranked = with_rank(chapters.select("source_id", "group_path", "chapter_index", "chapter_id", "title"), ["source_id", "group_path"], "chapter_index", "chapter_id", "rank")
     kept = F.when(F.col("rank") <= 10, F.struct("rank", F.coalesce("title", F.lit("")).alias("title")))
     return ranked.groupBy("source_id", "group_path").agg(
         F.count("*").alias("n_titles"), F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda s: s["title"]), "; ").alias("first_titles")
@@ -66,8 +63,8 @@ def chunk_offsets(chunks: DataFrame) -> DataFrame:
     delivered twice count once."""
     own = chunks.select("chunk_id", "source_id", "chapter_id", "chunk_index").dropDuplicates(["chunk_id"])
     per = own.groupBy("source_id", "chapter_id").agg(F.count("*").alias("n_chunks"), F.min("chunk_index").alias("at"))
-    before = Window.partitionBy("source_id").orderBy("at", "chapter_id").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select("source_id", "chapter_id", "n_chunks", (F.coalesce(F.sum("n_chunks").over(before), F.lit(0)) + 1).alias("first_chunk"))
+    placed = with_sum_before(per, ["source_id"], "at", "chapter_id", "n_chunks", "before")
+    return placed.select("source_id", "chapter_id", "n_chunks", (F.col("before") + 1).alias("first_chunk"))
 
 
 def navigation_directories(nodes: DataFrame, selected: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, text
 from ..operators import events, jobs, layout, render
+from ..operators.ranks import with_rank
 from ..sources import epub, markdown
 from ..streaming import phases as stream
 from ..tables import bounded_broadcast, spread, table
@@ -478,10 +479,10 @@ def source_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repair_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters and jobs of the same source with the same plain title, one to one in order."""
     chapters = table(spark, sf_dir, "chapters").where("title IS NOT NULL").select("chapter_id", "source_id", "chapter_index", text.slug(F.col("title")).alias("k"))
-    left = chapters.withColumn("n", F.row_number().over(Window.partitionBy("source_id", "k").orderBy("chapter_index", "chapter_id")))
+    left = with_rank(chapters, ["source_id", "k"], "chapter_index", "chapter_id", "n")
     known = table(spark, sf_dir, "sources").select("source_id", "source_path")
     made = table(spark, sf_dir, "chapter_jobs").where("chapter_title IS NOT NULL").select("job_id", "source_path", "chapter_title").distinct().join(known, "source_path")
-    right = made.select("job_id", "source_id", text.slug(F.col("chapter_title")).alias("k")).withColumn("n", F.row_number().over(Window.partitionBy("source_id", "k").orderBy("job_id")))
+    right = with_rank(made.select("job_id", "source_id", text.slug(F.col("chapter_title")).alias("k")), ["source_id", "k"], "job_id", "job_id", "n")
     return left.join(right, ["source_id", "k", "n"]).select("chapter_id", "job_id")
 
 
