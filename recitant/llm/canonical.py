@@ -186,6 +186,26 @@ def canonical(text: str | None, scripts: Scripts) -> str | None:
     return unicodedata.normalize("NFC", "".join(reversed(parts)))
 
 
+_run = re.compile("[A-Za-zÀ-ɏͰ-ԯ]+")
+_second = re.compile("[Ͱ-ԯ]")
+
+
+def one_script_words(text: str) -> str:
+    """The text with the look-alike letters of each word that mixes scripts put into the one script that has
+    letters of its own in the word (Latin if none has). Lengths and places stay."""
+    if text.isascii() or not _second.search(text) or not any(c.isascii() and c.isalpha() for c in set(text)):
+        return text
+
+    def fold(found: re.Match) -> str:
+        word = set(found.group())
+        if sum(not word.isdisjoint(x) for x in _letters_of) < 2:
+            return found.group()
+        own = [s for s in range(SCRIPTS) if not word.isdisjoint(_own_set[s])]
+        return found.group() if len(own) > 1 else found.group().translate(_to[own[0] if own else 0])
+
+    return _run.sub(fold, text)
+
+
 def _digest(*parts: str | None) -> bytes:
     h = hashlib.blake2b(digest_size=16)
     for p in parts:

@@ -26,13 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..tables import spread
+from .canonical import one_script_words
 from .encoding import SUSPICIOUS, Repairer, suspicious
-from .samples import LANGUAGES, LATIN, clean_sentences
+from .samples import ALPHABETS, LANGUAGES, LATIN, clean_sentences
 from .sentences import sentence_ends
 
 #: Cost of a switch, and bound of what one word can say against a language, in nats.
 SWITCH = 7.0
 BOUND = 4.0
+#: What a letter outside a language's alphabet says against it, and the weight of the languages' mean
+#: distribution in each language's own, in trigrams: a language with little training text stays neutral.
+STRANGE = 1.5
+PRIOR = 400.0
 #: Suspicious places from which on a text is restored before it is labelled: a garbled sentence has more, and
 #: fewer leave the language of the words around them clear.
 GARBLED_PLACES = 5
@@ -92,6 +97,8 @@ class Model:
             score = score / math.sqrt(len(grams))
             if (seen := self.words.get(word.lower())) is not None:
                 score = score + seen
+            if not word.isascii():
+                score = score - STRANGE * np.array([any(c not in ALPHABETS[x] for c in word.lower() if c > "z") for x in LATIN])
             out[_latin_at] = np.maximum(score - score.max(), -BOUND)
         elif "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or c == "々":
             size = min(3.0, len(word) / 2)
@@ -142,15 +149,18 @@ def _fit(sentences: list[tuple[str, str]], common_words: dict[str, list[str]]) -
                 grams[lang][g] += 5
             words[lang][w.lower()] += 5
     kinds = set().union(*grams.values())
-    total = np.array([sum(grams[x].values()) + 0.2 * len(kinds) + 1 for x in LATIN])
-    table = {g: np.log(np.array([grams[x][g] + 0.2 for x in LATIN]) / total) for g in kinds}
-    floor = np.log(0.2 / total) - (np.log(0.2 / total)).max() + np.log(0.2 / total).max()
+    size = np.array([max(1, sum(grams[x].values())) for x in LATIN], dtype=np.float64)
+    counted = {g: np.array([grams[x][g] for x in LATIN], dtype=np.float64) for g in kinds}
+    trained = size > 2_000
+    mean = {g: ((c / size)[trained].mean() if trained.any() else 0.0) + 1e-6 for g, c in counted.items()}
+    table = {g: np.log((c + PRIOR * mean[g]) / (size + PRIOR)) for g, c in counted.items()}
+    floor = np.full(len(LATIN), math.log(PRIOR * 1e-6 / (size.max() + PRIOR)))
     size = np.array([sum(words[x].values()) + 1 for x in LATIN])
     known = {}
     for w in set().union(*words.values()):
         counts = np.array([words[x][w] for x in LATIN])
         if counts.sum() >= 3:
-            rate = (counts + 0.3) / size
+            rate = (counts + 0.3) / np.maximum(size, size.max() / 20)
             known[w] = 0.7 * np.log(rate / rate.max())
     return Model(table, floor, known)
 
@@ -241,6 +251,7 @@ def confidence(own: np.ndarray) -> float:
 
 
 _code = re.compile(r"[<>{}=|\\]|https?://|::|\(\)|\$\S")
+_marked = re.compile(r"\]\(|\]\[|\[\[|\{\{|<[a-z/!]|\\[a-z]")
 _final = re.compile(r"[.!?…。！？।؟۔;;][”’\"'»“«)\]」』]*$")
 
 
@@ -272,7 +283,7 @@ def whole_sentences(text: str, labels: np.ndarray, ends: list[int]) -> set[str]:
             name, weight, share = LANGUAGES[lang], weights[lang], weights[lang] / weights.sum()
         if name in out or share < 0.8 or weight < (6 if name in ("zh", "ja", "th") else 2 if name in ("ko", "hi", "ar") else 3):
             continue
-        if _code.search(sentence) and len(sentence) < 60:
+        if _code.search(sentence) and len(sentence) < 60 or _marked.search(sentence) and k - first < 10:
             continue
         if name == "th" or _final.search(sentence):
             out.add(name)
@@ -338,7 +349,8 @@ def sentence_languages(df: DataFrame, keys: list[str], text: str, model: Model,
 
 
 def _restored(texts: list[str | None], repairer: Repairer | None) -> list[str]:
-    plain = [t or "" for t in texts]
+    """Texts as they are labelled: words of one script, garbled ones restored."""
+    plain = [one_script_words(t) if t else "" for t in texts]
     return [repairer.text(t)[0] if places >= GARBLED_PLACES else t for t, places in zip(plain, suspicious(plain).tolist())] if repairer else plain
 
 

@@ -30,6 +30,8 @@ SPELLINGS = {
     "ko": "ko kor korean 한국어",
     "th": "th tha thai ไทย ภาษาไทย",
 }
+#: Letters beyond a to z that words of a Latin language hold.
+ALPHABETS = {"en": "éïèêâç", "de": "äöüßéẞ", "fr": "àâäçéèêëîïôöùûüÿœæ", "es": "áéíóúüñ", "pt": "áâãàçéêíóôõúü", "it": "àèéìíîòóùú", "nl": "éëïóöüáèêä", "tr": "çğıöşüâîûi̇"}
 LANGUAGES = list(SPELLINGS)
 SCRIPT_OF = {"ru": "Cyrillic", "el": "Greek", "ar": "Arabic", "hi": "Devanagari", "zh": "Han", "ja": "Han", "ko": "Hangul", "th": "Thai"}
 LATIN = [x for x in LANGUAGES if x not in SCRIPT_OF]
