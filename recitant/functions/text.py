@@ -157,6 +157,11 @@ def resolve_provider(available: Column, wanted: Column) -> Column:
     return F.coalesce(F.get(F.array_intersect(wanted, available), F.lit(0)), F.when(F.array_contains(available, cpu), cpu), F.get(available, F.lit(0)))
 
 
+def provider_record(selected: Column, available: Column, wanted: Column) -> Column:
+    """A choice of provider as JSON."""
+    return F.to_json(F.struct(selected.alias("selected"), available.alias("available"), wanted.alias("requested")))
+
+
 def part_name(base: Column, part: Column, multi: Column, stem: Column, leaf: Column, numbered: Column) -> Column:
     """Name of an output part without folder and suffix. ``stem`` is a wished final name or null, ``leaf`` the
     name that a single part gets without one, ``numbered`` whether a single part may still get followers."""

@@ -43,6 +43,18 @@ def packed_parts(chunks: DataFrame, keys: list[str], limit: int) -> DataFrame:
     )
 
 
+def title_runs(titles: Column) -> Column:
+    """Titles in order, each run of the same title once. ``titles`` must be a column, as it is read by place."""
+    return F.filter(titles, lambda x, k: (k == 0) | ~x.eqNullSafe(F.get(titles, k - 1)))
+
+
+def heading_runs(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, headings array<string>): the headings of a job's chunks in order, runs once; null counts as none."""
+    own = chunks.select("chunk_id", *keys, "chunk_index", F.coalesce("heading", F.lit("")).alias("heading")).dropDuplicates(["chunk_id"])
+    listed = own.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "heading"))), lambda s: s["heading"]).alias("_all"))
+    return listed.select(*keys, title_runs(F.col("_all")).alias("headings"))
+
+
 def manifests(parts: DataFrame) -> DataFrame:
     """(job_id, part_count, chunk_count, duration_seconds, parts array<struct>): one nested row per job."""
     part = F.struct(F.col("part_no").alias("part"), "wav_path", "mp3_path", "duration_seconds", F.col("group_path").alias("group"), "start_chunk", "end_chunk")

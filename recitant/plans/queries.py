@@ -382,6 +382,24 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.manifests(table(spark, sf_dir, "manifest_parts")).withColumn("parts", F.array_join(F.transform("parts", line), ",")).withColumn("duration_seconds", F.round("duration_seconds", 3))
 
 
+@query("""
+    WITH o AS (SELECT DISTINCT chunk_id, chapter_id, chunk_index, coalesce(heading, '') AS h FROM chunks), l AS (SELECT *, lag(h) OVER (PARTITION BY chapter_id ORDER BY chunk_index, chunk_id) AS p FROM o)
+    SELECT chapter_id, string_agg(h, ' | ' ORDER BY chunk_index, chunk_id) FILTER (WHERE p IS NULL OR p <> h) AS headings FROM l GROUP BY chapter_id""")
+def heading_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings that each chapter's chunks pass through."""
+    return render.heading_runs(table(spark, sf_dir, "chunks"), ["chapter_id"]).select("chapter_id", F.array_join("headings", " | ").alias("headings"))
+
+
+@query("""
+    WITH g AS (SELECT job_id, part_no, start_chunk, coalesce(group_path, '') AS g, lag(coalesce(group_path, '')) OVER (PARTITION BY job_id ORDER BY part_no, start_chunk) AS p FROM manifest_parts)
+    SELECT job_id, count(*) AS n_parts, count(*) FILTER (WHERE p IS NULL OR p <> g) AS n_group_runs FROM g GROUP BY job_id""")
+def group_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the group changes over a job's parts."""
+    before = F.lag("g").over(Window.partitionBy("job_id").orderBy("part_no", "start_chunk"))
+    parts = table(spark, sf_dir, "manifest_parts").select("job_id", "part_no", "start_chunk", F.coalesce("group_path", F.lit("")).alias("g")).withColumn("p", before)
+    return parts.groupBy("job_id").agg(F.count("*").alias("n_parts"), F.count_if(F.col("p").isNull() | (F.col("p") != F.col("g"))).alias("n_group_runs"))
+
+
 @query("SELECT DISTINCT chunk_id, 1600 * length(coalesce(text, ''))::BIGINT AS n_samples, 24000::INT AS sample_rate FROM chunks")
 def rendered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stub voice over every chunk."""
