@@ -38,9 +38,6 @@ BOUND = 4.0
 #: distribution in each language's own, in trigrams: a language with little training text stays neutral.
 STRANGE = 1.5
 PRIOR = 400.0
-#: Suspicious places from which on a text is restored before it is labelled: a garbled sentence has more, and
-#: fewer leave the language of the words around them clear.
-GARBLED_PLACES = 5
 #: Words that a batch of texts labels at once; bounds memory, changes no result.
 BATCH_WORDS = 2_500_000
 
@@ -349,9 +346,9 @@ def sentence_languages(df: DataFrame, keys: list[str], text: str, model: Model,
 
 
 def _restored(texts: list[str | None], repairer: Repairer | None) -> list[str]:
-    """Texts as they are labelled: words of one script, garbled ones restored."""
+    """Texts as they are labelled: words of one script, texts with any suspicious place restored."""
     plain = [one_script_words(t) if t else "" for t in texts]
-    return [repairer.text(t)[0] if places >= GARBLED_PLACES else t for t, places in zip(plain, suspicious(plain).tolist())] if repairer else plain
+    return [repairer.text(t)[0] if places else t for t, places in zip(plain, suspicious(plain).tolist())] if repairer else plain
 
 
 def segments(df: DataFrame, key: str, text: str, model: Model, repairer: Repairer | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recitant.llm import encoding as E
 from recitant.llm import language as L
 from recitant.llm import samples
 
@@ -75,3 +76,12 @@ def test_frames(spark, model):
     assert [(r.seg_no, r.lang) for r in parts] == [(1, "en"), (2, "el")] and all(0.5 < r.confidence <= 1 for r in parts)
     assert rows[0][2][parts[1].seg_start : parts[1].seg_end] == TEXT["el"].rstrip(".")
     assert L.segments(df.where("false"), "k", "text", model).count() == 0
+
+
+def test_texts_with_few_suspicious_places_are_restored(model):
+    repairer = E.train({k: [v] * 3 for k, v in TEXT.items()})
+    at = {b: c for c, b in E.byte_of("cp1251").items()}
+    garbled = "".join(at[b] for b in "Ο βαρκάρης άνοιξε την πύλη το πρωί.".encode("cp1253"))
+    assert 1 <= E.suspicious([garbled])[0] <= 4
+    assert L.languages_of([garbled], model) == [{"ru"}]  # what it counts as unrestored
+    assert L.languages_of(L._restored([garbled], repairer), model) == [{"el"}]
