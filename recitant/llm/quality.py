@@ -19,6 +19,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +164,49 @@ def _table_share(lines: list[str], text: str) -> float:
     return best
 
 
+#: Share of a text that may repeat what stands before it in the text; three times the same is above it.
+REPEATED = 0.66
+#: Words (code points of scripts written without spaces) of a run that counts as repeated, a third of a shorter text.
+RUN = 20
+#: Words of a window in which words are counted as few, so that the length of a text doesn't matter.
+WINDOW = 400
+
+
+def duplicate_share(parts: list[str]) -> float:
+    """Share of the characters of lines or paragraphs that lies in repeats of earlier ones."""
+    return 1 - sum(map(len, set(parts))) / total if (total := sum(map(len, parts))) else 0.0
+
+
+def repeats_itself(words: list[str], times: Counter[str]) -> bool:
+    """Whether one 3-gram covers most of the text (``ngram_coverage``), or runs of RUN words that stand in the text
+    before do. Bounds leave out only what can't be: a gram covers no more than its three words have, and a word in
+    a repeated run has been there before. ``times``: how often each word occurs."""
+    total = len(words)
+    if total < 12:
+        return False
+    if sum(nlargest(3, [n * len(w) for w, n in times.items()])) > REPEATED * sum(map(len, words)) and ngram_coverage(words) > REPEATED:
+        return True
+    if len(times) >= (1 - REPEATED) * total:
+        return False
+    run, have, at = min(RUN, total // 3), 0, dict(zip(times, range(1, len(times) + 1)))
+    part = np.fromiter(map(at.__getitem__, words), dtype=np.uint64, count=total) * np.uint64(0x9E3779B97F4A7C15)
+    part ^= part >> np.uint64(29)
+    code, width, base = None, 1, 0xD6E8FEB86659FD93
+    while width <= run:  # 64-bit numbers of the runs from those of runs half as long
+        if run & width:
+            code = part if code is None else code[: total - have - width + 1] * np.uint64(base) + part[have : total - width + 1]
+            have += width
+        part = part[:-width] * np.uint64(base) + part[width:]
+        base, width = base * base % (1 << 64), 2 * width
+    _, first = np.unique(code, return_index=True)
+    repeat = np.ones(len(code), dtype=np.int32)
+    repeat[first] = 0
+    edge = np.zeros(total + 1, dtype=np.int32)
+    edge[: len(code)] += repeat
+    edge[run : run + len(code)] -= repeat
+    return np.count_nonzero(edge.cumsum()) > REPEATED * total
+
+
 def kind_of(text: str, letters: int, symbols: int, solid: int, singles_: int, words: int, digits: int) -> str | None:
     """prose, list, table or junk; None for a blank text."""
     if not solid:
@@ -181,8 +225,11 @@ def kind_of(text: str, letters: int, symbols: int, solid: int, singles_: int, wo
     if table >= 0.6:
         return "table"
     # -- the same over and over
-    if n >= 4 and len(set(map(str.strip, lines))) <= 0.34 * n and sum(map(len, lines)) / n > 12:
-        if max(Counter(map(str.strip, lines)).values()) > 0.5 * n:
+    if n >= 4 and sum(map(len, lines)) / n > 12 and duplicate_share(list(map(str.strip, lines))) > REPEATED:
+        return "junk"
+    if n >= 4:
+        paragraphs = [x for x in map(str.strip, _paragraphs.split(text.replace("\r\n", "\n").replace("\r", "\n"))) if x]
+        if len(paragraphs) >= 3 and solid / len(paragraphs) > 12 and duplicate_share(paragraphs) > REPEATED:
             return "junk"
     number: Counter[str] = Counter()
     for token, times in Counter(tokens).items():
@@ -192,8 +239,17 @@ def kind_of(text: str, letters: int, symbols: int, solid: int, singles_: int, wo
     if total >= 12:
         if sum(number[w] for w in FURNITURE) > 0.6 * total:
             return "junk"
-        if len(number) < 0.12 * total and (total < 400 or len(number) < 30) or max(number.values()) > 0.4 * total:
+        if max(number.values()) > 0.4 * total:
             return "junk"
+        if len(number) < 0.12 * total:  # no window has more words than the whole, so only then theirs can be few
+            row = [w for w in (_edges.sub("", t).lower() for t in tokens) if w]
+            parts = max(1, total // WINDOW)
+            edges = [total * k // parts for k in range(parts + 1)]
+            if sum(len(set(row[x:y])) for x, y in zip(edges, edges[1:])) < 0.12 * total:
+                return "junk"
+    units = _words.findall(text) if singles_ else tokens
+    if repeats_itself(units, Counter(units)):
+        return "junk"
     if total >= 8:
         # -- letters that make no words
         latin = [(w, k) for w, k in number.items() if w.isascii() and w.isalpha() and len(w) > 2]

@@ -1,4 +1,6 @@
 import os
+import random
+from collections import Counter
 
 import pytest
 
@@ -24,6 +26,40 @@ def test_kinds():
     assert kind("") is None and kind(" \n\t ") is None
 
 
+def test_repeats_are_junk_at_any_size():
+    words = ("the ferryman opened an old gate near our harbour before seven lamps were lit while nobody from that quiet village "
+             "came down with any letters for him so he waited under a roof and then the old gate was shut").split()
+    passage = " ".join(words[:20]) + "\n" + " ".join(words[20:])
+    assert kind(passage) == "prose"
+    for times in (3, 9, 12, 40, 200):
+        assert kind("\n".join([passage] * times)) == "junk"
+        assert kind("\n\n".join([passage] * times)) == "junk"
+        assert kind(" ".join(words * times)) == "junk"
+    for unit in ("渡し守は朝に古い門を開けた", "摆渡人早上打开了旧门因为没有人有钥匙", "คนพายเรือเปิดประตูในตอนเช้า"):
+        assert kind(unit) == "prose" and kind(unit * 5) == "junk" and kind(unit * 80) == "junk"
+    chance = random.Random(5)
+    assert kind(" ".join(chance.choice(words[:31]) for _ in range(3000))) == "junk"
+
+
+def test_repeats_against_a_loop():
+    def loop(words):
+        run, seen, covered = min(Q.RUN, len(words) // 3), set(), set()
+        for k in range(len(words) - run + 1):
+            if (gram := tuple(words[k : k + run])) in seen:
+                covered.update(range(k, k + run))
+            seen.add(gram)
+        return Q.ngram_coverage(words) > Q.REPEATED or len(covered) > Q.REPEATED * len(words)
+
+    chance, got = random.Random(1), Counter()
+    for _ in range(600):
+        unit = [chance.choice("abcdefghij") + str(chance.randint(0, chance.choice([1, 9]))) for _ in range(chance.randint(1, 40))]
+        words = (unit * chance.randint(1, 12))[: chance.randint(12, 400)] + [str(k) for k in range(chance.choice([0, 0, 5, 20, 60]))]
+        if len(words) >= 12:
+            assert Q.repeats_itself(words, Counter(words)) == loop(words)
+            got[loop(words)] += 1
+    assert min(got[True], got[False]) > 100
+
+
 def test_counts_against_a_loop():
     import unicodedata
 
