@@ -300,10 +300,11 @@ class Repairer:
         return best
 
     def candidates(self, text: str) -> dict[str, str]:
-        """Restored text to chain step, for every step whose wrong set has most of the suspicious characters."""
+        """Restored text to chain step, for every step whose wrong set has a suspicious character; a step whose set
+        has none leaves them all."""
         out: dict[str, str] = {}
         odd = set(SUSPICIOUS.findall(text))
-        fits = lambda charset: 2 * len(odd & high_characters(charset)) >= len(odd)
+        fits = lambda charset: not odd.isdisjoint(high_characters(charset))
         for charset in UTF8_READ_AS:
             if fits(charset) and (fixed := undo_utf8(text, charset)) != text and fixed not in out and plausible(fixed, text):
                 out[fixed] = f"{charset}>utf-8"
@@ -341,7 +342,7 @@ class Repairer:
                 bound, signs = self.unknown(base), len(SUSPICIOUS.findall(base))
                 found = self.candidates(base)
                 ranked = sorted((self.unknown(fixed), fixed, step) for fixed, step in found.items() if fixed not in seen)
-                for strange, fixed, step in ranked[:8]:
+                for strange, fixed, step in ranked:
                     if strange > bound or len(SUSPICIOUS.findall(fixed)) > signs:
                         continue
                     seen.add(fixed)
@@ -351,7 +352,7 @@ class Repairer:
                         best, cost, chain = fixed, now, steps_now
                     if SUSPICIOUS.search(fixed) and step.endswith("utf-8"):
                         following.append((now, fixed, steps_now))
-            layer = [(fixed, steps) for _, fixed, steps in sorted(following)[:2]]
+            layer = [(fixed, steps) for _, fixed, steps in sorted(following)]
             if not layer:
                 break
         return best, chain

@@ -64,3 +64,13 @@ def test_names():
     r = E.train_names(names)
     assert r.text("JoÃ£o Fenwell")[0] == "João Fenwell"
     assert E.is_broken_name("Grikulstršm, Jo‹o") and not any(E.is_broken_name(n) for n in names + ["ÇELIK TANZIIĆ"])
+
+
+def test_every_candidate_is_described(monkeypatch):
+    text = f"√2 ≤ ∞ ≠ ≈ 3 in the {read_as('café', 'utf-8', 'cp1252')} by the gate."
+    assert REPAIRER.candidates(text).get("√2 ≤ ∞ ≠ ≈ 3 in the café by the gate.") == "cp1252>utf-8"
+    found, described = {f"candidate {k}": "latin-1>cp1252" for k in range(30)}, []
+    monkeypatch.setattr(REPAIRER, "candidates", lambda text: found)
+    monkeypatch.setattr(REPAIRER, "size", lambda text: described.append(text) or 9)
+    REPAIRER.segment("Ã©")
+    assert set(found) <= set(described)
