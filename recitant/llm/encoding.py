@@ -33,6 +33,8 @@ CHAIN_COST = 1
 #: Bytes of clean text in the dictionary of one language.
 DICTIONARY_BYTES = 40_000
 LEVEL = 3
+#: Times that a part of a name is seen, at any number of names, before the dictionary of names takes it.
+NAME_TIMES = 4
 
 # Sets that UTF-8 bytes are read as, and other pairs (read as, written as).
 UTF8_READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "mac_roman", "cp866", "koi8-r", "cp1256", "cp874"]
@@ -419,8 +421,7 @@ def train_names(names: list[str]) -> Repairer:
         if not BROKEN.search(name) and all(undo_utf8(name, c) == name for c in UTF8_READ_AS) and plausible(name):
             for part in name.split():
                 count[part] = count.get(part, 0) + 1
-    least = 2 if len(names) < 5000 else 4
-    known = sorted((n, part) for part, n in count.items() if n >= least)
+    known = sorted((n, part) for part, n in count.items() if n >= NAME_TIMES)
     return Repairer({"en": " ".join(part for _, part in known).encode()[-DICTIONARY_BYTES:]} if known else {})
 
 

@@ -66,6 +66,13 @@ def test_names():
     assert E.is_broken_name("Grikulstršm, Jo‹o") and not any(E.is_broken_name(n) for n in names + ["ÇELIK TANZIIĆ"])
 
 
+def test_names_are_learnt_alike_at_any_size():
+    rare, others = ["Renée Pel"] * 3, [f"Ann{k} Bel{k}" for k in range(6000)]
+    for size in (10, 6000):
+        learnt = E.train_names(rare + ["João Lor"] * 4 + others[:size])
+        assert "é" not in learnt.alphabet and "ã" in learnt.alphabet
+
+
 def test_every_candidate_is_described(monkeypatch):
     text = f"√2 ≤ ∞ ≠ ≈ 3 in the {read_as('café', 'utf-8', 'cp1252')} by the gate."
     assert REPAIRER.candidates(text).get("√2 ≤ ∞ ≠ ≈ 3 in the café by the gate.") == "cp1252>utf-8"
