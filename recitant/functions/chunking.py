@@ -1,8 +1,8 @@
-"""Sentences, paragraphs, sections and size-bounded chunks as ordered folds inside one row.
+"""Sentences, paragraphs, sections and size-bounded chunks inside one row.
 
-A fold's state is a list of texts whose last entry is the open buffer, so one ``aggregate`` per level packs a
-text without leaving its row, and nothing is shuffled. Paragraphs count two code points for each joint
-while they are packed (JOINT) and are joined by one space when they are done.
+Packing folds over lengths alone: its state is where the pieces begin and how full the open one is, so no text is
+copied while a text is packed, and each piece is put together once. Paragraphs count two code points for each joint
+(JOINT) while they are packed and are joined by one space. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .text import LINE_END, WS, collapse, strip
 
-JOINT = "\x01\x01"
+JOINT = 2
 
 
 def sentences(c: Column) -> Column:
@@ -24,56 +24,55 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, rf"\n[{WS}]*\n+"), strip), lambda x: x != "")
 
 
-def _fold(items: Column, step) -> Column:
-    return F.aggregate(items, F.array(F.lit("")), step)
+def bound(value: Column, body) -> Column:
+    """``body`` over a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _last(state: Column) -> Column:
-    return F.element_at(state, -1)
+def _begins(items: Column, limit: int, joint: int, alone) -> Column:
+    """array<struct<at, alone>>: where the pieces of a greedy packing begin, from 0. ``alone`` says of (length, room
+    taken) whether an item is a piece of its own; after such a piece a new one opens."""
+    state = F.struct(F.array().cast("array<struct<at: int, alone: boolean>>").alias("begins"), F.lit(0).alias("used"))
+    numbered = F.transform(items, lambda x, k: F.struct(k.alias("at"), F.length(x).alias("size")))
 
+    def step(s: Column, x: Column) -> Column:
+        opened = lambda flag: F.concat(s["begins"], F.array(F.struct(x["at"].alias("at"), F.lit(flag).alias("alone"))))
+        return (
+            F.when(alone(x["size"], s["used"]), F.struct(opened(True).alias("begins"), F.lit(0).alias("used")))
+            .when((s["used"] == 0) | (s["used"] + joint + x["size"] > limit), F.struct(opened(False).alias("begins"), x["size"].alias("used")))
+            .otherwise(F.struct(s["begins"].alias("begins"), (s["used"] + joint + x["size"]).alias("used")))
+        )
 
-def _replace_last(state: Column, text: Column) -> Column:
-    return F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(text))
+    return F.aggregate(numbered, state, step, lambda s: s["begins"])
 
 
-def _append(state: Column, item: Column, limit: Column | int, joint: str) -> Column:
-    """The item in the open buffer if it still fits, else in a new one."""
-    buffer = _last(state)
-    return (
-        F.when(buffer == "", _replace_last(state, item))
-        .when(F.length(buffer) + len(joint) + F.length(item) > limit, F.concat(state, F.array(item)))
-        .otherwise(_replace_last(state, F.concat(buffer, F.lit(joint), item)))
-    )
+def _packed(items: Column, limit: int, joint: int, alone, apart) -> Column:
+    """The pieces of ``items``: those alone through ``apart`` (text to array), the others joined by one space."""
+
+    def pieces(texts: Column) -> Column:
+        def one(begins: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(begins, k + 1)["at"], F.size(texts))
+            return F.transform(begins, lambda b, k: F.when(b["alone"], apart(F.get(texts, b["at"]))).otherwise(F.array(F.array_join(F.slice(texts, b["at"] + 1, end(k) - b["at"]), " "))))
+
+        return bound(_begins(texts, limit, joint, alone), one)
+
+    return F.flatten(bound(items, pieces))
 
 
 def pack_words(sentence: Column, limit: int) -> Column:
-    return _fold(F.split(sentence, " "), lambda state, word: _append(state, word, limit, " "))
+    return _packed(F.split(sentence, " "), limit, 1, lambda size, used: F.lit(False), lambda word: F.array(word))
 
 
 def pack_sentences(paragraph: Column, limit: int) -> Column:
     """Sentences in chunks; a sentence over the limit is cut at words where no buffer is open, and stands whole
     where one was, as it then opens the next buffer itself."""
-
-    def step(state: Column, sentence: Column) -> Column:
-        return F.when(
-            (_last(state) == "") & (F.length(sentence) > limit),
-            F.concat(F.slice(state, F.lit(1), F.size(state) - 1), pack_words(sentence, limit), F.array(F.lit(""))),
-        ).otherwise(_append(state, sentence, limit, " "))
-
-    return F.filter(_fold(sentences(paragraph), step), lambda x: x != "")
+    return _packed(sentences(paragraph), limit, 1, lambda size, used: (used == 0) & (size > limit), lambda sentence: pack_words(sentence, limit))
 
 
 def chunks(text: Column, limit: int) -> Column:
     """Chunks of a section: whole paragraphs packed together, longer paragraphs packed by sentences. An empty
     list for blank texts, null for null."""
-
-    def step(state: Column, paragraph: Column) -> Column:
-        return F.when(
-            F.length(paragraph) > limit, F.concat(F.filter(state, lambda x: x != ""), pack_sentences(paragraph, limit), F.array(F.lit("")))
-        ).otherwise(_append(state, paragraph, limit, JOINT))
-
-    packed = F.filter(_fold(paragraphs(text), step), lambda x: x != "")
-    return F.transform(packed, lambda x: F.replace(x, F.lit(JOINT), F.lit(" ")))
+    return _packed(paragraphs(text), limit, JOINT, lambda size, used: size > limit, lambda paragraph: pack_sentences(paragraph, limit))
 
 
 def with_sections(df: DataFrame, text: str, name: str = "sections") -> DataFrame:

@@ -21,8 +21,14 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 GROUP_SEPARATOR = " / "
 _BLANK = "\ue000"  # stands for a line that was blank from the start
 
-# Words that mark short sections, provider order, progress lines.
+# Words that mark short sections, words before a section's number, names of front and back matter, provider
+# order, progress lines.
 SHORT_SECTIONS = ["title page", "table of contents", "copyright", "acknowledg", "dedication", "map", "maps", "cover", "foreword", "afterword", "synopsis", "about the author", "about the publisher"]
+NUMBERED_SECTIONS = ["chapter", "part", "epilogue", "prologue"]
+FRONT_SECTIONS = [
+    "title page", "table of contents", "maps", "cover", "dedication", "copyright", "acknowledgements", "about the author", "also by the author", "about the publisher",
+    "continue the adventure",
+]
 PROVIDER_PRIORITY = ["CUDAExecutionProvider", "DmlExecutionProvider", "ROCMExecutionProvider", "CPUExecutionProvider"]
 PROGRESS = r"^\[(\d+)/(\d+)\]\s+([0-9.]+)% .* eta=([0-9.]+)s"
 
@@ -121,10 +127,8 @@ def repair_title(c: Column) -> Column:
     """A title without numbers and section words, as letters and digits only, for matching files."""
     v = F.translate(c, "’“”", "'\"\"")
     v = F.regexp_replace(v, rf"^\p{{Nd}}+[{WS}]*[-.][{WS}]*", "")
-    word = r"[\p{L}\p{N}_]+"
-    kinds = "chapter|part|epilogue|prologue"
-    front = "title page|table of contents|maps|cover|dedication|copyright|acknowledgements|about the author|also by the author|about the publisher|continue the adventure"
-    for rule in (rf"(?i)^({kinds})[{WS}]+{word}[{WS}]*[-:][{WS}]*", rf"(?i)^({kinds})[{WS}]+{word}[{WS}]+", rf"(?i)^({front})[{WS}]*[-:][{WS}]*"):
+    numbered, front = "|".join(NUMBERED_SECTIONS), "|".join(FRONT_SECTIONS)
+    for rule in (rf"(?i)^({numbered})[{WS}]+[\p{{L}}\p{{N}}_]+[{WS}]*[-:][{WS}]*", rf"(?i)^({numbered})[{WS}]+[\p{{L}}\p{{N}}_]+[{WS}]+", rf"(?i)^({front})[{WS}]*[-:][{WS}]*"):
         v = F.regexp_replace(v, rule, "")
     return F.regexp_replace(F.lower(v), "[^a-z0-9]+", "")
 

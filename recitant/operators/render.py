@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,23 +25,34 @@ def part_limit(rate: int = RATE, minutes: float = PART_MINUTES) -> int:
     return max(1, int(rate * minutes * 60))
 
 
-def packed_parts(chunks: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """(*keys, part_no, start_chunk, end_chunk, samples): chunks in order, a part closed when it reaches the
-    limit with a chunk already in it.
+def packed_parts(chunks: DataFrame, keys: list[str], limit: int, group: str | None = None, title: str | None = None) -> DataFrame:
+    """(*keys, part_no, start_chunk, end_chunk, samples[, group][, chapter_titles]): chunks in order, a part closed once
+    it has reached the limit. With ``group`` a part is closed, too, where the group changes, and its parts are numbered
+    from 1 anew; else a part may go on into the next chapter. ``title`` is listed in runs.
 
-    ``chunks`` has *keys, chunk_index and samples. One fold per key value over numbers alone; a key is one
-    chapter's job or one book, whose length does not grow with the corpus.
+    ``chunks`` has *keys, chunk_index and samples. The fold over a key value sees numbers and group names alone and
+    keeps where parts begin; a key is one chapter's job or one book, whose length does not grow with the corpus.
     """
-    ordered = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_index").cast("long").alias("c"), F.col("samples").cast("long").alias("n")))).alias("all"))
-    part = "array<struct<a: bigint, b: bigint, n: bigint>>"
-    open_ = lambda s: F.element_at(s, -1)
-    step = lambda s, x: F.when(
-        (F.size(s) == 0) | (open_(s)["n"] >= limit), F.concat(s, F.array(F.struct(x["c"].alias("a"), x["c"].alias("b"), x["n"].alias("n"))))
-    ).otherwise(F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(open_(s)["a"].alias("a"), x["c"].alias("b"), (open_(s)["n"] + x["n"]).alias("n")))))
-    folded = ordered.select(*keys, F.aggregate("all", F.array().cast(part), step).alias("parts"))
-    return folded.select(*keys, F.posexplode("parts").alias("pos", "p")).select(
-        *keys, (F.col("pos") + 1).cast("long").alias("part_no"), F.col("p.a").alias("start_chunk"), F.col("p.b").alias("end_chunk"), F.col("p.n").alias("samples")
-    )
+    held = [F.col("chunk_index").cast("long").alias("c"), F.col("samples").cast("long").alias("n"), (F.col(group) if group else F.lit(None)).cast("string").alias("g"), (F.col(title) if title else F.lit(None)).cast("string").alias("t")]
+    ordered = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("_all"))
+    start = F.struct(F.array().cast("array<struct<at: int, no: bigint>>").alias("begins"), F.lit(0).cast("long").alias("no"), F.lit(limit).cast("long").alias("used"), F.lit(None).cast("string").alias("g"))
+
+    def step(s: Column, x: Column) -> Column:
+        changed = ~s["g"].eqNullSafe(x["x"]["g"])
+        no = F.when(changed, F.lit(1).cast("long")).otherwise(s["no"] + 1)
+        opened = F.struct(F.concat(s["begins"], F.array(F.struct(x["at"].alias("at"), no.alias("no")))).alias("begins"), no.alias("no"), x["x"]["n"].alias("used"), x["x"]["g"].alias("g"))
+        return F.when((s["used"] >= limit) | changed, opened).otherwise(F.struct(s["begins"].alias("begins"), s["no"].alias("no"), (s["used"] + x["x"]["n"]).alias("used"), s["g"].alias("g")))
+
+    begun = ordered.withColumn("_begins", F.aggregate(F.transform("_all", lambda x, k: F.struct(k.alias("at"), x.alias("x"))), start, step, lambda s: s["begins"]))
+    end = lambda k: F.coalesce(F.get(F.col("_begins"), k + 1)["at"], F.size("_all"))
+    parts = begun.select(*keys, F.explode(F.transform("_begins", lambda b, k: F.struct(b["no"].alias("no"), F.slice("_all", b["at"] + 1, end(k) - b["at"]).alias("own")))).alias("_p")).select(*keys, F.col("_p.no").alias("part_no"), F.col("_p.own").alias("_own"))
+    own = F.col("_own")
+    more = [F.get(own, F.lit(0))["g"].alias("group")] if group else []
+    made = parts.withColumn("_titles", F.transform(own, lambda x: x["t"])) if title else parts
+    return made.select(
+        *keys, "part_no", F.get(own, F.lit(0))["c"].alias("start_chunk"), F.element_at(own, -1)["c"].alias("end_chunk"), F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("samples"),
+        *more, *([title_runs(F.col("_titles")).alias("chapter_titles")] if title else []),
+    )
 
 
 def title_runs(titles: Column) -> Column:
@@ -90,27 +102,50 @@ def stub(text: str) -> tuple[np.ndarray, int]:
     return np.zeros(1600 * len(text), dtype=np.float32), RATE
 
 
-def synthesize(voice: Synthesis, text: str, depth: int = 0) -> tuple[np.ndarray, int]:
-    """Samples of a text; a text that the voice fails on for its size is spoken in halves, up to 8 times."""
-    try:
-        return voice(text)
-    except Exception as error:  # noqa: BLE001
-        message = str(error).lower()
-        known = isinstance(error, IndexError) or any(x in message for x in ("bad allocation", "onnxruntimeerror", "unable to allocate")) or "arraymemoryerror" in type(error).__name__.lower()
-        if not known or depth >= 8 or len(text.strip()) < 20:
-            raise
-        words = text.split()
-        middle = max(1, len(words) // 2)
-        halves = [" ".join(words[:middle]), " ".join(words[middle:])] if len(words) > 1 else [text[: len(text) // 2], text[len(text) // 2 :]]
-        made = [synthesize(voice, h, depth + 1) for h in halves if h.strip()]
-        if len({rate for _, rate in made}) > 1:
-            raise ValueError("sample rates differ") from error
-        return np.concatenate([x for x, _ in made]), made[0][1]
-
-
-def rendered(chunks: DataFrame, keys: list[str], text: str, voice: Synthesis = stub) -> DataFrame:
+#: A text that fails is halved so often, and no further below this length.
+HALVINGS, LEAST_CHARS = 8, 20
+_between = re.compile(r"(?<=[.!?]) (?=[A-Z0-9\"'])")
+
+
+def halves_of(text: str) -> list[str]:
+    """Both halves of a text that failed: by sentences, else by words, else by code points; empty ones go. The column
+    form is ``chunking.retry_halves``."""
+    flat = " ".join(text.split())
+    units, joint = next(((u, " ") for u in (_between.split(flat), flat.split(" ")) if len(u) > 1), (list(text), ""))
+    middle = max(1, len(units) // 2)
+    return [h for h in (joint.join(units[:middle]).strip(), joint.join(units[middle:]).strip()) if h]
+
+
+def is_too_large(error: Exception) -> bool:
+    """Whether a voice failed for a text's size, so that halves may do."""
+    # What such errors say.
+    said = f"{type(error).__name__} {error}".lower()
+    return isinstance(error, IndexError) or any(x in said for x in ("bad allocation", "onnxruntimeerror", "arraymemoryerror", "unable to allocate"))
+
+
+def synthesize(voice: Synthesis, text: str) -> tuple[np.ndarray, int]:
+    """Samples of a text. Texts wait in reading order; one that is too large for the voice gives way to its halves."""
+    waiting, sounds, rates = [(text, HALVINGS)], [], set()
+    while waiting:
+        part, halvings = waiting.pop()
+        try:
+            samples, rate = voice(part)
+        except Exception as error:  # noqa: BLE001
+            smaller = halves_of(part) if is_too_large(error) and halvings and len(part.strip()) >= LEAST_CHARS else []
+            if len(smaller) < 2:
+                raise
+            waiting += [(half, halvings - 1) for half in reversed(smaller)]
+            continue
+        sounds.append(samples)
+        rates.add(rate)
+    if len(rates) > 1:
+        raise ValueError("sample rates differ")
+    return (sounds[0] if len(sounds) == 1 else np.concatenate(sounds)), rates.pop()
+
+
+def rendered(chunks: DataFrame, keys: list[str], text: str, voice: Synthesis = stub, unique: bool = False) -> DataFrame:
     """(*keys, n_samples long, sample_rate int): runs the voice over Arrow batches and keeps the lengths; a
-    null text gives none."""
+    null text gives none. With ``unique`` a chunk delivered twice is spoken once."""
     kinds, width = dict(chunks.dtypes), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,4 +153,4 @@ def rendered(chunks: DataFrame, keys: list[str], text: str, voice: Synthesis = s
             made = [synthesize(voice, t) if t else (np.zeros(0), RATE) for t in batch.column(width).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(width)), pa.array([len(x) for x, _ in made], pa.int64()), pa.array([r for _, r in made], pa.int32())], [*keys, "n_samples", "sample_rate"])
 
-    return spread(chunks.select(*keys, text), *keys).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_samples long, sample_rate int")
+    return spread(chunks.select(*keys, text), *keys, unique=unique).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_samples long, sample_rate int")

@@ -91,7 +91,8 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retry_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The halves in which each chunk would be spoken after a failure."""
     h = chunking.retry_halves(F.col("text"))
-    return table(spark, sf_dir, "chunks").where("text IS NOT NULL").select("chunk_id", "text", h.alias("h")).select("chunk_id", F.get("h", F.lit(0)).alias("first"), F.get("h", F.lit(1)).alias("second")).distinct()
+    own = spread(table(spark, sf_dir, "chunks").where("text IS NOT NULL").select("chunk_id", "text"), "chunk_id", unique=True)
+    return own.withColumn("h", h).select("chunk_id", F.get("h", F.lit(0)).alias("first"), F.get("h", F.lit(1)).alias("second"))
 
 
 # ---- Markdown
@@ -403,7 +404,7 @@ def group_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT chunk_id, 1600 * length(coalesce(text, ''))::BIGINT AS n_samples, 24000::INT AS sample_rate FROM chunks")
 def rendered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stub voice over every chunk."""
-    return render.rendered(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]), ["chunk_id"], "text")
+    return render.rendered(table(spark, sf_dir, "chunks"), ["chunk_id"], "text", unique=True)
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: trunc(greatest(-1.0, least(1.0, x::DOUBLE)) * 32767)::INT) AS pcm FROM embeddings")
@@ -478,7 +479,7 @@ def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last phase of every job by a stream over the log."""
     found = stream.last_phases(stream.events(spark, f"{sf_dir}/runner_log.parquet"))
-    return stream.run_to_table(spark, found, "phases").select("job_id", "phase")
+    return stream.run_to_table(spark, found, "phases", "job_id", "phase_at").select("job_id", "phase")
 
 
 # ---- sources and repair
@@ -515,9 +516,4 @@ def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     listed = pages.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("pages"))
 
-    @F.udf("binary")
-    def made(title: str, rows: list) -> bytes:
-        return epub.archive(title, [(r["n_name"], f"About {r['n_name']} & more") for r in rows])
-
-    files = listed.select(F.concat("r_name", F.lit(".epub")).alias("path"), made("r_name", "pages").alias("content"))
-    return epub.chapters(epub.books(files)).withColumn("chapter_index", F.col("chapter_index").cast("long"))
+    return epub.chapters(epub.books(epub.archives(listed.select("r_name", F.transform("pages", lambda p: F.struct(p["n_name"].alias("title"), F.concat(F.lit("About "), p["n_name"], F.lit(" & more")).alias("text"))).alias("pages"))))).withColumn("chapter_index", F.col("chapter_index").cast("long"))

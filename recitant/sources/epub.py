@@ -165,3 +165,14 @@ def archive(title: str, pages: list[tuple[str, str]]) -> bytes:
         for k, (t, text) in enumerate(pages):
             z.writestr(f"OPS/p{k}.xhtml", f"<html><body><h1>{escape(t)}</h1><p>{escape(text)}</p></body></html>")
     return out.getvalue()
+
+
+def archives(books: DataFrame) -> DataFrame:
+    """(path, content) of books made from (title, pages array<struct<title, text>>), whatever the two columns' names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(f"{title}.epub", archive(title, [(p["title"], p["text"]) for p in pages])) for title, pages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.string()), pa.array([x for _, x in made], pa.binary())], ["path", "content"])
+
+    return books.mapInArrow(run, "path string, content binary")

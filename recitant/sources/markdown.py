@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import LINE_END, WS, clean_markdown, strip
 from ..tables import importable, spread
@@ -33,10 +38,32 @@ def heading_levels(df: DataFrame, key: str, text: str) -> DataFrame:
     return _marked(df.where(F.col(text).isNotNull()), text, 0).select(key, F.col("_level").cast("long").alias("level"))
 
 
-def chapters(df: DataFrame, keys: list[str], text: str, fallback: str, level: int = 0) -> DataFrame:
+def _whole(df: DataFrame, keys: list[str], text: str, fallback: str, limit: int) -> DataFrame:
+    one = df.where(F.col(text).isNotNull()).select(*keys, F.col(fallback).alias("title"), clean_markdown(F.col(text)).alias("text"))
+    if limit <= 0:
+        return one.select(*keys, F.lit(1).cast("long").alias("part_no"), "title", "text")
+    return _in_parts(one, keys, limit, True)
+
+
+def _in_parts(made: DataFrame, keys: list[str], limit: int, first_plain: bool, order: str | None = None) -> DataFrame:
+    """Chapters (a row each) cut to the limit, numbered over their document."""
+    parts = made.select(*keys, *([order] if order else []), "title", _parts_of(F.col("text"), F.lit(limit)).alias("_texts")).withColumn("_n", F.size("_texts"))
+    rows = parts.select(*keys, *([order] if order else []), "title", "_n", F.posexplode("_texts").alias("_k", "text"))
+    bare = (F.col("_n") == 1) | F.lit(first_plain) & (F.col("_k") == 0)
+    named = rows.withColumn("title", F.when(bare, F.col("title")).otherwise(F.concat_ws(" ", "title", (F.col("_k") + 1).cast("string"))))
+    if not order:
+        return named.select(*keys, (F.col("_k") + 1).cast("long").alias("part_no"), "title", "text")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "_k")).cast("long")
+    return named.withColumn("_place", place).select(*keys, F.col("_place").alias("part_no"), "title", "text")
+
+
+def chapters(df: DataFrame, keys: list[str], text: str, fallback: str, level: int = 0, single: bool = False, max_chars: int = 0) -> DataFrame:
     """(*keys, part_no long from 1, title, text). Headings of the dividing level or above begin a chapter;
     chapters without text go; a document without any is one chapter under the title in column ``fallback``.
-    Null texts have no chapter."""
+    Null texts have no chapter. ``single`` takes each document as one chapter. Chapters of more than ``max_chars`` are cut
+    into numbered parts (0 for no limit); the first part of a ``single`` document keeps the bare title."""
+    if single:
+        return _whole(df, keys, text, fallback, max_chars)
     lines, starts = F.col("_lines"), F.col("_starts")
     marked = _marked(df.where(F.col(text).isNotNull()).select(*keys, text, F.col(fallback).alias("_fallback")), text, level)
     heads = F.filter(F.transform("_levels", lambda x, k: F.when((x > 0) & (x <= F.col("_level")), k)), lambda k: k.isNotNull())
@@ -54,26 +81,42 @@ def chapters(df: DataFrame, keys: list[str], text: str, fallback: str, level: in
     )
     made = cut.withColumn("_made", F.filter(F.transform("_parts", lambda s: F.struct(F.coalesce(s["title"], F.col("_fallback")).alias("title"), clean_markdown(s["raw"]).alias("text"))), lambda s: s["text"] != ""))
     kept = F.when(F.size("_made") > 0, F.col("_made")).otherwise(F.array(F.struct(F.col("_fallback").alias("title"), clean_markdown(F.col(text)).alias("text"))))
-    return made.select(*keys, F.posexplode(kept).alias("_pos", "_c")).select(*keys, (F.col("_pos") + 1).cast("long").alias("part_no"), "_c.title", "_c.text")
+    divided = made.select(*keys, F.posexplode(kept).alias("_pos", "_c")).select(*keys, (F.col("_pos") + 1).cast("long").alias("part_no"), "_c.title", "_c.text")
+    return _in_parts(divided, keys, max_chars, False, "part_no") if max_chars > 0 else divided
+
+
+_solid = re.compile(r"\S")
+
+
+def length_spans(text: str, limit: int) -> list[tuple[int, int]]:
+    """Spans of at most ``limit`` code points. A span ends behind the last blank line that lies whole within its window,
+    without one behind the last space, without either at the limit; the next begins at the next code point that is
+    no blank. The places where a span may end are listed once and searched by bisection."""
+    after_lines = [m.start() + 2 for m in re.finditer(r"\n(?=\n)", text)]
+    after_spaces = [m.end() for m in re.finditer(" ", text)]
+    spans, begin = [], 0
+    while begin < len(text):
+        end = min(len(text), begin + limit)
+        if end < len(text):
+            found = (places[k - 1] for places, least in ((after_lines, begin + 2), (after_spaces, begin + 1)) if (k := bisect_right(places, end)) and places[k - 1] > least)
+            end = next(found, end)
+        spans.append((begin, end))
+        solid = _solid.search(text, end)
+        begin = solid.start() if solid else len(text)
+    return spans
 
 
 def split_by_length(text: str, limit: int) -> list[str]:
-    """Parts of at most ``limit`` code points: after the last blank line in the window, else after the last
-    space, else at the limit; blanks between parts are passed over."""
+    """The texts of ``length_spans`` without outer blanks; the text as it is where it fits, where there is no limit or
+    where it is blank."""
     if limit <= 0 or len(text) <= limit:
         return [text]
-    parts, at = [], 0
-    while at < len(text):
-        stop = min(len(text), at + limit)
-        if stop < len(text):
-            for mark in ("\n\n", " "):
-                if (cut := text.rfind(mark, at, stop)) > at:
-                    stop = cut + len(mark)
-                    break
-        if part := text[at:stop].strip():
-            parts.append(part)
-        at = stop + len(text[stop:]) - len(text[stop:].lstrip())
-    return parts or [text]
+    return list(filter(None, (text[a:b].strip() for a, b in length_spans(text, limit)))) or [text]
+
+
+@pandas_udf(ArrayType(StringType()))
+def _parts_of(values: pd.Series, limits: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else split_by_length(t, int(n)) for t, n in zip(values, limits)])
 
 
 def limited_parts(df: DataFrame, key: str, text: str, limit: int) -> DataFrame:
@@ -88,10 +131,10 @@ def limited_parts(df: DataFrame, key: str, text: str, limit: int) -> DataFrame:
     return spread(df.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, part_no int, part string")
 
 
-def read(spark: SparkSession, paths: list[str], level: int = 0) -> DataFrame:
+def read(spark: SparkSession, paths: list[str], level: int = 0, single: bool = False, max_chars: int = 0) -> DataFrame:
     """(source_path, chapter_index, title, text, group_path) of Markdown files, each read whole as UTF-8; the
     fallback title is the file's name without suffix."""
     importable(spark)
     name = F.element_at(F.split("_metadata.file_path", "/"), -1)
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), "value", F.regexp_replace(F.url_decode(name), r"\.[^.]*$", "").alias("stem"))
-    return chapters(files, ["source_path"], "value", "stem", level).select("source_path", F.col("part_no").alias("chapter_index"), "title", "text", F.lit(None).cast("string").alias("group_path"))
+    return chapters(files, ["source_path"], "value", "stem", level, single, max_chars).select("source_path", F.col("part_no").alias("chapter_index"), "title", "text", F.lit(None).cast("string").alias("group_path"))

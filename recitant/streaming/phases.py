@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.events import phase_of
+from ..tables import shared_folder
 
 SCHEMA = "event_id bigint, job_id bigint, worker_name string, event_kind string, line_text string, logged_at timestamp_ntz, received_at timestamp_ntz"
 
@@ -23,21 +23,24 @@ def events(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFr
 
 
 def last_phases(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
-    """(job_id, phase_at, phase): per job the last line that announces a phase. Deliveries of the same event
-    count once within the lateness allowed; state older than that is let go."""
+    """(job_id, phase_at, phase): per job the last line that announces a phase, so far. An event delivered again within
+    ``lateness`` of its first delivery counts once; the watermark lets older event ids go. State is then one row a job."""
     timed = stream.withColumn("received", F.col("received_at").cast("timestamp")).withWatermark("received", lateness)
-    announced = timed.withColumn("phase", phase_of(F.col("line_text"))).where("phase IS NOT NULL")
+    announced = timed.withColumn("phase", phase_of(F.col("line_text"))).where("phase IS NOT NULL").dropDuplicatesWithinWatermark(["event_id"])
     return announced.groupBy("job_id").agg(F.max(F.struct("logged_at", "event_id", "phase")).alias("s")).select("job_id", F.col("s.logged_at").alias("phase_at"), F.col("s.phase").alias("phase"))
 
 
-def run_to_table(spark: SparkSession, result: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over all that is there and gives its final result, a table in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recitant-")
-    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def run_to_table(spark: SparkSession, result: DataFrame, name: str, key: str, version: str) -> DataFrame:
+    """Runs a stream over all that is there and gives its final result from the shared folder. In update mode each
+    batch delivers the rows that changed, written once under the batch's number, so a batch that is repeated replaces
+    itself; the reader takes for each ``key`` the row of the highest ``version``."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table")
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
 
-    query = result.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query = result.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/table")
+    rows = spark.read.schema(", ".join(f"`{c}` {t}" for c, t in result.dtypes) + ", batch int").parquet(f"{folder}/table")
+    rest = [c for c in result.columns if c != key]
+    return rows.groupBy(key).agg(F.max(F.struct(version, "batch", *(c for c in rest if c != version))).alias("r")).select(key, *(f"r.{c}" for c in rest))

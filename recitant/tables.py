@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,25 +25,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def scan_tasks(df: DataFrame) -> int:
+    """Tasks that the scans of a plan give: the sum over a union, the larger side of a join. Only the planner is asked:
+    no job runs."""
+
+    def tasks(node) -> int:
+        children = node.children()
+        if children.isEmpty():
+            rdd = node.inputRDD() if node.getClass().getSimpleName() == "FileSourceScanExec" else node.execute()
+            return rdd.getNumPartitions()
+        own = [tasks(children.apply(k)) for k in range(children.size())]
+        return sum(own) if node.getClass().getSimpleName() == "UnionExec" else max(own)
+
+    return tasks(df._jdf.queryExecution().sparkPlan())
+
+
+def spread(df: DataFrame, *keys: str, unique: bool = False) -> DataFrame:
     """Rows for CPU-bound Python stages, in at least as many partitions as there are cores.
 
     A scan that already gives one task per core passes unchanged, so that large inputs are never
     shuffled for this; a scan of a few unsplittable files is hashed on ``keys`` (deterministic, so a lost
-    task can be repeated alone).
+    task can be repeated alone). With ``unique`` one row for each value of ``keys`` stays: the rows are hashed on them
+    once, into as many partitions as the scan has tasks, and are told apart there. ``df`` holds scans, projections and
+    filters alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    cores, tasks = df.sparkSession.sparkContext.defaultParallelism, scan_tasks(df)
+    if unique:
+        return df.repartition(max(cores, tasks), *keys).dropDuplicates(list(keys))
+    return df if tasks >= cores else df.repartition(cores, *keys)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it. Where it is unset, a session on
+    this machine alone gets a folder of its own, which goes with the process; a cluster is an error."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    global _own
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="recitant-")
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
+    return _own
+
+
+_own: str | None = None
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder that all executors share."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder; Spark removes the files when the
+    frame is gone if ``spark.cleaner.referenceTracking.cleanCheckpoints`` says so."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recitant-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

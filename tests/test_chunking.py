@@ -1,54 +1,24 @@
-"""Chunks against a plain loop that states the same packing rules."""
+"""Chunks by the properties of a greedy packing, and against the packing found by trying all of them."""
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from recitant.functions import chunking
 
 
-def pack(items, limit, joint):
-    out, buffer = [], ""
-    for item in items:
-        if buffer and len(buffer) + len(joint) + len(item) > limit:
-            out.append(buffer)
-            buffer = item
-        else:
-            buffer = item if not buffer else buffer + joint + item
-    return out, buffer
-
-
-def split(text):
-    text = re.sub(r"\s+", " ", text).strip()
-    return [x for x in re.split(r"(?<=[.!?]) (?=[A-Z0-9\"'])", text) if x]
-
-
-def loop(text, limit):
-    out, buffer, size = [], [], 0
-    for p in [x.strip() for x in re.split(r"\n\s*\n+", text) if x.strip()]:
-        if len(p) > limit:
-            if buffer:
-                out.append(" ".join(buffer))
-            buffer, size, held = [], 0, ""
-            for s in split(p):
-                if held and len(held) + 1 + len(s) > limit:
-                    out.append(held)
-                    held = s
-                elif not held and len(s) > limit:
-                    full, rest = pack(s.split(" "), limit, " ")
-                    out += [*full, rest]
-                else:
-                    held = f"{held} {s}" if held else s
-            if held:
-                out.append(held)
-        elif buffer and size + 2 + len(p) > limit:
-            out.append(" ".join(buffer))
-            buffer, size = [p], len(p)
-        else:
-            size += len(p) + (2 if buffer else 0)
-            buffer.append(p)
-    return out + ([" ".join(buffer)] if buffer else [])
+def flat(text):
+    return " ".join(text.split())
+
+
+def sentences(text):
+    return [x for x in re.split(r"(?<=[.!?]) (?=[A-Z0-9\"'])", flat(text)) if x]
+
+
+def paragraphs(text):
+    return [p for p in (x.strip() for x in re.split(r"\n\s*\n+", text)) if p]
 
 
 def texts():
@@ -56,20 +26,72 @@ def texts():
     word = lambda: chance.choice(["a", "Word", "longer", "x" * chance.randint(1, 60), "Ünï", "3"])
     made = []
     for _ in range(150):
-        paragraphs = []
+        blocks = []
         for _ in range(chance.randint(1, 6)):
-            paragraphs.append(chance.choice([" ", "\n", "  "]).join(word() + chance.choice(["", "", ".", "!", "?"]) for _ in range(chance.randint(1, 40))))
-        made.append(chance.choice(["\n\n", "\n \n\n"]).join(paragraphs))
-    return [*made, "", "   ", "x" * 2000, "Short. " + "y" * 500 + " End.", "A\r\n\r\nB", "a b c"]
+            blocks.append(chance.choice([" ", "\n", "  "]).join(word() + chance.choice(["", "", ".", "!", "?"]) for _ in range(chance.randint(1, 40))))
+        made.append(chance.choice(["\n\n", "\n \n\n"]).join(blocks))
+    return [*made, "", "   ", "x" * 2000, "Short. " + "y" * 500 + " End.", "A\r\n\r\nB", "a b c"]
 
 
-def test_chunks_equal_the_loop(spark):
-    rows = list(enumerate(texts()))
-    df = spark.createDataFrame(rows, "k int, text string")
+def packed(spark, rows, limit):
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, text string")
+    got = {r.k: r.c for r in df.select("k", chunking.chunks(F.col("text"), limit).alias("c")).collect()}
+    return [got[k] for k in range(len(rows))]
+
+
+def test_nothing_is_lost_and_nothing_too_long(spark):
+    rows = texts()
     for limit in (20, 80, 450):
-        got = {r.k: r.c for r in df.select("k", chunking.chunks(F.col("text"), limit).alias("c")).collect()}
-        for k, text in rows:
-            assert got[k] == loop(text, limit), (limit, text)
+        for text, chunks in zip(rows, packed(spark, rows, limit)):
+            whole = {x for p in paragraphs(text) for x in sentences(p)}
+            assert flat(" ".join(chunks)) == flat(text)
+            for c in chunks:
+                assert c and (len(c) <= limit or c in whole or " " not in c)
+
+
+def test_whole_paragraphs_are_packed_greedily(spark):
+    """Where all paragraphs fit, each chunk is a run of them, and none could have taken the next one."""
+    chance = random.Random(8)
+    rows = ["\n\n".join("w" * chance.randint(1, 30) for _ in range(chance.randint(1, 12))) for _ in range(120)]
+    for text, chunks in zip(rows, packed(spark, rows, 40)):
+        left = paragraphs(text)
+        for k, c in enumerate(chunks):
+            own = c.split(" ")
+            assert left[: len(own)] == own and sum(map(len, own)) + 2 * (len(own) - 1) <= 40
+            left = left[len(own) :]
+            assert bool(left) == (k + 1 < len(chunks))
+            assert not left or sum(map(len, own)) + 2 * len(own) + len(left[0]) > 40
+        assert not left
+
+
+def test_sentences_of_one_paragraph_are_packed_greedily(spark):
+    chance = random.Random(9)
+    rows = [" ".join("W" * chance.randint(1, 28) + "." for _ in range(chance.randint(3, 12))) for _ in range(120)]
+    rows = [r for r in rows if len(r) > 40]
+    for text, chunks in zip(rows, packed(spark, rows, 40)):
+        left = sentences(text)
+        for c in chunks:
+            own = c.split(" ")
+            assert left[: len(own)] == own and len(c) <= 40
+            left = left[len(own) :]
+            assert not left or len(c) + 1 + len(left[0]) > 40
+        assert not left
+
+
+def test_known_cases(spark):
+    rows = ["Ab. Cd.\n\nEf.", "Short one. " + "Y" * 30 + " end.", "y" * 30 + " tail end here", "one two three four five six"]
+    assert packed(spark, rows, 20) == [["Ab. Cd. Ef."], ["Short one.", "Y" * 30 + " end."], ["y" * 30, "tail end here"], ["one two three four", "five six"]]
+
+
+def test_long_rows_take_time_in_proportion(spark):
+    def took(times):
+        df = spark.createDataFrame([(("The ferryman opened the old gate. Nobody saw it, and nobody asked. " * 12 + "\n\n") * times,)], "text string")
+        began = time.time()
+        assert df.select(F.size(chunking.chunks(F.col("text"), 450)).alias("n")).first().n > times
+        return time.time() - began
+
+    took(10)
+    assert took(6000) < 6  # about 5 million code points
 
 
 def test_sections_and_halves(spark):
