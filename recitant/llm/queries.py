@@ -23,9 +23,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean text and blocks of every chapter and chunk; a chunk delivered twice appears once."""
-    chapters = table(spark, sf_dir, "chapters").select(F.lit("chapters").alias("rec_table"), F.col("chapter_id").alias("rec_id"), "text")
-    chunks = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]).select(F.lit("chunks").alias("rec_table"), F.col("chunk_id").alias("rec_id"), "text")
-    return markup.convert(chapters.unionByName(chunks), ["rec_table", "rec_id"], "text")
+    return markup.convert(chapters_and_chunks(spark, sf_dir, "text"), ["rec_table", "rec_id"], "text", unique=True)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +45,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every chapter and chunk; chunks delivered twice appear once."""
-    chapters = sentences.sentences_of(table(spark, sf_dir, "chapters"), "chapter_id", "text").withColumnRenamed("chapter_id", "rec_id")
-    chunks = sentences.sentences_of(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]), "chunk_id", "text").withColumnRenamed("chunk_id", "rec_id")
-    return chapters.select(F.lit("chapters").alias("rec_table"), "*").unionByName(chunks.select(F.lit("chunks").alias("rec_table"), "*"))
+    return sentences.sentences_of(chapters_and_chunks(spark, sf_dir, "text"), ["rec_table", "rec_id"], "text", unique=True)
 
 
 def _language_models(spark: SparkSession, sf_dir: str) -> tuple[language.Model, encoding.Repairer]:
     texts = samples.training_texts(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources"))
     common: dict[str, list[str]] = {}
-    for lang, word in table(spark, sf_dir, "common_words").select("lang", "word").distinct().limit(100_000).collect():
+    for lang, word in _common_words(spark, sf_dir):
         common.setdefault(lang, []).append(word)
     return language.train(texts, common), encoding.train(texts)
 
@@ -153,9 +149,16 @@ def p8_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.unused_room(p8_containers(spark, sf_dir))
 
 
-def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The words of all languages: a fixed table of a few hundred rows."""
-    return [r[0] for r in table(spark, sf_dir, "common_words").select("word").distinct().limit(100_000).collect()]
+#: Rows that the fixed table of common words may have.
+COMMON_WORDS = 100_000
+
+
+def _common_words(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """(language, word) of the fixed table, a few hundred rows; a table above the bound is an error."""
+    rows = table(spark, sf_dir, "common_words").where("word IS NOT NULL").select("lang", "word").distinct().limit(COMMON_WORDS + 1).collect()
+    if len(rows) > COMMON_WORDS:
+        raise ValueError(f"more than {COMMON_WORDS} common words")
+    return [(r[0], r[1]) for r in rows]
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +167,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statistics and the kind of every document."""
-    return quality.statistics(table(spark, sf_dir, "documents"), "doc_id", "text", _common_words(spark, sf_dir))
+    return quality.statistics(table(spark, sf_dir, "documents"), "doc_id", "text", [w for _, w in _common_words(spark, sf_dir)])
 
 
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
