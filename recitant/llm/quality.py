@@ -1,12 +1,17 @@
 """Problem 9: text statistics of documents, and what a document is: prose, list, table or junk.
 
-All counts of code-point classes are taken with numpy over an Arrow batch at a time; only line and word
+Counts of code-point classes and repetition are taken with numpy over an Arrow batch at a time; only line and word
 tables are built per document. No document looks at another one, so the whole is one scan without shuffle.
 
 Terms. A word is a code point of a script written without spaces (Thai, kana, Han), or a run of other
 non-blank code points that holds a letter or digit. A symbol is a code point of the Unicode categories S*
 or one of ``# * / \\ | @ & % _ { } [ ]``. Lines and paragraphs (divided by blank lines) count if not blank.
 
+Repetition. ``ngram_coverage`` has for n = 2 to 10 the share of the words' characters that lies in the n-gram which covers
+the most. ``repeated_share`` is the share of the words that lies in runs of RUN words (a third of a shorter text) which
+stand in the text before. Both go by equal words in lower case without outer signs. The kind of a document comes from these
+statistics, the shares of duplicate lines and paragraphs and the shape of the lines by the rules of ``kind_of``.
+
 Defined results: null, empty and blank texts have counts 0, shares 0.0 and no kind (null); repeated rows
 give repeated rows; shares are rounded to 4 places.
 """
@@ -19,7 +24,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import nlargest
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -88,24 +93,70 @@ def word_list(text: str) -> list[str]:
     return [w for w in _words.findall(text) if any(c.isalpha() or unicodedata.category(c)[0] == "N" for c in w)]
 
 
-def ngram_coverage(words: list[str], n: int = 3) -> float:
-    """Share of the words' characters that lies in occurrences of the n-gram which covers the most,
-    overlapping occurrences counted once."""
-    if len(words) < n:
-        return 0.0
-    where: dict[tuple, list[int]] = {}
-    for k, gram in enumerate(zip(*(words[i:] for i in range(n)))):
-        where.setdefault(gram, []).append(k)
-    total = sum(map(len, words))
-    best = 0
-    for gram, at in where.items():
-        if len(at) > 1:
-            size, last, covered = list(map(len, gram)), -n, 0
-            for k in at:
-                covered += sum(size[max(0, last + n - k) :])
-                last = k
-            best = max(best, covered)
-    return best / total if total else 0.0
+SIZES = range(2, 11)
+#: Words of a run that counts as repeated, a third of a shorter text.
+RUN = 20
+_mix, _base, _mask = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF)
+
+
+def _repeats(code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run number, place) of the places ``at`` whose code another place has too, by run, then place."""
+    own = code[at]
+    order = np.argsort(own)
+    same = own[order][1:] == own[order][:-1]
+    shared = np.zeros(len(own), dtype=bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    begins = np.concatenate([[True], ~same])[shared] if len(own) else np.zeros(0, dtype=bool)
+    pairs = ((np.cumsum(begins).astype(np.uint64)) << np.uint64(32)) | at[order[shared]].astype(np.uint64)
+    pairs.sort()
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & _mask).astype(np.int64)
+
+
+def repetition(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """For texts as lists of words: their n-gram coverages (a column for each n of SIZES) and repeated shares.
+
+    The texts lie end to end, and every n-gram has a 64-bit number in which its text counts. An n-gram can repeat only
+    where its first n - 1 words do, so each n looks at the places that the one before left."""
+    numbers: dict[str, int] = {}
+    flat = [w for words in texts for w in words]
+    known = np.fromiter((numbers.setdefault(w, len(numbers)) for w in flat), dtype=np.uint64, count=len(flat))
+    counts = np.array([len(words) for words in texts], dtype=np.int64)
+    text, ends = np.repeat(np.arange(len(texts)), counts), np.cumsum(counts)
+    chars = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)))])
+    part = (known + np.uint64(1)) * _mix
+    part ^= part >> np.uint64(29)
+    seed = (np.arange(len(texts), dtype=np.uint64) + np.uint64(1)) * _base
+    code = part + seed[text] if len(flat) else part
+    covered, repeated = np.zeros((len(texts), len(SIZES))), np.zeros(len(texts))
+    at = np.arange(len(flat))
+    by_size: dict[int, list[int]] = {}
+    for k, n in enumerate(counts.tolist()):
+        if n >= 12 and len(set(texts[k])) < n:
+            by_size.setdefault(min(RUN, n // 3), []).append(k)
+    for n in range(1, RUN + 1):
+        if n > 1:
+            at = at[at + n <= ends[text[at]]]
+            longer = np.zeros_like(code)
+            longer[at] = code[at] * _base + part[at + n - 1]
+            code = longer
+        run, at_ = _repeats(code, at)
+        if n in SIZES and len(run):
+            first = np.concatenate([[True], run[1:] != run[:-1]])
+            begin = np.where(first, at_, np.maximum(at_, np.concatenate([[0], at_[:-1] + n])))
+            sums = np.add.reduceat(chars[at_ + n] - chars[begin], np.flatnonzero(first))
+            np.maximum.at(covered[:, n - SIZES[0]], text[at_[first]], sums)
+        if own := by_size.get(n):
+            later = np.concatenate([[False], run[1:] == run[:-1]]) if len(run) else np.zeros(0, dtype=bool)
+            edge = np.zeros(len(flat) + 1, dtype=np.int64)
+            np.add.at(edge, at_[later], 1)
+            np.add.at(edge, at_[later] + n, -1)
+            inside = np.concatenate([[0], np.cumsum(edge.cumsum()[:-1] > 0)])
+            for k in own:
+                repeated[k] = (inside[ends[k]] - inside[ends[k] - counts[k]]) / counts[k]
+        at = np.sort(at_)
+    total = chars[ends] - chars[ends - counts] if len(texts) else np.zeros(0)
+    return covered / np.maximum(total, 1)[:, None], repeated
 
 
 # ---- kind
@@ -157,80 +208,72 @@ def _table_share(lines: list[str], text: str) -> float:
             columns = [c for c, k in wide.items() if k >= 0.6 * n]
             if columns:
                 best = max(best, sum(bool(_gap.search(x)) for x in lines) / n)
-            elif sum(len(_gap.findall(x)) >= 1 for x in lines) > 0.8 * n and not any(_contents.search(x) for x in lines[:5]):
+            elif sum(len(_gap.findall(x)) >= 1 for x in lines) > 0.8 * n and not any(map(_contents.search, lines)):
                 first = Counter(c for x in lines for c in [m.end() for m in _gap.finditer(x)])
                 if first.most_common(1)[0][1] >= 0.5 * n:
                     best = max(best, 0.8)
     return best
 
 
-#: Share of a text that may repeat what stands before it in the text; three times the same is above it.
+#: Share of a text that may repeat what stands before it; three times the same is above it.
 REPEATED = 0.66
-#: Words (code points of scripts written without spaces) of a run that counts as repeated, a third of a shorter text.
-RUN = 20
+#: Share of a text that one phrase of five words or more may cover.
+DOMINANT = 0.45
 #: Words of a window in which words are counted as few, so that the length of a text doesn't matter.
 WINDOW = 400
 
 
-def duplicate_share(parts: list[str]) -> float:
-    """Share of the characters of lines or paragraphs that lies in repeats of earlier ones."""
-    return 1 - sum(map(len, set(parts))) / total if (total := sum(map(len, parts))) else 0.0
-
-
-def repeats_itself(words: list[str], times: Counter[str]) -> bool:
-    """Whether one 3-gram covers most of the text (``ngram_coverage``), or runs of RUN words that stand in the text
-    before do. Bounds leave out only what can't be: a gram covers no more than its three words have, and a word in
-    a repeated run has been there before. ``times``: how often each word occurs."""
-    total = len(words)
-    if total < 12:
+class Measures(NamedTuple):
+    """The statistics of one text, unrounded, and its parts."""
+
+    letters: int
+    symbols: int
+    solid: int
+    singles: int
+    digits: int
+    words: int
+    lines: list[str]  # as written but for outer blanks
+    common_word_share: float
+    punct_line_share: float
+    dup_line_share: float
+    dup_paragraph_share: float
+    coverage: np.ndarray
+    repeated_share: float
+
+
+def says_the_same(m: Measures) -> bool:
+    """Whether a text says the same over and over: runs of words, whole paragraphs or lines, or one phrase make most of it,
+    or no one of them alone but runs and paragraphs together."""
+    if m.words < 12:
         return False
-    if sum(nlargest(3, [n * len(w) for w, n in times.items()])) > REPEATED * sum(map(len, words)) and ngram_coverage(words) > REPEATED:
+    if m.repeated_share > REPEATED or m.coverage[3:].max() > DOMINANT or m.coverage[1:3].max() > REPEATED:
         return True
-    if len(times) >= (1 - REPEATED) * total:
-        return False
-    run, have, at = min(RUN, total // 3), 0, dict(zip(times, range(1, len(times) + 1)))
-    part = np.fromiter(map(at.__getitem__, words), dtype=np.uint64, count=total) * np.uint64(0x9E3779B97F4A7C15)
-    part ^= part >> np.uint64(29)
-    code, width, base = None, 1, 0xD6E8FEB86659FD93
-    while width <= run:  # 64-bit numbers of the runs from those of runs half as long
-        if run & width:
-            code = part if code is None else code[: total - have - width + 1] * np.uint64(base) + part[have : total - width + 1]
-            have += width
-        part = part[:-width] * np.uint64(base) + part[width:]
-        base, width = base * base % (1 << 64), 2 * width
-    _, first = np.unique(code, return_index=True)
-    repeat = np.ones(len(code), dtype=np.int32)
-    repeat[first] = 0
-    edge = np.zeros(total + 1, dtype=np.int32)
-    edge[: len(code)] += repeat
-    edge[run : run + len(code)] -= repeat
-    return np.count_nonzero(edge.cumsum()) > REPEATED * total
-
-
-def kind_of(text: str, letters: int, symbols: int, solid: int, singles_: int, words: int, digits: int) -> str | None:
+    long_lines = sum(map(len, m.lines)) > 12 * len(m.lines) >= 48
+    if long_lines and max(m.dup_line_share, m.dup_paragraph_share) > REPEATED:
+        return True
+    return long_lines and (1 - m.repeated_share) * (1 - m.dup_paragraph_share) < 1 - REPEATED
+
+
+def kind_of(text: str, m: Measures) -> str | None:
     """prose, list, table or junk; None for a blank text."""
+    solid, letters, symbols, lines = m.solid, m.letters, m.symbols, m.lines
     if not solid:
         return None
-    lines = [x for x in (y.strip("\r ") for y in text.replace("\r", "\n").split("\n")) if x.strip()]
     n = len(lines)
     # -- nothing that could be read
     strange = len(_ascii_signs.findall(text))  # wrong decodings give other signs than these
-    if solid >= 20 and letters < 0.35 * solid and strange + digits > 0.15 * solid and _table_share(lines, text) < 0.6:
+    table = _table_share(lines, text)
+    if solid >= 20 and letters < 0.35 * solid and strange + m.digits > 0.15 * solid and table < 0.6:
         return "junk"
     tokens = text.split()
     longs = sum(map(len, _coded.findall(text)))
-    if longs > 0.5 * solid and singles_ < 0.2 * solid:
+    if longs > 0.5 * solid and m.singles < 0.2 * solid:
         return "junk"
-    table = _table_share(lines, text)
     if table >= 0.6:
         return "table"
     # -- the same over and over
-    if n >= 4 and sum(map(len, lines)) / n > 12 and duplicate_share(list(map(str.strip, lines))) > REPEATED:
+    if says_the_same(m):
         return "junk"
-    if n >= 4:
-        paragraphs = [x for x in map(str.strip, _paragraphs.split(text.replace("\r\n", "\n").replace("\r", "\n"))) if x]
-        if len(paragraphs) >= 3 and solid / len(paragraphs) > 12 and duplicate_share(paragraphs) > REPEATED:
-            return "junk"
     number: Counter[str] = Counter()
     for token, times in Counter(tokens).items():
         if word := _edges.sub("", token).lower():
@@ -247,9 +290,6 @@ def kind_of(text: str, letters: int, symbols: int, solid: int, singles_: int, wo
             edges = [total * k // parts for k in range(parts + 1)]
             if sum(len(set(row[x:y])) for x, y in zip(edges, edges[1:])) < 0.12 * total:
                 return "junk"
-    units = _words.findall(text) if singles_ else tokens
-    if repeats_itself(units, Counter(units)):
-        return "junk"
     if total >= 8:
         # -- letters that make no words
         latin = [(w, k) for w, k in number.items() if w.isascii() and w.isalpha() and len(w) > 2]
@@ -265,7 +305,7 @@ def kind_of(text: str, letters: int, symbols: int, solid: int, singles_: int, wo
             scripts = [_script(w) for w in (_edges.sub("", t) for t in tokens) if w]
             if sum(a != b for a, b in zip(scripts, scripts[1:])) > 0.45 * (len(scripts) - 1):
                 return "junk"
-    if strange > 0.06 * solid and symbols > 0.15 * solid and words and letters < 0.75 * solid:
+    if strange > 0.06 * solid and symbols > 0.15 * solid and m.words and letters < 0.75 * solid:
         return "junk"
     # -- one short entry a line
     if n >= 3:
@@ -303,60 +343,57 @@ def _is_entry(line: str, bare: bool) -> bool:
     return len(line) <= (20 if dense else 70)
 
 
+def measured(texts: list[str], common: frozenset[str] = frozenset()) -> list[Measures]:
+    """The statistics of texts; ``common`` are the common words in lower case."""
+    c = {k: v.tolist() for k, v in counts(texts).items()}
+    words = [[w for w in (_edges.sub("", w).lower() for w in _words.findall(t)) if w] for t in texts]
+    coverage, repeated = repetition(words)
+    out = []
+    for k, t in enumerate(texts):
+        u = t.replace("\r\n", "\n").replace("\r", "\n") if "\r" in t else t
+        lines = [x for x in (y.strip(" ") for y in u.split("\n")) if x.strip()]
+        bare = [x.strip() for x in lines]
+        paragraphs = [x for x in map(str.strip, _paragraphs.split(u)) if x] if "\n" in u else bare
+        share = lambda part, whole: part / whole if whole else 0.0
+        out.append(
+            Measures(
+                *(c[x][k] for x in ("letters", "symbols", "solid", "singles", "digits", "words")), lines, share(sum(w in common for w in words[k]), c["words"][k]), share(sum(bool(_ended.search(x)) for x in bare), len(bare)),
+                share(len(bare) - len(set(bare)), len(bare)), share(len(paragraphs) - len(set(paragraphs)), len(paragraphs)), coverage[k], float(repeated[k]),
+            )
+        )
+    return out
+
+
+COLUMNS = (
+    "word_count long, mean_word_length double, symbol_ratio double, punct_line_share double, common_word_share double, dup_line_share double, dup_paragraph_share double, "
+    "ngram_coverage array<double>, repeated_share double, doc_kind string"
+)
+
+
 def statistics(df: DataFrame, key: str, text: str, common_words: list[str]) -> DataFrame:
-    """(key, word_count, mean_word_length, symbol_ratio, punct_line_share, common_word_share,
-    dup_line_share, dup_paragraph_share, ngram_coverage, doc_kind)."""
+    """(key, word_count, mean_word_length, symbol_ratio, punct_line_share, common_word_share, dup_line_share,
+    dup_paragraph_share, ngram_coverage array of nine, repeated_share, doc_kind)."""
     kind = dict(df.dtypes)[key]
     common = frozenset(w.lower() for w in common_words if w)
-    names = [key, "word_count", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share", "dup_line_share", "dup_paragraph_share", "ngram_coverage", "doc_kind"]
+    names = [key, *(x.split()[0] for x in COLUMNS.split(", "))]
+    types = [pa.int64(), *[pa.float64()] * 6, pa.list_(pa.float64()), pa.float64(), pa.string()]
 
-    def share(a: float, b: float) -> float:
-        return math.floor(float(a) / float(b) * 10_000 + 0.5) / 10_000 if b else 0.0
+    def share(x: float) -> float:
+        return math.floor(x * 10_000 + 0.5) / 10_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                c = counts(texts)
-                rows = []
-                for k, t in enumerate(texts):
-                    lines = [x for x in map(str.strip, t.replace("\r\n", "\n").replace("\r", "\n").split("\n")) if x]
-                    paragraphs = [x for x in map(str.strip, _paragraphs.split(t.replace("\r\n", "\n").replace("\r", "\n"))) if x]
-                    words = [w for w in (_edges.sub("", w).lower() for w in _words.findall(t)) if w]
-                    rows.append(
-                        (
-                            int(c["words"][k]),
-                            share(c["letters"][k], c["words"][k]),
-                            share(c["symbols"][k], c["solid"][k]),
-                            share(sum(bool(_ended.search(x)) for x in lines), len(lines)),
-                            share(sum(w in common for w in words), c["words"][k]),
-                            share(len(lines) - len(set(lines)), len(lines)),
-                            share(len(paragraphs) - len(set(paragraphs)), len(paragraphs)),
-                            round(ngram_coverage(words), 4),
-                            kind_of(t, *(int(c[x][k]) for x in ("letters", "symbols", "solid", "singles", "words", "digits"))),
-                        )
+                rows = [
+                    (
+                        m.words, share(m.letters / m.words) if m.words else 0.0, share(m.symbols / m.solid) if m.solid else 0.0, share(m.punct_line_share), share(m.common_word_share), share(m.dup_line_share),
+                        share(m.dup_paragraph_share), np.round(m.coverage, 4), round(m.repeated_share, 4), kind_of(t, m),
                     )
-                columns = list(zip(*rows)) if rows else [[]] * 9
-                types = [pa.int64()] + [pa.float64()] * 7 + [pa.string()]
+                    for t, m in zip(texts, measured(texts, common))
+                ]
+                columns = list(zip(*rows)) if rows else [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, y) for x, y in zip(columns, types))], names)
 
-    return spread(df.select(key, text), key).mapInArrow(
-        run, f"`{key}` {kind}, word_count long, mean_word_length double, symbol_ratio double, punct_line_share double, common_word_share double, dup_line_share double, dup_paragraph_share double, ngram_coverage double, doc_kind string"
-    )
-
-
-def kinds(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, doc_kind): the combined rules of ``kind_of`` alone; null for null, empty and blank texts."""
-    type_ = dict(df.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                c = [x.tolist() for x in map(counts(texts).__getitem__, ("letters", "symbols", "solid", "singles", "words", "digits"))]
-                found = [kind_of(t, *x) for t, *x in zip(texts, *c)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], [key, "doc_kind"])
-
-    return spread(df.select(key, text), key).mapInArrow(run, f"`{key}` {type_}, doc_kind string")
+    return spread(df.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, {COLUMNS}")

@@ -162,7 +162,7 @@ def _common_words(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.kinds(table(spark, sf_dir, "documents"), "doc_id", "text").where("doc_kind <> 'prose'")
+    return p9_report(spark, sf_dir).where("doc_kind <> 'prose'").select("doc_id", "doc_kind")
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics that SQL can express too."""
-    return p9_report(spark, sf_dir).drop("ngram_coverage", "doc_kind")
+    return p9_report(spark, sf_dir).drop("ngram_coverage", "repeated_share", "doc_kind")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

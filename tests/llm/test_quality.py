@@ -1,6 +1,5 @@
 import os
 import random
-from collections import Counter
 
 import pytest
 
@@ -10,8 +9,7 @@ DATA = "/root/testdata/sf0.01"
 
 
 def kind(text):
-    c = Q.counts([text])
-    return Q.kind_of(text, *(int(c[x][0]) for x in ("letters", "symbols", "solid", "singles", "words", "digits")))
+    return Q.kind_of(text, Q.measured([text])[0])
 
 
 def test_kinds():
@@ -41,23 +39,36 @@ def test_repeats_are_junk_at_any_size():
     assert kind(" ".join(chance.choice(words[:31]) for _ in range(3000))) == "junk"
 
 
-def test_repeats_against_a_loop():
+def test_one_phrase_or_equal_paragraphs():
+    chance = random.Random(2)
+    word = lambda: "".join(chance.choice("aeiourstlnmd") for _ in range(chance.randint(3, 8)))
+    phrase, fresh = " ".join(word() for _ in range(14)), [" ".join(word() for _ in range(7)) for _ in range(20)]
+    text = ". ".join(x for k in range(20) for x in (phrase.capitalize(), fresh[k].capitalize())) + "."
+    assert kind(text) == "junk"  # two thirds of it is one phrase of 14 words
+    same = " ".join(word() for _ in range(40)).capitalize() + "."
+    other = [" ".join(word() for _ in range(40)).capitalize() + "." for _ in range(9)]
+    assert kind("\n\n".join([same] * 9 + other)) == "junk" and kind("\n\n".join([same] * 2 + other)) == "prose"
+
+
+def test_repetition_against_a_loop():
     def loop(words):
         run, seen, covered = min(Q.RUN, len(words) // 3), set(), set()
         for k in range(len(words) - run + 1):
             if (gram := tuple(words[k : k + run])) in seen:
                 covered.update(range(k, k + run))
             seen.add(gram)
-        return Q.ngram_coverage(words) > Q.REPEATED or len(covered) > Q.REPEATED * len(words)
+        return len(covered) / len(words)
 
-    chance, got = random.Random(1), Counter()
-    for _ in range(600):
+    chance, texts = random.Random(1), []
+    for _ in range(300):
         unit = [chance.choice("abcdefghij") + str(chance.randint(0, chance.choice([1, 9]))) for _ in range(chance.randint(1, 40))]
-        words = (unit * chance.randint(1, 12))[: chance.randint(12, 400)] + [str(k) for k in range(chance.choice([0, 0, 5, 20, 60]))]
-        if len(words) >= 12:
-            assert Q.repeats_itself(words, Counter(words)) == loop(words)
-            got[loop(words)] += 1
-    assert min(got[True], got[False]) > 100
+        texts.append((unit * chance.randint(1, 12))[: chance.randint(12, 400)] + [str(k) for k in range(chance.choice([0, 0, 5, 20, 60]))])
+    texts += [[], ["a"], ["a"] * 11, ["a"] * 500]
+    coverage, repeated = Q.repetition(texts)
+    for k, words in enumerate(texts):
+        assert repeated[k] == pytest.approx(loop(words) if len(words) >= 12 else 0.0)
+        for n in (2, 3, 7, 10):
+            assert coverage[k][n - 2] == pytest.approx(most_covered(words, n))
 
 
 def test_counts_against_a_loop():
@@ -71,17 +82,15 @@ def test_counts_against_a_loop():
         assert got["solid"][k] == sum(not c.isspace() for c in t)
 
 
-def test_ngram_coverage_against_a_loop():
-    def loop(words, n=3):
-        total, best = sum(map(len, words)), 0
-        for g in {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}:
-            at = [k for k in range(len(words) - n + 1) if tuple(words[k : k + n]) == g]
-            if len(at) > 1:
-                best = max(best, sum(len(words[i]) for i in {k + j for k in at for j in range(n)}))
-        return best / total if total else 0.0
-
-    for text in ("a b c a b c a b c", "x x x x x", "one two three four", "", "a b a b a c d a b a b"):
-        assert Q.ngram_coverage(text.split()) == pytest.approx(loop(text.split()))
+def most_covered(words, n):
+    total, best = sum(map(len, words)), 0
+    places = {}
+    for k in range(len(words) - n + 1):
+        places.setdefault(tuple(words[k : k + n]), []).append(k)
+    for at in places.values():
+        if len(at) > 1:
+            best = max(best, sum(len(words[i]) for i in {k + j for k in at for j in range(n)}))
+    return best / total if total else 0.0
 
 
 def test_frame(spark):
@@ -89,13 +98,13 @@ def test_frame(spark):
     rows = Q.statistics(df, "doc_id", "text", ["the"]).orderBy("doc_id").collect()
     assert (rows[0].word_count, rows[0].common_word_share, rows[0].punct_line_share) == (6, 0.5, 1.0) and rows[0] == rows[1]
     assert (rows[2].word_count, rows[2].doc_kind, rows[2].symbol_ratio) == (0, None, 0.0)
-    assert Q.kinds(df.where("false"), "doc_id", "text").count() == 0
+    assert Q.statistics(df.where("false"), "doc_id", "text", []).count() == 0
     clash = df.withColumn("doc_kind", df.text)
-    assert Q.kinds(clash, "doc_id", "text").columns == ["doc_id", "doc_kind"]
+    assert Q.statistics(clash, "doc_id", "text", []).columns == rows[0].__fields__
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_hand_labels(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/doc_kind_labels.parquet").withColumnRenamed("doc_kind", "label")
-    rows = Q.kinds(docs, "doc_id", "text").join(labels, "doc_id").collect()
+    rows = Q.statistics(docs, "doc_id", "text", []).join(labels, "doc_id").collect()
     assert len(rows) > 50 and sum(r.doc_kind == r.label for r in rows) >= 0.97 * len(rows)
