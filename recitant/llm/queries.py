@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
@@ -26,16 +26,34 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.convert(chapters_and_chunks(spark, sf_dir, "text"), ["rec_table", "rec_id"], "text", unique=True)
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     items = chapters_and_chunks(spark, sf_dir, "text", "limit_id")
-    pieces = splitting.split_rows(items, table(spark, sf_dir, "size_limits"), ["rec_table", "rec_id"], with_text=False)
-    return pieces.where("piece_no = 2").select("rec_table", "rec_id").distinct()
+    return splitting.split_rows(items, table(spark, sf_dir, "size_limits"), ["rec_table", "rec_id"], with_text=with_text)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that come out in more than one piece."""
+    return _pieces(spark, sf_dir, False).where("piece_no = 2").select("rec_table", "rec_id")
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of oversized chapters and chunks; a chunk delivered twice gives them once."""
-    items = chapters_and_chunks(spark, sf_dir, "text", "limit_id")
-    return splitting.split_rows(items, table(spark, sf_dir, "size_limits"), ["rec_table", "rec_id"]).dropDuplicates(["rec_table", "rec_id", "piece_no"])
+    return _pieces(spark, sf_dir, True)
+
+
+def p2_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversized texts put together again from their pieces, without what consecutive pieces share: the round trip that SQL
+    can check."""
+    each = p2_pieces(spark, sf_dir)
+    before = F.lag("piece_end", 1, 0).over(Window.partitionBy("rec_table", "rec_id").orderBy("piece_no"))
+    own = each.withColumn("_shared", (before - F.col("piece_start")).cast("int"))
+    fresh = own.withColumn("_new", F.substring("piece", F.col("_shared") + 1, F.length("piece")))
+    texts = fresh.groupBy("rec_table", "rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "_new"))), lambda s: s["_new"]), "").alias("text"), F.max(F.length("piece")).cast("long").alias("longest"))
+    return texts.join(_limits_of(spark, sf_dir), ["rec_table", "rec_id"]).select("rec_table", "rec_id", "text", (F.col("longest") <= F.col("max_chars")).alias("within"))
+
+
+def _limits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters_and_chunks(spark, sf_dir, "limit_id").distinct().join(table(spark, sf_dir, "size_limits"), "limit_id").select("rec_table", "rec_id", "max_chars")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean": p1_clean,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_joined": p2_joined,
     "p3_found": p3_found,
     "p3_sentences": p3_sentences,
     "p4_found": p4_found,

@@ -1,49 +1,65 @@
 """Problem 2: items above a size limit as ordered, overlapping pieces, cut at natural boundaries.
 
-The unit of work is a range, never a file. A worker reads its range with a halo on either side, finds the
-range's anchor (the first natural boundary from its start on) and the next range's anchor in the halo, and
-cuts what lies between the anchors into pieces. Both neighbours find the same anchor from the same bytes, so
-ranges need nothing from each other; numbers and offsets over the whole file come from prefix sums over one
-narrow row per range. A table row is held by one task anyway; its ranges are taken in turn by that task.
+The unit of work is a range of bytes, never a text. Oversized texts are written once, end to end, to files in the folder
+that all executors share; from there on only narrow rows are shuffled. A worker reads a range with halos, finds the
+range's anchor (the first natural boundary from its start on) and the next range's anchor, and lists the pieces between
+the two as offsets. Both neighbours find the same anchor from the same bytes, so ranges need nothing from each other. The
+boundary tables of a text are stitched by prefix sums over its ranges, which give numbers and offsets over the whole
+text, and pieces are then read by their byte offsets. No task holds more than a range, its halos and one piece.
 
 A piece has at most ``max_chars`` code points. A cut is the last paragraph end in the second half of the
 window, else the last sentence end, line end, blank, else ``max_chars`` itself (moved so as not to part a
 combining mark from its letter). Each piece after the first begins ``overlap_chars`` before the last one's
-end, so a text is its first piece plus all others without their first ``overlap_chars``.
+end, so a text is its first piece plus all others without their first ``overlap_chars``. The halo in which an anchor is
+looked for is doubled until it holds a boundary; where a whole range holds none, the anchor is the range's start, moved off
+combining marks.
 
 Defined results: null texts, unknown or null limits and texts at the limit give no piece; rows delivered
-twice give their pieces once; an overlap of half the limit or more is taken as just under half of it.
+twice give their pieces once; an overlap of half the limit or more is taken as just under half of it; bytes that are no
+UTF-8 count as one code point each and come out as U+FFFD.
 """
 
 from __future__ import annotations
 
+import atexit
 import re
 import unicodedata
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import bounded_broadcast, spread
+from ..tables import bounded_broadcast, cut, shared_folder
 from .sentences import sentence_ends
 
-#: Code points (rows) or bytes (files) of a range, and of the halo in which anchors are looked for.
+#: Bytes of a range, and of the first halo in which an anchor is looked for.
 RANGE = 1 << 20
 HALO = 1 << 14
+#: Bytes that lie side by side in a file and are worked on by one task.
+SIDE_BY_SIDE = 1 << 22
 
 _paragraph = re.compile(r"\n[^\S\n]*\n\s*")
 _line = re.compile(r"\r\n|[\r\n]")
 _blank = re.compile(r"\s+")
 
 
-def anchor(halo: str) -> int:
-    """Offset of the first natural boundary in a halo: paragraph, else line, else blank, else 0."""
+def off_marks(text: str, at: int, least: int = 0) -> int:
+    """The last place from ``at`` backwards, not before ``least``, that parts no combining mark or joiner from its letter."""
+    while at > least and at < len(text) and (unicodedata.combining(text[at]) or unicodedata.category(text[at]) in ("Mn", "Mc", "Me") or text[at] in "\u200d\ufe0f"):
+        at -= 1
+    return at
+
+
+def anchor(halo: str) -> int | None:
+    """Offset of the first natural boundary in a halo: paragraph, else line, else blank; None without any."""
     for rule in (_paragraph, _line, _blank):
         if (found := rule.search(halo)) and found.end() < len(halo):
             return found.end()
-    return 0
+    return None
 
 
 def cut_points(text: str, size: int, overlap: int, lead: int = 0) -> list[int]:
@@ -61,9 +77,7 @@ def cut_points(text: str, size: int, overlap: int, lead: int = 0) -> list[int]:
                 cut = ranks[rank][at]
                 break
         else:
-            cut = high
-            while cut > low + 1 and (unicodedata.combining(text[cut]) or text[cut] in "‍️"):
-                cut -= 1
+            cut = off_marks(text, high, low + 1)
         ends.append(cut)
         begin = cut - overlap
     if n > (ends[-1] if ends else 0):
@@ -71,123 +85,206 @@ def cut_points(text: str, size: int, overlap: int, lead: int = 0) -> list[int]:
     return ends
 
 
-def split_text(text: str, size: int, overlap: int, span: int = RANGE, halo: int = HALO) -> list[tuple[int, int]]:
-    """(start, end) of all pieces of a text, range by range."""
-    overlap = max(0, min(overlap, (size - 1) // 2))
-    starts = [0]
-    for at in range(span, len(text), span):
-        starts.append(max(starts[-1], at + anchor(text[at : at + halo])))
-    pieces = []
-    for begin, end in zip(starts, [*starts[1:], len(text)]):
-        if end > begin:
-            lead = overlap if pieces else 0
-            last = begin - lead
-            for cut in cut_points(text[begin:end], size, overlap, lead):
-                pieces.append((last, begin + cut))
-                last = begin + cut - overlap
-    return pieces
-
-
-def split_rows(df: DataFrame, limits: DataFrame, key: list[str], text: str = "text", limit: str = "limit_id", with_text: bool = True) -> DataFrame:
-    """(*key, piece_no int from 1, n_pieces int, piece_start int, piece_end int[, piece string]) of all rows
-    longer than their limit. ``limits`` has limit_id, max_chars, overlap_chars."""
-    kinds = dict(df.dtypes)
-    small = limits.select(F.col("limit_id").alias(limit), F.col("max_chars").alias("_max"), F.col("overlap_chars").alias("_overlap")).where("_max > 0").dropDuplicates([limit])
-    oversized = (
-        df.select(*key, text, limit)
-        .join(bounded_broadcast(small, 10_000), limit)
-        .where(F.length(text) > F.col("_max"))
-        .select(*key, F.col(text).alias("_text"), "_max", F.coalesce("_overlap", F.lit(0)).alias("_overlap"))
-    )
-    names = [*key, "piece_no", "n_pieces", "piece_start", "piece_end", *["piece"] * with_text]
+def decoded(raw: bytes) -> str:
+    """Bytes as text; each byte that is no UTF-8 is a code point of its own, which ``encoded`` turns back."""
+    return raw.decode("utf-8", "surrogateescape")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(key)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                rows: list[tuple] = []
-                for k, (content, size, overlap) in enumerate(zip(*(batch.column(width + c).to_pylist() for c in range(3)))):
-                    pieces = split_text(content, size, overlap)
-                    rows += [(k, no, len(pieces), a, b, content[a:b] if with_text else None) for no, (a, b) in enumerate(pieces, 1)]
-                at = pa.array([r[0] for r in rows], pa.int32())
-                columns = [batch.column(c).take(at) for c in range(width)] + [pa.array([r[c] for r in rows], pa.int32()) for c in (1, 2, 3, 4)]
-                if with_text:
-                    columns.append(pa.array([r[5] for r in rows], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in key] + ["piece_no int, n_pieces int, piece_start int, piece_end int"] + ["piece string"] * with_text)
-    return spread(oversized, *key).mapInArrow(run, schema)
 
+def encoded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogateescape")
 
-def split_files(spark: SparkSession, paths: list[str], size: int, overlap: int, span: int = RANGE, halo: int = HALO) -> DataFrame:
-    """(path, piece_no long from 1, piece_start long, piece_end long, piece) of UTF-8 files on a file system
-    that all executors share; starts and ends count code points from the file's begin.
-
-    Workers seek to their own range; no task reads more than a range and three halos. The halo must hold
-    the overlap in bytes. Files at the limit or below give no piece; broken bytes become U+FFFD.
-    """
-    if overlap * 4 > halo:
-        raise ValueError("the halo has fewer bytes than the overlap can take")
-    overlap = max(0, min(overlap, (size - 1) // 2))
-    length = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
-    ranges = length.select("path", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.col("bytes") - 1) / span).cast("int"))).alias("range_no"))
-    ranges = ranges.repartition(max(spark.sparkContext.defaultParallelism, 1), "path", "range_no")
-
-    def decoded(raw: bytes) -> str:
-        skip = 0
-        while skip < min(4, len(raw)) and raw[skip] & 0xC0 == 0x80:
-            skip += 1
-        return raw[skip:].decode("utf-8", "replace")
-
-    def aligned(file, at: int, total: int) -> int:
-        """Byte offset of the anchor of the range that begins at ``at``."""
-        if at == 0 or at >= total:
-            return min(at, total)
-        file.seek(at)
-        raw = file.read(halo)
-        skip = 0
-        while skip < min(4, len(raw)) and raw[skip] & 0xC0 == 0x80:
-            skip += 1
-        window = raw[skip:].decode("utf-8", "ignore")
-        return at + skip + len(window[: anchor(window)].encode())
+
+class Item:
+    """A text of ``size`` bytes that lies in an open file from byte ``at`` on."""
+
+    def __init__(self, file, at: int, size: int, span: int, halo: int):
+        self.file, self.at, self.size, self.span, self.halo = file, at, size, span, halo
+
+    def read(self, begin: int, end: int) -> bytes:
+        begin, end = max(0, begin), min(self.size, end)
+        return self.file.read_at(end - begin, self.at + begin) if end > begin else b""
+
+    def aligned(self, begin: int) -> int:
+        """The byte where a range that begins at ``begin`` really begins."""
+        if begin <= 0 or begin >= self.size:
+            return max(0, min(begin, self.size))
+        window = min(self.halo, self.span)
+        while True:
+            raw = self.read(begin, begin + window)
+            skip = 0
+            while skip < min(4, len(raw)) and raw[skip] & 0xC0 == 0x80:
+                skip += 1
+            halo = raw[skip:].decode("utf-8", "ignore") if begin + window < self.size else decoded(raw[skip:])
+            if (found := anchor(halo)) is not None:
+                return begin + skip + len(encoded(halo[:found]))
+            if window >= self.span or begin + window >= self.size:
+                back = decoded(self.read(begin + skip - 64, begin + skip + 64)[4:])  # whole characters around the start
+                before = len(decoded(self.read(begin + skip - 60, begin + skip))) if begin + skip >= 64 else 0
+                return begin + skip - (len(encoded(back[off_marks(back, before) : before])) if before else 0)
+            window = min(self.span, window * 2)
+
+    def range(self, number: int, size: int, overlap: int) -> tuple[int, list[dict[str, int]]]:
+        """(code points of a range, its pieces): a piece is its begin and end in code points from the range's begin and in
+        bytes of the file. The first piece of all but the first range begins in the range before."""
+        begin, end = self.aligned(number * self.span), self.aligned((number + 1) * self.span)
+        if end <= begin:
+            return 0, []
+        text = decoded(self.read(begin, end))
+        raw = self.read(begin - 4 * overlap, begin)
+        skip = next((k for k in range(min(4, len(raw))) if raw[k] & 0xC0 != 0x80), 0) if begin > 4 * overlap else 0
+        before = decoded(raw[skip:])
+        before = before[len(before) - min(overlap, len(before)) :] if overlap else ""
+        joined, lead = before + text, len(before)
+        spans, last = [], -lead
+        for stop in cut_points(text, size, overlap, lead):
+            spans.append((last, stop))
+            last = stop - overlap
+        places = sorted({x for pair in spans for x in pair})
+        byte, done, at = {}, -lead, self.at + begin - len(encoded(before))
+        for place in places:
+            at += len(encoded(joined[done + lead : place + lead]))
+            byte[place], done = at, place
+        return len(text), [{"a": a, "b": b, "from": byte[a], "to": byte[b]} for a, b in spans]
+
+
+def located(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path or address, and the path there. Local names are taken as they are, without escapes."""
+    if path.startswith(("file:", "/")):
+        return arrow_fs.LocalFileSystem(), re.sub("^(?:file:)?/+", "/", path)
+    return arrow_fs.FileSystem.from_uri(path)
+
+
+class Files:
+    """Opens files by their address once in a row."""
+
+    def __init__(self):
+        self.path, self.file = None, None
+
+    def __call__(self, path: str):
+        if path != self.path:
+            self.close()
+            where, name = located(path)
+            self.path, self.file = path, where.open_input_file(name)
+        return self.file
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def written(df: DataFrame, keys: list[str], text: str, more: list[str]) -> DataFrame:
+    """(*keys, *more, path, at long, bytes long): texts written end to end to files of the shared folder, one a task. The
+    rows are checkpointed, so that the files are written once; a repeated task writes a file of its own. The folder is
+    removed when the driver ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    kinds, width = dict(df.dtypes), len(keys) + len(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import unquote, urlparse
+        where, base = located(folder)
+        name, out, at = f"{uuid.uuid4().hex}.txt", None, 0
+        try:
+            for batch in batches:
+                starts, sizes = [], []
+                for value in batch.column(width).cast(pa.binary()).to_pylist():
+                    if out is None:
+                        where.create_dir(base, recursive=True)
+                        out = where.open_output_stream(f"{base}/{name}")
+                    out.write(value)
+                    starts.append(at)
+                    sizes.append(len(value))
+                    at += len(value)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(width)), pa.array([f"{folder}/{name}"] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], [*keys, *more, "path", "at", "bytes"])
+        finally:
+            if out is not None:
+                out.close()
+
+    def remove() -> None:
+        try:
+            where, base = located(folder)
+            where.delete_dir(base)
+        except (OSError, pa.ArrowException):
+            pass
+
+    atexit.register(remove)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, *more]) + ", path string, at long, bytes long"
+    return cut(df.select(*keys, *more, text).mapInArrow(run, schema))
+
+
+def side_by_side(df: DataFrame, at: str, tasks: int) -> DataFrame:
+    """Rows that point into files, such that a task reads what lies together, in order."""
+    return df.repartition(tasks, "path", F.floor(F.col(at) / SIDE_BY_SIDE)).sortWithinPartitions("path", at)
+
+
+def pieces(items: DataFrame, keys: list[str], with_text: bool, span: int = RANGE, halo: int = HALO) -> DataFrame:
+    """(*keys, piece_no long, n_pieces long, piece_start long, piece_end long[, piece]) of texts in files that all executors
+    share: ``items`` has *keys, path, at, bytes, _max, _overlap. Texts at their limit give none."""
+    spark, kinds = items.sparkSession, dict(items.dtypes)
+    total = items.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // (1 << 27)))
+    ranges = items.select(*keys, "path", "at", "bytes", "_max", "_overlap", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("bytes") - 1) / span)).cast("int"))).alias("range_no"))
+    ranges = side_by_side(ranges.withColumn("_from", F.col("at") + F.col("range_no").cast("long") * span), "_from", tasks)
+    width = len(keys)
+    piece = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("from", pa.int64()), ("to", pa.int64())])
+
+    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files()
+        for batch in batches:
+            chars, found = [], []
+            for path, at, size, most, overlap, no in zip(*(batch.column(width + c).to_pylist() for c in range(6))):
+                n, spans = Item(files(path), at, size, span, halo).range(no, most, max(0, min(overlap, (most - 1) // 2)))
+                chars.append(n)
+                found.append(spans)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in range(width)), batch.column(width), batch.column(width + 3), batch.column(width + 5), pa.array(chars, pa.int64()), pa.array(found, pa.list_(piece))],
+                [*keys, "path", "_max", "range_no", "chars", "spans"],
+            )
+        files.close()
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    tables = ranges.select(*keys, "path", "at", "bytes", F.col("_max").cast("int"), F.col("_overlap").cast("int"), "range_no").mapInArrow(
+        tabled, schema + ", path string, _max int, range_no int, chars long, spans array<struct<a: long, b: long, `from`: long, `to`: long>>"
+    )
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    stitched = tables.select(
+        *keys, "path", "_max", "spans", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("_base"), F.coalesce(F.sum(F.size("spans")).over(before), F.lit(0)).alias("_before"),
+        F.sum("chars").over(whole).alias("_total"), F.sum(F.size("spans")).over(whole).alias("n_pieces"),
+    ).where("_total > _max")
+    numbered = stitched.select(*keys, "path", "n_pieces", "_base", "_before", F.posexplode("spans").alias("_pos", "_p")).select(
+        *keys, (F.col("_before") + F.col("_pos") + 1).alias("piece_no"), "n_pieces", (F.col("_base") + F.col("_p.a")).alias("piece_start"), (F.col("_base") + F.col("_p.b")).alias("piece_end"),
+        "path", F.col("_p.from").alias("_from"), F.col("_p.to").alias("_to"),
+    )
+    names = [*keys, "piece_no", "n_pieces", "piece_start", "piece_end"]
+    if not with_text:
+        return numbered.select(*names)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files()
         for batch in batches:
-            for path, total, no in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                with open(unquote(urlparse(path).path), "rb") as file:
-                    begin, end = aligned(file, no * span, total), aligned(file, min((no + 1) * span, total), total)
-                    file.seek(max(0, begin - 4 * overlap))
-                    before = decoded(file.read(begin - max(0, begin - 4 * overlap))) if begin else ""
-                    file.seek(begin)
-                    text = file.read(max(0, end - begin)).decode("utf-8", "replace")
-                before = before[len(before) - min(overlap, len(before)) :] if overlap else ""
-                spans, last = [], -len(before)
-                if text:
-                    for cut in cut_points(text, size, overlap, len(before)):
-                        spans.append((last, cut))
-                        last = cut - overlap
-                joined, shift = before + text, len(before)
-                yield pa.RecordBatch.from_pylist(
-                    [{"path": path, "range_no": no, "chars": len(text), "pieces": [{"a": a, "b": b, "piece": joined[a + shift : b + shift]} for a, b in spans]}],
-                    schema=pa.schema([("path", pa.string()), ("range_no", pa.int32()), ("chars", pa.int64()), ("pieces", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("piece", pa.string())])))]),
-                )
-
-    worked = ranges.mapInArrow(run, "path string, range_no int, chars long, pieces array<struct<a: long, b: long, piece: string>>")
-    worked = worked.persist()  # both the narrow sums and the pieces come from it
-    order = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    narrow = worked.select("path", "range_no", "chars", F.size("pieces").alias("n"))
-    sums = narrow.select(
-        "path",
-        "range_no",
-        F.coalesce(F.sum("chars").over(order), F.lit(0)).alias("base"),
-        F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"),
-        F.sum("chars").over(Window.partitionBy("path")).alias("total"),
-    ).where(F.col("total") > size)
-    return (
-        worked.join(sums, ["path", "range_no"])
-        .select("path", "base", "before", F.posexplode("pieces"))
-        .select("path", (F.col("before") + F.col("pos") + 1).alias("piece_no"), (F.col("base") + F.col("col.a")).alias("piece_start"), (F.col("base") + F.col("col.b")).alias("piece_end"), F.col("col.piece").alias("piece"))
+            texts = []
+            for path, begin, end in zip(*(batch.column(len(names) + c).to_pylist() for c in range(3))):
+                texts.append(re.sub("[\ud800-\udfff]", "\ufffd", decoded(files(path).read_at(end - begin, begin))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array(texts, pa.string())], [*names, "piece"])
+        files.close()
+
+    return side_by_side(numbered, "_from", tasks).select(*names, "path", "_from", "_to").mapInArrow(read, schema + ", piece_no long, n_pieces long, piece_start long, piece_end long, piece string")
+
+
+def split_rows(df: DataFrame, limits: DataFrame, keys: list[str], text: str = "text", limit: str = "limit_id", with_text: bool = True) -> DataFrame:
+    """``pieces`` of all rows longer than their limit, each key once. ``limits`` has limit_id, max_chars, overlap_chars."""
+    small = limits.select(F.col("limit_id").alias(limit), F.col("max_chars").alias("_max"), F.col("overlap_chars").alias("_overlap")).where("_max > 0").dropDuplicates([limit])
+    oversized = (
+        df.select(*keys, text, limit)
+        .join(bounded_broadcast(small, 10_000), limit)
+        .where(F.length(text) > F.col("_max"))
+        .select(*keys, F.col(text).alias("_text"), "_max", F.coalesce("_overlap", F.lit(0)).alias("_overlap"))
     )
+    return pieces(written(oversized, keys, "_text", ["_max", "_overlap"]).dropDuplicates(keys), keys, with_text)
+
+
+def split_files(spark: SparkSession, paths: list[str], size: int, overlap: int, span: int = RANGE, halo: int = HALO) -> DataFrame:
+    """``pieces`` of UTF-8 files on a file system that all executors share, by path."""
+    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "path", F.col("length").alias("bytes"))
+    items = files.select("file", "path", F.lit(0).cast("long").alias("at"), "bytes", F.lit(size).alias("_max"), F.lit(overlap).alias("_overlap"))
+    return pieces(items, ["file"], True, span, halo).withColumnRenamed("file", "path")

@@ -9,6 +9,11 @@ SQL: dict[str, str] = {
             SELECT 'chapters' AS rec_table, chapter_id AS rec_id, text, limit_id FROM chapters
             UNION ALL SELECT 'chunks', chunk_id, text, limit_id FROM chunks)
         SELECT DISTINCT rec_table, rec_id FROM items JOIN size_limits USING (limit_id) WHERE length(text) > max_chars""",
+    "p2_joined": """
+        WITH items AS (
+            SELECT 'chapters' AS rec_table, chapter_id AS rec_id, text, limit_id FROM chapters
+            UNION ALL SELECT 'chunks', chunk_id, text, limit_id FROM chunks)
+        SELECT DISTINCT rec_table, rec_id, text, true AS within FROM items JOIN size_limits USING (limit_id) WHERE length(text) > max_chars""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_stats": rf"""
         WITH d AS (
