@@ -409,7 +409,7 @@ class Field:
         out.append(state)
         return out[::-1]
 
-    def learn(self, pages: list[tuple[list[list[str]], list[int]]], rounds: int = 10, batch: int = 8, seed: int = 7) -> None:
+    def learn(self, pages: list[tuple[list[list[str]], list[int]]], rounds: int = 10, batch: int = 32, seed: int = 7) -> None:
         """AdaGrad steps along the gradient of the log likelihood of a batch of pages, worked on side by side."""
         L, chance = len(LABELS), np.random.default_rng(seed)
         number = {f: k for k, f in enumerate(dict.fromkeys(f for features, _ in pages for fs in features for f in fs))}
@@ -633,7 +633,7 @@ def _block(w: Writer, notation: str, kind: str) -> Block:
 KINDS = ["paragraph"] * 6 + ["heading", "heading", "list", "list", "code", "formula", "table", "furniture", "furniture", "quote"]
 
 
-def labelled_pages(number: int = 2000, seed: int = 11, without: frozenset[str] = frozenset(), alone: frozenset[str] = frozenset()) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_pages(number: int = 1500, seed: int = 11, without: frozenset[str] = frozenset(), alone: frozenset[str] = frozenset()) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, its labelled spans) of random pages. ``without`` leaves inline constructs out, ``alone`` uses no others."""
     chance, pages = random.Random(seed), []
     left = without | (frozenset(f"{x}:{y}" for x, ys in Writer.INLINE.items() for y in ys) - alone if alone else frozenset())
@@ -689,7 +689,7 @@ def lessons(pages: list[tuple[str, list[tuple[int, int, str]]]]) -> list[tuple[l
 
 
 @lru_cache(maxsize=4)
-def trained(number: int = 2000, without: frozenset[str] = frozenset()) -> Field:
+def trained(number: int = 1500, without: frozenset[str] = frozenset()) -> Field:
     """The field, trained on the labelled pages; some seconds on the driver."""
     field = Field()
     field.learn(lessons(labelled_pages(number, without=without)))
