@@ -188,12 +188,14 @@ def canonical(text: str | None, scripts: Scripts) -> str | None:
 
 _run = re.compile("[A-Za-zÀ-ɏͰ-ԯ]+")
 _second = re.compile("[Ͱ-ԯ]")
+#: Where letters of two scripts touch.
+_seam = re.compile("[A-Za-zÀ-ɏ][Ͱ-ԯ]|[Ͱ-Ͽ][A-Za-zÀ-ɏЀ-ԯ]|[Ѐ-ԯ][A-Za-zÀ-ɏͰ-Ͽ]")
 
 
 def one_script_words(text: str) -> str:
     """The text with the look-alike letters of each word that mixes scripts put into the one script that has
     letters of its own in the word (Latin if none has). Lengths and places stay."""
-    if text.isascii() or not _second.search(text) or not any(c.isascii() and c.isalpha() for c in set(text)):
+    if text.isascii() or not _second.search(text) or not _seam.search(text):
         return text
 
     def fold(found: re.Match) -> str:

@@ -3,7 +3,7 @@
 A decoding chain is a list of steps (wrong, right): the text was read as ``wrong`` where its bytes were
 ``right``. A segment (sentence or line) with suspicious characters gets every chain whose steps its
 characters allow; each candidate is compressed by zstandard with the dictionary of each language of its
-script, and the chain of minimum description length is taken: compressed bytes plus CHAIN_COST for each step.
+script, and the chain of minimum description length is taken: compressed bytes plus the code of each step.
 No chain at all costs nothing, so a text is left as it is unless a decoding pays. Dictionaries are clean
 sentences of a bounded, labelled sample (samples.py).
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import codecs
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame
 from ..tables import spread
 from .samples import LATIN, SCRIPT_CLASS, SCRIPT_OF, clean_sentences
 
-CHAIN_COST = 1
+#: Bytes that describe a step of a chain: a UTF-8 text read as another set is the likelier mistake, and has the shorter code.
+UTF8_COST, PAIR_COST = 1, 2
 #: Bytes of clean text in the dictionary of one language.
 DICTIONARY_BYTES = 40_000
 LEVEL = 3
@@ -71,7 +73,7 @@ _wide_remains = "繝繧縺蜈譁隱蟷豁螢莠蛻郢驛逕謌锛銆鐨鈥涓鍦
 #: match is one character, found by its class and then judged with what stands before it.
 SUSPICIOUS = re.compile(
     f"[\x80-\u08ff\u1e00-\u2fff\ufffdｦ-ﾟ{_wide_remains}](?:"
-    f"(?<=[\x80-\x84\x86-\x9f¤¦¨¬¯±-´µ¸¹¼-¾¢¥©®ÐÞÝðþý×÷ƒ‡ˆ‰˜†‹›ŠŽŸ\ufffdĂăĹĺĎďŃŘřŤťţŢđĆĐ─-╿⌐-⌡√≤≥∩≈≠∂∏∑∫∞◊‗‚ЂЃЄЇЉ-Џђѓєїљ-џҐґЎўｦ-ﾟ{_wide_remains}])"
+    f"(?<=[\x80-\x84\x86-\x9f¤¦¨¬¯±-´µ¸¹¼-¾¢¥©®ÐÞÝðþý×÷ƒ‡ˆ‰˜†‹›ŠŽŸ\ufffdĂăĹĺĎďŃŘřŤťţŢđĆĐ─-▟⌐-⌡√≤≥∩≈≠∂∏∑∫∞◊‗‚ЂЃЄЇЉ-Џђѓєїљ-џҐґЎўｦ-ﾟ{_wide_remains}])"
     "|(?<=[¡-ª¬-º¼-¾][А-я])|(?<=[а-яё][А-Я])|(?<=[α-ώ][Α-Ω])"
     "|(?<=[ÂÃÄÅÎÏÒÓÔÕØÙÑàáâãäåæçèéêëìíîï][¡-ºˆ¼-¾€‚ƒ„†‡ˆ‰Š‹ŒŽ•–—˜™š›žŸ\xad])|(?<=[ÂÃÄÅÎÏÒÓÔÕØÙ][‘’“”…»«œ\xa0])"
     f"|(?<=[À-ÖØ-öø-ÿ]{{3}})|(?<=[a-z][À-ÖØ-Þ])(?=[a-z])|(?<=[A-Za-z][{_strange}])|(?<=[{_strange}])(?=[A-Za-zÀ-ÿ])|(?<=[А-яЁё][°±µ¶·№»])(?=[А-я])"
@@ -80,15 +82,16 @@ SUSPICIOUS = re.compile(
 
 
 @lru_cache(maxsize=1)
-def _pair_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rules of SUSPICIOUS as bits: odd characters; first and second characters of pairs, a bit a rule."""
-    odd, first, second = np.zeros(0x110000, dtype=bool), np.zeros(0x110000, dtype=np.uint16), np.zeros(0x110000, dtype=np.uint16)
+def _pair_tables() -> np.ndarray:
+    """The rules of SUSPICIOUS as bits of each character up to U+FFFF, none of which a later one matches: bit 31 for odd
+    characters, bits 0 to 14 for the first characters of pairs, bits 15 to 30 for the second, a bit a rule."""
+    odd, first, second = (np.zeros(0x10000, dtype=np.uint32) for _ in range(3))
+    plane = "".join(map(chr, range(0x10000)))
 
     def members(chars: str) -> list[int]:
-        rule = re.compile(f"[{chars}]")
-        return [c for c in range(0x10000) if rule.match(chr(c))]
+        return list(map(ord, re.findall(f"[{chars}]", plane)))
 
-    odd[members(f"\x80-\x84\x86-\x9f¤¦¨¬¯±-´µ¸¹¼-¾¢¥©®ÐÞÝðþý×÷ƒ‡ˆ‰˜†‹›ŠŽŸ\ufffdĂăĹĺĎďŃŘřŤťţŢđĆĐ─-╿⌐-⌡√≤≥∩≈≠∂∏∑∫∞◊‗‚ЂЃЄЇЉ-Џђѓєїљ-џҐґЎўｦ-ﾟ{_wide_remains}")] = True
+    odd[members(f"\x80-\x84\x86-\x9f¤¦¨¬¯±-´µ¸¹¼-¾¢¥©®ÐÞÝðþý×÷ƒ‡ˆ‰˜†‹›ŠŽŸ\ufffdĂăĹĺĎďŃŘřŤťţŢđĆĐ─-▟⌐-⌡√≤≥∩≈≠∂∏∑∫∞◊‗‚ЂЃЄЇЉ-Џђѓєїљ-џҐґЎўｦ-ﾟ{_wide_remains}")] = 1
     letter = "À-ÖØ-öø-ÿ"
     rules = [
         ("¡-ª¬-º¼-¾", "А-я"), ("а-яё", "А-Я"), ("α-ώ", "Α-Ω"),
@@ -98,7 +101,7 @@ def _pair_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for bit, (a, b) in enumerate(rules):
         first[members(a)] |= 1 << bit
         second[members(b)] |= 1 << bit
-    return odd, first, second
+    return odd << np.uint32(31) | second << np.uint32(15) | first
 
 
 def suspicious(texts: list[str]) -> np.ndarray:
@@ -109,9 +112,9 @@ def suspicious(texts: list[str]) -> np.ndarray:
         own = at[part : part + 256]
         points = np.frombuffer("\n".join([texts[k] for k in own] + [""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(texts[k]) + 1 for k in own])[:-1]])
-        odd, first, second = _pair_tables()
-        hit = odd[points]
-        hit[1:] |= (first[points[:-1]] & second[points[1:]]) != 0
+        bits = _pair_tables()[np.minimum(points, 0xFFFF)]
+        hit = bits >> np.uint32(31) != 0
+        hit[1:] |= (bits[:-1] & (bits[1:] >> np.uint32(15)) & np.uint32(0x7FFF)) != 0
         out[own] = np.add.reduceat(hit, starts, dtype=np.int64)
     return out
 
@@ -200,36 +203,80 @@ def undo_wide(text: str, wrong: str, right: str) -> str:
         return text
 
 
-def undo_pairs(text: str, wrong: str, rights: list[str]) -> Iterator[tuple[str, str]]:
-    """(right, text with every run that ``wrong`` can encode read as ``right``) where that changes it."""
+@lru_cache(maxsize=256)
+def _readings(wrong: str, right: str) -> tuple[dict[int, str], frozenset[str]] | None:
+    """For two single-byte sets: what each high character of ``wrong`` is in ``right``, and the characters whose byte
+    ``right`` has not; None if ``right`` has more than one byte a character."""
+    try:
+        if len(b"\xb0\xa1".decode(right)) < 2 or len(b"\x82\xa0".decode(right)) < 2:
+            return None
+    except UnicodeDecodeError:
+        pass
+    if right in WIDE_READ_AS or right == "euc_jp":
+        return None
+    table, missing = {}, set()
+    for c, b in byte_of(wrong).items():
+        try:
+            table[ord(c)] = bytes([b]).decode(right)
+        except UnicodeDecodeError:
+            missing.add(c)
+    return table, frozenset(missing)
+
+
+def undo_pairs(text: str, wrong: str, rights: list[str], allowed=lambda changed: True) -> Iterator[tuple[str, str]]:
+    """(right, text with every run that ``wrong`` can encode read as ``right``) where that changes it. A run that holds a
+    byte which ``right`` has not stays. ``allowed`` is asked, for a single-byte ``right`` and before the text is made, about
+    the table of changed characters."""
     if wrong in WIDE_READ_AS:
         for right in rights:
             if (fixed := undo_wide(text, wrong, right)) != text:
                 yield right, fixed
         return
-    table, last, parts = byte_map(wrong), 0, []
-    for found in encodable_runs(wrong).finditer(text):
-        parts += [text[last : found.start()], codecs.charmap_encode(found.group(), "strict", table)[0]]
-        last = found.end()
-    if not parts:
+    high = high_characters(wrong).intersection(text)
+    if not high:
         return
-    parts.append(text[last:])
+    parts: list[str] = []
+    raws: list[bytes] = []
     for right in rights:
-        out = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                try:
-                    part = part.decode(right)
-                except UnicodeDecodeError:
-                    part = part.decode("latin-1").translate(_as_read(wrong))
-            out.append(part)
+        reading = _readings(wrong, right)
+        if reading and reading[1].isdisjoint(high):
+            changed = {ord(c): reading[0][ord(c)] for c in high}
+            if allowed(changed) and (fixed := text.translate(changed)) != text:
+                yield right, fixed
+            continue
+        if not parts:
+            table, last = byte_map(wrong), 0
+            for found in encodable_runs(wrong).finditer(text):
+                parts += [text[last : found.start()], found.group()]
+                raws.append(codecs.charmap_encode(found.group(), "strict", table)[0])
+                last = found.end()
+            parts.append(text[last:])
+        out = list(parts)
+        for k, read in enumerate(_read_all(raws, right)):
+            if read is not None:
+                out[2 * k + 1] = read
         if (fixed := "".join(out)) != text:
             yield right, fixed
 
 
-@lru_cache(maxsize=64)
-def _as_read(wrong: str) -> dict[int, str]:
-    return {b: c for c, b in byte_of(wrong).items()}
+_FAILED = "\uf8ff"
+codecs.register_error("recitant-failed", lambda error: (_FAILED, error.end))
+
+
+def _read_all(raws: list[bytes], right: str) -> list[str | None]:
+    """Each of some byte strings read as ``right``; None where it can't be. They are read at one go, parted by line feeds,
+    which no multi-byte character of these sets holds; a string that fails somewhere shows a private mark."""
+    if all(b"\n" not in raw for raw in raws):
+        read = b"\n".join(raws).decode(right, "recitant-failed").split("\n")
+        if len(read) == len(raws):
+            return [None if _FAILED in x else x for x in read]
+    out: list[str | None] = []
+    for raw in raws:
+        try:
+            out.append(raw.decode(right))
+        except UnicodeDecodeError:
+            out.append(None)
+    return out
 
 
 def undo_pair(text: str, wrong: str, right: str) -> str:
@@ -259,15 +306,25 @@ def undo_wide_utf8(text: str, wrong: str) -> str:
 
 
 _invisible = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad\ufe00-\ufe0f]")
-_letters = {name: re.compile(f"[{chars}]") for name, chars in SCRIPT_CLASS.items()}
+_ranges = [(re.compile(f"[{chars}]"), name) for name, chars in SCRIPT_CLASS.items()] + [(re.compile("[A-Za-zÀ-ɏ]"), "Latin")]
+
 
+_scripts: dict[str, str] = {}  # of the characters seen so far
 
-def scripts_of(text: str) -> list[str]:
-    """Languages whose dictionaries may fit: those of the script that has the most letters."""
-    counts = {name: len(rule.findall(text)) for name, rule in _letters.items()}
-    best = max(counts, key=counts.get)
-    latin = len(re.findall("[A-Za-zÀ-ɏ]", text))
-    return [x for x, s in SCRIPT_OF.items() if s == best] if counts[best] > latin else LATIN
+
+def scripts_of(times: Counter[str]) -> list[str]:
+    """Languages whose dictionaries may fit a text with these characters: those of the script that has the most letters,
+    Latin before others."""
+    counts: dict[str, int] = {}
+    for c, n in times.items():
+        name = _scripts.get(c)
+        if name is None:
+            name = _scripts[c] = next((name for rule, name in _ranges if rule.match(c)), "")
+        if name:
+            counts[name] = counts.get(name, 0) + n
+    latin = counts.pop("Latin", 0)
+    best = max(SCRIPT_CLASS, key=lambda name: counts.get(name, 0)) if counts else ""
+    return [x for x, s in SCRIPT_OF.items() if s == best] if counts.get(best, 0) > latin else LATIN
 
 
 class Repairer:
@@ -289,7 +346,7 @@ class Repairer:
         import zstandard
 
         raw, best = text.encode("utf-8", "surrogatepass"), 1 << 30
-        for lang in scripts_of(text):
+        for lang in scripts_of(Counter(text)):
             if lang not in self._compressors:
                 content = self.dictionaries.get(lang)
                 if content:
@@ -315,32 +372,44 @@ class Repairer:
                 out[fixed] = f"{charset}>utf-8"
         if any(not SUSPICIOUS.search(fixed) and self.unknown(fixed) == 0 for fixed in out):
             return out
+        times, base, known = Counter(text), set(text), self.alphabet
+        bound = sum(n for c, n in times.items() if c not in known)
+
+        def allowed(changed: dict[int, str]) -> bool:
+            """Whether the text with these characters changed is plausible and has no more unknown characters than before."""
+            if ALLOWED.fullmatch("".join(set(changed.values()) - base)) is None:
+                return False
+            return bound + sum(times[chr(c)] * ((new not in known) - (chr(c) not in known)) for c, new in changed.items()) <= bound
+
         for wrong, rights in _rights.items():
             if wrong not in WIDE_READ_AS and not fits(wrong):
                 continue
-            for right, fixed in undo_pairs(text, wrong, rights):
+            for right, fixed in undo_pairs(text, wrong, rights, allowed):
                 if fixed not in out and plausible(fixed, text):
                     out[fixed] = f"{wrong}>{right}"
         return out
 
     def unknown(self, text: str) -> int:
         """Characters that no dictionary has."""
-        return sum(text.count(c) for c in set(text).difference(self.alphabet))
+        strange = set(text).difference(self.alphabet)
+        return sum(map(text.count, strange)) if strange else 0
 
     def segment(self, text: str) -> tuple[str, str]:
         """(restored text, chain) of one segment; the chain is empty where nothing pays.
 
         The text as it is may also be described with look-alike letters, widths and blanks in their plain
-        form, for these come from no decoding. Steps are searched breadth first, up to three."""
+        form, for these come from no decoding. Steps are searched breadth first. Every step of a chain must pay: a
+        step is followed by another if it was a UTF-8 step, after which suspicious characters can stay, and if it made the
+        description shorter; so the search ends."""
         best, chain = text, ""
         cost = self.size(text)
         folded = _invisible.sub("", unicodedata.normalize("NFKC", text.translate(_fold)))
         if folded != text:
             cost = min(cost, self.size(folded))
-        layer, seen = [(text, "")], {text}
-        for depth in (1, 2, 3):
+        layer, seen = [(cost, text, "")], {text}
+        while layer:
             following = []
-            for base, steps in layer:
+            for before, base, steps in layer:
                 bound, signs = self.unknown(base), len(SUSPICIOUS.findall(base))
                 found = self.candidates(base)
                 ranked = sorted((self.unknown(fixed), fixed, step) for fixed, step in found.items() if fixed not in seen)
@@ -349,14 +418,12 @@ class Repairer:
                         continue
                     seen.add(fixed)
                     steps_now = f"{steps} {step}".strip()
-                    now = self.size(fixed) + CHAIN_COST * depth
+                    now = self.size(fixed) + cost_of(steps_now)
                     if now < cost:
                         best, cost, chain = fixed, now, steps_now
-                    if SUSPICIOUS.search(fixed) and step.endswith("utf-8"):
+                    if now < before and step.endswith("utf-8") and SUSPICIOUS.search(fixed):
                         following.append((now, fixed, steps_now))
-            layer = [(fixed, steps) for _, fixed, steps in sorted(following)]
-            if not layer:
-                break
+            layer = sorted(following)
         return best, chain
 
     def again(self, text: str, chains: dict[str, int]) -> tuple[str, str] | None:
@@ -390,6 +457,10 @@ class Repairer:
         return "".join(parts), sorted(chains)
 
 
+def cost_of(chain: str) -> int:
+    return sum(UTF8_COST if step.endswith("utf-8") else PAIR_COST for step in chain.split())
+
+
 def undo(text: str, chain: str) -> str:
     """``text`` with the steps of a chain undone."""
     for step in chain.split():
@@ -404,13 +475,21 @@ def undo(text: str, chain: str) -> str:
 _segments = re.compile(r"((?<=[.!?…।؟])[ \t]+|(?<=[.!?])[\"”’»)\]]*[ \t\xa0]+(?=[A-Z¿¡«“])|[\r\n]+)")
 
 
+def last_bytes(content: bytes) -> bytes:
+    """The last DICTIONARY_BYTES bytes, from the begin of a character on."""
+    begin = max(0, len(content) - DICTIONARY_BYTES)
+    while begin < len(content) and content[begin] & 0xC0 == 0x80:
+        begin += 1
+    return content[begin:]
+
+
 def train(samples: dict[str, list[str]]) -> Repairer:
     """Dictionaries from labelled texts: clean sentences, the common ones last as zstandard wants them."""
     dictionaries = {}
     for lang, texts in samples.items():
         content = " ".join(dict.fromkeys(clean_sentences(texts, lang, SUSPICIOUS))).encode()
         if content:
-            dictionaries[lang] = content[-DICTIONARY_BYTES:]
+            dictionaries[lang] = last_bytes(content)
     return Repairer(dictionaries)
 
 
@@ -422,7 +501,7 @@ def train_names(names: list[str]) -> Repairer:
             for part in name.split():
                 count[part] = count.get(part, 0) + 1
     known = sorted((n, part) for part, n in count.items() if n >= NAME_TIMES)
-    return Repairer({"en": " ".join(part for _, part in known).encode()[-DICTIONARY_BYTES:]} if known else {})
+    return Repairer({"en": last_bytes(" ".join(part for _, part in known).encode())} if known else {})
 
 
 #: Letters of names that elsewhere would be suspicious.

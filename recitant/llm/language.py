@@ -38,6 +38,8 @@ BOUND = 4.0
 #: distribution in each language's own, in trigrams: a language with little training text stays neutral.
 STRANGE = 1.5
 PRIOR = 400.0
+#: The same for whole words, in words.
+WORD_PRIOR = 1_000.0
 #: Words that a batch of texts labels at once; bounds memory, changes no result.
 BATCH_WORDS = 2_500_000
 
@@ -148,8 +150,8 @@ def _fit(sentences: list[tuple[str, str]], common_words: dict[str, list[str]]) -
     kinds = set().union(*grams.values())
     size = np.array([max(1, sum(grams[x].values())) for x in LATIN], dtype=np.float64)
     counted = {g: np.array([grams[x][g] for x in LATIN], dtype=np.float64) for g in kinds}
-    trained = size > 2_000
-    mean = {g: ((c / size)[trained].mean() if trained.any() else 0.0) + 1e-6 for g, c in counted.items()}
+    trust = size / (size + PRIOR)  # what a language's own counts weigh in the mean, by how many there are
+    mean = {g: float((c / size * trust).sum() / trust.sum()) + 1e-6 for g, c in counted.items()}
     table = {g: np.log((c + PRIOR * mean[g]) / (size + PRIOR)) for g, c in counted.items()}
     floor = np.full(len(LATIN), math.log(PRIOR * 1e-6 / (size.max() + PRIOR)))
     size = np.array([sum(words[x].values()) + 1 for x in LATIN])
@@ -157,7 +159,7 @@ def _fit(sentences: list[tuple[str, str]], common_words: dict[str, list[str]]) -
     for w in set().union(*words.values()):
         counts = np.array([words[x][w] for x in LATIN])
         if counts.sum() >= 3:
-            rate = (counts + 0.3) / np.maximum(size, size.max() / 20)
+            rate = (counts + 0.3) / (size + WORD_PRIOR)
             known[w] = 0.7 * np.log(rate / rate.max())
     return Model(table, floor, known)
 
@@ -202,15 +204,19 @@ def viterbi(rows: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> np.nda
 
 
 def _labels(rows: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """``viterbi`` where the texts whose words are all Latin are searched among the Latin languages alone."""
+    """``viterbi`` where the texts whose words are all Latin are searched among the Latin languages alone. A text all of
+    whose words are best in one language needs no search: no path is better than staying in it."""
     if not len(rows):
         return np.zeros(0, dtype=np.uint8)
+    best = vectors.argmax(axis=1).astype(np.uint8)[rows]
     latin = vectors[:, _latin_at].max(axis=1) == 0
     filled = np.flatnonzero(np.diff(starts) > 0)
     alone = np.zeros(len(starts) - 1, dtype=bool)
     alone[filled] = np.logical_and.reduceat(latin[rows], starts[filled])
-    labels = np.zeros(len(rows), dtype=np.uint8)
-    for chosen, columns in ((alone, _latin_at), (~alone, list(range(N)))):
+    open_ = np.zeros(len(starts) - 1, dtype=bool)
+    open_[filled] = np.minimum.reduceat(best, starts[filled]) != np.maximum.reduceat(best, starts[filled])
+    labels = best
+    for chosen, columns in ((alone & open_, _latin_at), (~alone & open_, list(range(N)))):
         mask = np.repeat(chosen, np.diff(starts))
         if mask.any():
             bounds = np.concatenate([[0], np.cumsum(np.diff(starts)[chosen])])
