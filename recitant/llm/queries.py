@@ -58,12 +58,18 @@ def _limits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "chapters").join(table(spark, sf_dir, "sentence_checks"), "chapter_id", "left_semi")
-    return sentences.sentence_ends_of(asked, "chapter_id", "text")
+    return sentences.sentence_ends_of(asked, "chapter_id", "text", _abbreviations(spark, sf_dir))
+
+
+def _abbreviations(spark: SparkSession, sf_dir: str) -> frozenset[str]:
+    """Abbreviations that the training sample of the chapters shows."""
+    texts = samples.training_texts(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources"))
+    return sentences.learned_abbreviations(t for own in texts.values() for t in own)
 
 
 def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every chapter and chunk; chunks delivered twice appear once."""
-    return sentences.sentences_of(chapters_and_chunks(spark, sf_dir, "text"), ["rec_table", "rec_id"], "text", unique=True)
+    return sentences.sentences_of(chapters_and_chunks(spark, sf_dir, "text"), ["rec_table", "rec_id"], "text", unique=True, learned=_abbreviations(spark, sf_dir))
 
 
 def _language_models(spark: SparkSession, sf_dir: str) -> tuple[language.Model, encoding.Repairer]:
