@@ -5,7 +5,7 @@ forms, kinds of blanks), characters that can't be seen are deleted, and accents
 letters: the letters of a token that look like letters of another script span a lattice, which has for each
 of them all letters of its class. Viterbi searches the tokens' scripts under character bigram scores of the
 scripts, letters that only one script has, and a cost for a change of script between tokens; inside a token
-that holds such letters of two scripts it searches letter by letter. The lattice hangs on the classes alone,
+that holds such letters of two scripts it searches letter by letter, again under bigram scores. The lattice hangs on the classes alone,
 never on which member was written, so texts that look the same always get the same form. A text whose
 distinctive letters are all of one script needs no search: its best path is that script.
 
@@ -122,21 +122,25 @@ def train(samples: dict[str, list[str]]) -> Scripts:
     return Scripts(tables)
 
 
-def _letters(token: str) -> str:
-    """A token with distinctive letters of two scripts, letter by letter."""
-    states, back = [0.0] * SCRIPTS, []
+_class_of = {member: cls for cls in CLASSES for member in cls if member != "."}
+#: Weight of a bigram, and cost of a change of script, within a token.
+BIGRAM, CHANGE = 0.3, 1.0
+
+
+def _letters(token: str, scripts: Scripts) -> str:
+    """A token with distinctive letters of two scripts, letter by letter: each letter that has look-alikes may be of any script
+    that has its class, and bigram scores of the scripts decide, with a cost for a change of script."""
+    states, forms, back = [0.0] * SCRIPTS, [" "] * SCRIPTS, []
     for c in token:
         owner = next((s for s in range(SCRIPTS) if _distinct[s].match(c)), None)
-        cls = next((x for x in CLASSES if c in x), None)
-        best = max(range(SCRIPTS), key=lambda s: (states[s], -s))
-        came, now = [], []
+        cls = _class_of.get(c)
+        came, now, here = [], [], [c.translate(_to[s]).lower() for s in range(SCRIPTS)]
         for s in range(SCRIPTS):
-            stay = states[s] >= states[best] - 1.0
-            came.append(s if stay else best)
-            base = states[s] if stay else states[best] - 1.0
-            allowed = owner in (None, s) and (cls is None or cls[s] != ".")
-            now.append(base if allowed else base - 100.0)
-        states = now
+            paths = [states[t] + BIGRAM * (scripts.tables[s].get(forms[t] + here[s], -9.0) if t == s or forms[t] == " " else -9.0) - CHANGE * (t != s and forms[t] != " ") for t in range(SCRIPTS)]
+            best = max(range(SCRIPTS), key=lambda t: (paths[t], t == s, -t))
+            came.append(best)
+            now.append(paths[best] if owner in (None, s) and (cls is None or cls[s] != ".") else paths[best] - 100.0)
+        states, forms = now, here
         back.append(came)
     s, out = max(range(SCRIPTS), key=lambda s: (states[s], -s)), []
     for k in range(len(token) - 1, -1, -1):
@@ -145,6 +149,18 @@ def _letters(token: str) -> str:
     return "".join(reversed(out))
 
 
+def undecided(text: str | None) -> int:
+    """Tokens with letters of a script other than Latin that all could be Latin, in a text no letter of which is of one script
+    alone: they are put into Latin letters for comparison, and nothing tells whether they are meant so."""
+    if not text or text.isascii():
+        return 0
+    text = unicodedata.normalize("NFD", plain(text))
+    if any(not _own_set[s].isdisjoint(text) for s in range(SCRIPTS)):
+        return 0
+    foreign = _letters_of[1] | _letters_of[2]
+    return sum(not foreign.isdisjoint(t) for t in _token.findall(text))
+
+
 def canonical(text: str | None, scripts: Scripts) -> str | None:
     """The one form of everything that looks like ``text``."""
     if text is None:
@@ -180,7 +196,7 @@ def canonical(text: str | None, scripts: Scripts) -> str | None:
     for (a, b), (came, own) in zip(reversed(tokens), reversed(back)):
         token = text[a:b]
         parts.append(text[b:end])
-        parts.append(_letters(token) if sum(x > 0 for x in own) > 1 else token.translate(_to[state]))
+        parts.append(_letters(token, scripts) if sum(x > 0 for x in own) > 1 else token.translate(_to[state]))
         state, end = came[state], a
     parts.append(text[:end])
     return unicodedata.normalize("NFC", "".join(reversed(parts)))
@@ -218,15 +234,18 @@ def _digest(*parts: str | None) -> bytes:
 
 
 def canonical_texts(df: DataFrame, keys: list[str], columns: list[str], scripts: Scripts) -> DataFrame:
-    """(*keys, *columns) with each of ``columns`` in its one form."""
+    """(*keys, *columns, undecided int) with each of ``columns`` in its one form, and how many of their tokens no letter
+    assigns to a script."""
     kinds, width = dict(df.dtypes), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [pa.array([canonical(t, scripts) for t in batch.column(width + c).to_pylist()], pa.string()) for c in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(width)), *forms], [*keys, *columns])
+            texts = [batch.column(width + c).to_pylist() for c in range(len(columns))]
+            forms = [pa.array([canonical(t, scripts) for t in own], pa.string()) for own in texts]
+            open_ = pa.array([sum(map(undecided, row)) for row in zip(*texts)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(width)), *forms, open_], [*keys, *columns, "undecided"])
 
-    return spread(df.select(*keys, *columns), *keys).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + "".join(f", `{c}` string" for c in columns))
+    return spread(df.select(*keys, *columns), *keys).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + "".join(f", `{c}` string" for c in columns) + ", undecided int")
 
 
 def forms(df: DataFrame, keys: list[str], columns: list[str], scripts: Scripts) -> DataFrame:
@@ -247,11 +266,15 @@ def forms(df: DataFrame, keys: list[str], columns: list[str], scripts: Scripts)
 def look_alike_pairs(df: DataFrame, key: str, group: str, columns: list[str], scripts: Scripts) -> DataFrame:
     """(key_a, key_b), key_a < key_b: rows of one group that look the same and are not written the same.
 
-    Only digests are shuffled. Forms that are written in one way alone, however often, leave before the join,
-    so copies of one text meet no other copies of it.
+    Only digests are shuffled. Forms that are written in one way alone, however often, leave first. Of the others each
+    writing is one row, and rows of unequal writings are joined; their members come in last, so no two copies of one
+    writing ever meet.
     """
     narrow = cut(forms(df, [key, group], columns, scripts))
-    varied = narrow.groupBy(group, "form").agg(F.min("written").alias("lo"), F.max("written").alias("hi")).where("lo <> hi").select(group, "form")
-    left = narrow.join(varied, [group, "form"])
-    a, b = (left.select(group, "form", F.col(key).alias(f"{key}_{x}"), F.col("written").alias(f"written_{x}")) for x in "ab")
-    return a.join(b, [group, "form"]).where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("written_a") != F.col("written_b"))).select(f"{key}_a", f"{key}_b").distinct()
+    writings = narrow.groupBy(group, "form", "written").agg(F.count("*").alias("_n"))
+    varied = writings.groupBy(group, "form").agg(F.count("*").alias("_k")).where("_k > 1").select(group, "form")
+    own = writings.select(group, "form", "written").join(varied, [group, "form"])
+    pairs = own.withColumnRenamed("written", "_lo").join(own.withColumnRenamed("written", "_hi"), [group, "form"]).where("_lo < _hi")
+    members = lambda x: narrow.select(group, "form", F.col("written").alias(x), F.col(key).alias(f"_key{x}"))
+    both = pairs.join(members("_lo"), [group, "form", "_lo"]).join(members("_hi"), [group, "form", "_hi"])
+    return both.select(F.least("_key_lo", "_key_hi").alias(f"{key}_a"), F.greatest("_key_lo", "_key_hi").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b")).distinct()

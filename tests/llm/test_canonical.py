@@ -50,3 +50,11 @@ def test_pairs(spark):
     assert C.look_alike_pairs(df.where("false"), "chapter_id", "source_id", ["title", "text"], SCRIPTS).count() == 0
     plain = {r.chapter_id: r.title for r in C.canonical_texts(df, ["chapter_id"], ["title", "text"], SCRIPTS).collect()}
     assert plain[3] == "Gate" and plain[7] is None
+
+
+def test_undecided_tokens_are_counted():
+    assert C.undecided("сор РОТ") == 2 and C.undecided("Старый сор") == 0 and C.undecided("cop") == 0 and C.undecided(None) == 0
+
+
+def test_letters_follow_bigrams():
+    assert C.canonical("ржa gate дом", SCRIPTS).startswith("ржа")
