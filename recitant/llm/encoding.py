@@ -370,8 +370,6 @@ class Repairer:
         for charset in WIDE_READ_AS:
             if (fixed := undo_wide_utf8(text, charset)) != text and fixed not in out and plausible(fixed, text):
                 out[fixed] = f"{charset}>utf-8"
-        if any(not SUSPICIOUS.search(fixed) and self.unknown(fixed) == 0 for fixed in out):
-            return out
         times, base, known = Counter(text), set(text), self.alphabet
         bound = sum(n for c, n in times.items() if c not in known)
 

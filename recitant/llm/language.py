@@ -9,7 +9,7 @@ step is a few array operations over all texts that have that many words.
 The trigram tables are trained on a bounded, labelled sample (samples.py); labels that the first table
 contradicts are dropped and the table is trained again.
 
-Defined results: texts without letters have no language (null, confidence 0); words of scripts of none of
+Defined results: a text without letters of the languages has no segment; a source without words has the language null and confidence 0.0; words of scripts of none of
 the languages are passed over; confidence is the mean margin of the words' own scores mapped to 0..1.
 """
 
@@ -255,6 +255,8 @@ def confidence(own: np.ndarray) -> float:
 
 _code = re.compile(r"[<>{}=|\\]|https?://|::|\(\)|\$\S")
 _marked = re.compile(r"\]\(|\]\[|\[\[|\{\{|<[a-z/!]|\\[a-z]")
+#: Code points to a sign of code, and words to a sign of markup, below which a sentence is code or markup.
+CODE_CHARS, MARKUP_WORDS = 60, 10
 _final = re.compile(r"[.!?…。！？।؟۔;;][”’\"'»“«)\]」』]*$")
 
 
@@ -286,7 +288,7 @@ def whole_sentences(text: str, labels: np.ndarray, ends: list[int]) -> set[str]:
             name, weight, share = LANGUAGES[lang], weights[lang], weights[lang] / weights.sum()
         if name in out or share < 0.8 or weight < (6 if name in ("zh", "ja", "th") else 2 if name in ("ko", "hi", "ar") else 3):
             continue
-        if _code.search(sentence) and len(sentence) < 60 or _marked.search(sentence) and k - first < 10:
+        if CODE_CHARS * len(_code.findall(sentence)) > len(sentence) or MARKUP_WORDS * len(_marked.findall(sentence)) > k - first:
             continue
         if name == "th" or _final.search(sentence):
             out.add(name)
