@@ -184,3 +184,31 @@ def part_name(base: Column, part: Column, multi: Column, stem: Column, leaf: Col
 
 def temporary_part_name(part: Column, stem: Column) -> Column:
     return F.when(stem.isNull() | (stem == ""), F.format_string("_part-%02d", part)).otherwise(F.format_string("tmp-%s-part-%02d", file_component(stem), part))
+
+
+def is_true(c: Column) -> Column:
+    """Whether a setting is switched on; false for null."""
+    return F.coalesce(F.lower(strip(c)).isin("1", "true", "yes", "on", "debug"), F.lit(False))
+
+
+def output_paths(root: Column, parts: Column) -> Column:
+    """array<struct<wav, mp3>>: the files of an output, numbered where there are several. A single output's name loses its
+    suffix, if it has one, for the new one."""
+    single = F.regexp_replace(root, r"(?<=[^/])\.[^./]+$", "")
+    names = F.when(parts <= 1, F.array(single)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(parts, F.lit(1)).cast("int")), lambda k: F.format_string("%s-part%02d", root, k)))
+    return F.transform(names, lambda n: F.struct(F.concat(n, F.lit(".wav")).alias("wav"), F.concat(n, F.lit(".mp3")).alias("mp3")))
+
+
+def cache_name(source_path: Column) -> Column:
+    """The file in which a source's chapters are cached."""
+    return F.concat(slug(source_path), F.lit(".json"))
+
+
+def stem(path: Column) -> Column:
+    """The last part of a path without its suffix."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def quarantine_name(path: Column) -> Column:
+    """One flat name for a replaced file: its path from the root, parts joined by two underscores."""
+    return F.replace(F.regexp_replace(path, "^/+", ""), F.lit("/"), F.lit("__"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import file_component, is_short_section
+from ..functions.text import file_component, is_short_section, slug, stem
+from .layout import group_directories, spoken
 from .ranks import with_rank
 
 # Default sizes.
@@ -37,14 +38,31 @@ def worker_chars(provider: Column, title: Column, chunks: Column, chars: Column,
     return F.when(provider == CPU, cpu).otherwise(F.greatest(F.lit(GPU_LEAST), (large * shrink).cast("int"))).cast("long")
 
 
-def output_names(chapters: DataFrame) -> DataFrame:
-    """(chapter_id, output_name): number within the folder and title, with the place in the source where
-    another chapter of the folder has the name already."""
-    own = chapters.select("chapter_id", "source_id", "chapter_index", "group_path", file_component(F.coalesce("title", F.lit(""))).alias("title"))
-    numbered = with_rank(own, ["source_id", "group_path"], "chapter_index", "chapter_id", "number")
-    named = with_rank(numbered, ["source_id"], "chapter_index", "chapter_id", "place").withColumn("name", F.format_string("%02d-%s", "number", "title"))
-    ranked = with_rank(named, ["source_id", "group_path", "name"], "chapter_index", "chapter_id", "rank")
-    return ranked.select("chapter_id", F.when(F.col("rank") > 1, F.format_string("%s-c%03d", "name", "place")).otherwise(F.col("name")).alias("output_name"))
+def output_names(chapters: DataFrame, sources: DataFrame, navigation: DataFrame | None = None) -> DataFrame:
+    """(chapter_id, chapter_index, output_subdir, output_name) of the chapters that have text, which alone are counted.
+
+    A chapter of a group lies in the group's folder and is counted there; others lie in the source's folder, where one
+    whose title heads the navigation has that entry's place and the rest are counted by themselves. A name that its folder
+    has already gets the chapter's index. ``sources`` has source_id and source_path; ``navigation`` (source_id, title,
+    place) has the entries at the top, the first of a title counting."""
+    kept = spoken(chapters).select("chapter_id", "source_id", F.col("chapter_index").alias("_at"), F.nullif("group_path", F.lit("")).alias("group_path"), file_component(F.coalesce("title", F.lit(""))).alias("title"))
+    placed = with_rank(kept, ["source_id"], "_at", "chapter_id", "chapter_index")
+    folders = group_directories(spoken(chapters)).withColumnRenamed("directory", "_folder")
+    roots = sources.select("source_id", slug(stem(F.col("source_path"))).alias("_root"))
+    named = placed.join(folders, ["source_id", "group_path"], "left").join(roots, "source_id", "left")
+    subdir = F.when(F.col("group_path").isNull(), F.col("_root")).otherwise(F.concat_ws("/", "_root", F.coalesce("_folder", file_component(F.col("group_path")))))
+    lying = named.select("chapter_id", "source_id", "chapter_index", "title", "group_path", subdir.alias("output_subdir"))
+    if navigation is None:
+        entered = lying.withColumn("_entry", F.lit(None).cast("long"))
+    else:
+        entries = navigation.select("source_id", file_component(F.col("title")).alias("title"), F.col("place").cast("long").alias("_entry")).groupBy("source_id", "title").agg(F.min("_entry").alias("_entry"))
+        entered = lying.join(entries, ["source_id", "title"], "left").withColumn("_entry", F.when(F.col("group_path").isNull(), F.col("_entry")))
+    way = F.when(F.col("group_path").isNotNull(), 0).when(F.col("_entry").isNull(), 1).otherwise(2)
+    counted = with_rank(entered.withColumn("_way", way), ["source_id", "output_subdir", "_way"], "chapter_index", "chapter_id", "_count")
+    titled = counted.withColumn("_name", F.format_string("%02d-%s", F.coalesce("_entry", "_count"), "title"))
+    ranked = with_rank(titled, ["source_id", "output_subdir", "_name"], "chapter_index", "chapter_id", "_same")
+    name = F.when(F.col("_same") > 1, F.format_string("%s-c%03d", "_name", "chapter_index")).otherwise(F.col("_name"))
+    return ranked.select("chapter_id", "chapter_index", "output_subdir", name.alias("output_name"))
 
 
 def unique_names(df: DataFrame, scope: list[str], name: str, key: str) -> DataFrame:
@@ -52,18 +70,23 @@ def unique_names(df: DataFrame, scope: list[str], name: str, key: str) -> DataFr
     return with_rank(df.select(key, name, *scope), [*scope, name], key, key, "rank").select(key, F.when(F.col("rank") > 1, F.format_string("%s-c%03d", F.col(name), F.col("rank"))).otherwise(F.col(name)).alias("unique_name"))
 
 
-def complete(parts: DataFrame) -> DataFrame:
-    """(job_id) of jobs whose every part names a sound file and has a length."""
-    bad = F.col("mp3_path").isNull() | (F.col("mp3_path") == "") | ~(F.col("duration_seconds") > 0)
-    return parts.groupBy("job_id").agg(F.max(F.coalesce(bad, F.lit(True)).cast("int")).alias("bad")).where("bad = 0").select("job_id")
+def complete(parts: DataFrame, files: DataFrame) -> DataFrame:
+    """(job_id) of jobs that have parts, all of whose MP3 files, and WAV files where one is named, are there and not empty.
+    ``files`` has path and length."""
+    there = files.where("length > 0").select("path").distinct()
+    named = parts.select("job_id", F.nullif("mp3_path", F.lit("")).alias("mp3"), F.nullif("wav_path", F.lit("")).alias("wav"))
+    with_mp3 = named.join(there.select(F.col("path").alias("mp3"), F.lit(True).alias("_mp3")), "mp3", "left")
+    with_both = with_mp3.join(there.select(F.col("path").alias("wav"), F.lit(True).alias("_wav")), "wav", "left")
+    whole = F.col("_mp3").isNotNull() & (F.col("wav").isNull() | F.col("_wav").isNotNull())
+    return with_both.groupBy("job_id").agg(F.min(whole.cast("int")).alias("whole")).where("whole = 1").select("job_id")
 
 
-def pending(jobs: DataFrame, parts: DataFrame) -> DataFrame:
-    return jobs.join(complete(parts), "job_id", "left_anti")
+def pending(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    return jobs.join(done, "job_id", "left_anti")
 
 
-def skipped(jobs: DataFrame, parts: DataFrame) -> DataFrame:
-    return jobs.join(complete(parts), "job_id", "left_semi")
+def skipped(jobs: DataFrame, done: DataFrame) -> DataFrame:
+    return jobs.join(done, "job_id", "left_semi")
 
 
 JOB_KEY = ["estimated_chunks", "estimated_chars", "chapter_index", "job_id"]
@@ -103,13 +126,10 @@ def worker_plan(gpus: int, cpus: int, selected: str = CPU) -> list[tuple[str, st
 
 
 def next_attempts(jobs: DataFrame, failures: DataFrame, max_retries: int = 2) -> DataFrame:
-    """Jobs to queue again: the latest attempt of each failed job, one attempt on; after a GPU failure they are
-    pinned to the CPU. A job whose provider is locked, or without attempts left, is not queued again."""
+    """Jobs to queue again: the latest attempt of each failed job, one attempt on; after a failure of a GPU worker that its
+    device or its silence caused they are pinned to the CPU, for good. A job that is locked already, or without attempts
+    left, is not queued again."""
     latest = jobs.groupBy("job_id").agg(F.max_by(F.struct("attempt", "preferred_provider", "fallback_locked"), "attempt").alias("j"))
-    failed = failures.groupBy("job_id").agg(F.max(F.col("gpu_failure").cast("int")).alias("gpu_failure"))
-    return latest.join(failed, "job_id").where((F.col("j.attempt") <= max_retries) & ~F.coalesce(F.col("j.fallback_locked"), F.lit(False))).select(
-        "job_id",
-        (F.col("j.attempt") + 1).alias("attempt"),
-        F.when((F.col("gpu_failure") == 1) & (F.coalesce("j.preferred_provider", F.lit(GPU)) != CPU), F.lit(CPU)).otherwise(F.col("j.preferred_provider")).alias("preferred_provider"),
-        ((F.col("gpu_failure") == 1) & (F.coalesce("j.preferred_provider", F.lit(GPU)) != CPU)).alias("fallback_locked"),
-    )
+    failed = failures.groupBy("job_id").agg((F.max(F.col("gpu_failure").cast("int")) == 1).alias("gpu_failure"))
+    again = latest.join(failed, "job_id").where((F.col("j.attempt") <= max_retries) & ~F.coalesce(F.col("j.fallback_locked"), F.lit(False)))
+    return again.select("job_id", (F.col("j.attempt") + 1).alias("attempt"), F.when(F.col("gpu_failure"), F.lit(CPU)).otherwise(F.col("j.preferred_provider")).alias("preferred_provider"), F.col("gpu_failure").alias("fallback_locked"))

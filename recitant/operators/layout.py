@@ -22,11 +22,12 @@ def spoken(chapters: DataFrame) -> DataFrame:
 
 
 def numbered(chapters: DataFrame) -> DataFrame:
-    """Adds the 1-based place within the source and within the source's group (null is a group of its own).
+    """The chapters that have text with their 1-based place within the source and within the source's group (null is a group
+    of its own); chapters without text are dropped before they are counted.
 
     Keys only are sorted, not texts: callers join the numbers to the texts where they need both.
     """
-    keys = chapters.select("chapter_id", "source_id", "chapter_index", "group_path")
+    keys = spoken(chapters).select("chapter_id", "source_id", "chapter_index", "group_path")
     placed = with_rank(keys, ["source_id"], "chapter_index", "chapter_id", "place")
     return with_rank(placed, ["source_id", "group_path"], "chapter_index", "chapter_id", "number_in_group")
 

@@ -15,8 +15,9 @@ BLOCK = 10_000
 
 
 def _blocked(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds the group as one string, null keys apart from all others, and the block; a null order comes first."""
-    return df.withColumn("_group", F.to_json(F.struct(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keys))))).withColumn("_block", F.coalesce(F.floor(F.col(order) / BLOCK), F.lit(-(1 << 62))))
+    """Adds the group as a digest of 128 bits, so that no long key is shuffled, null keys apart from all others, and the block;
+    a null order comes first."""
+    return df.withColumn("_group", F.md5(F.to_json(F.struct(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keys)))))).withColumn("_block", F.coalesce(F.floor(F.col(order) / BLOCK), F.lit(-(1 << 62))))
 
 
 def _shifts(blocks: DataFrame, value: str) -> DataFrame:

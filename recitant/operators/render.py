@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import group_leaf
 from ..tables import spread
 
 # Default sample rate, silence and part length.
@@ -76,6 +77,34 @@ def manifests(parts: DataFrame) -> DataFrame:
     )
 
 
+def manifest_chunks(chunks: DataFrame, keys: list[str], title: str) -> DataFrame:
+    """(*keys, chunks array<struct<index, heading, chapter, chars, text>>): the chunks of a manifest in order; a chunk delivered
+    twice counts once. One row holds the text of one chapter or book, as its manifest does."""
+    own = chunks.select("chunk_id", *keys, "chunk_index", "heading", title, "text").dropDuplicates(["chunk_id"])
+    chunk = F.struct(F.col("chunk_index").cast("long").alias("index"), F.col("chunk_id").alias("_id"), "heading", F.col(title).alias("chapter"), F.length("text").cast("long").alias("chars"), "text")
+    return own.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(chunk)), lambda c: c.dropFields("_id")).alias("chunks"))
+
+
+def tags(title: Column, track: Column, source_title: Column, author: Column, publisher: Column, date: Column, group: Column) -> Column:
+    """The tags of a sound file: the album is the last level of the group, without one the source; empty values give none."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.struct(
+        title.alias("title"), track.cast("string").alias("tracknumber"), F.when(some(group).isNotNull(), group_leaf(group)).otherwise(source_title).alias("album"), some(author).alias("artist"), some(author).alias("albumartist"),
+        some(date).alias("date"), some(source_title).alias("comment"), some(publisher).alias("publisher"),
+    )
+
+
+def interleaved(channels: Column) -> Column:
+    """array<array<double>> of equally long channels as one 16-bit array, sample by sample."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.get(channels, F.lit(0))), F.lit(1)) - 1), lambda k: F.filter(F.transform(channels, lambda c: F.get(pcm16(c), k)), lambda x: x.isNotNull())))
+
+
+def chunk_files(chunks: DataFrame) -> DataFrame:
+    """(name, samples, sample_rate) of chunks that are kept as files of their own, named by their number; ``audio.write`` writes
+    them. ``chunks`` has chunk_index, samples and sample_rate."""
+    return chunks.select(F.format_string("chunks/%04d", "chunk_index").alias("name"), "samples", "sample_rate")
+
+
 def write_manifests(manifest: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """JSON lines, one manifest each; an existing target is an error unless overwriting is asked for."""
     manifest.write.mode(mode).json(path)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import repair_title
+from ..functions.text import quarantine_name, repair_title
 
 
 def assigned(roots: DataFrame, targets: DataFrame, scope: str) -> DataFrame:
@@ -32,3 +32,11 @@ def assigned(roots: DataFrame, targets: DataFrame, scope: str) -> DataFrame:
 
     kind = dict(roots.dtypes)[scope]
     return both.groupBy("scope").applyInPandas(match, f"scope {kind}, root string, target string").withColumnRenamed("scope", scope)
+
+
+def move_plan(assigned_: DataFrame, existing: DataFrame, quarantine: str) -> DataFrame:
+    """(root, target, quarantined): each stray file's move, and where a file that lies in its place goes first (null where
+    none does). ``assigned_`` has root and target, ``existing`` path."""
+    there = existing.select(F.col("path").alias("target"), F.lit(True).alias("_there")).distinct()
+    away = F.when(F.col("_there"), F.concat(F.lit(quarantine.rstrip("/") + "/"), quarantine_name(F.col("target"))))
+    return assigned_.join(there, "target", "left").select("root", "target", away.alias("quarantined"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, text
-from ..operators import events, jobs, layout, render
+from ..operators import events, jobs, layout, render, repair, resume
 from ..operators.ranks import with_rank
 from ..sources import epub, markdown
 from ..streaming import phases as stream
@@ -63,14 +63,16 @@ def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.select("doc_id", F.size(x).cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform(x, F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
-@query(f"""
+_sections = f"""
     WITH l AS (SELECT chapter_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT chapter_id, regexp_split_to_array(text, '{s.LINE_END}') AS ls FROM chapters WHERE text IS NOT NULL)),
     m AS (SELECT *, length(line) < 120 AND {s.strip('line')} <> '' AND regexp_full_match(line, '[A-Z0-9][A-Za-z0-9 ,:''\"()/-]{{0,118}}') AS heading FROM l),
     g AS (SELECT *, sum(heading::INT) OVER (PARTITION BY chapter_id ORDER BY i) AS g FROM m),
     b AS (SELECT chapter_id, g, max(CASE WHEN heading THEN line END) AS heading,
         {s.strip("regexp_replace(string_agg(CASE WHEN " + s.strip('line') + " = '' THEN '' ELSE line END, chr(10) ORDER BY i) FILTER (WHERE NOT heading), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")} AS body
-        FROM g GROUP BY chapter_id, g)
-    SELECT chapter_id, count(*)::BIGINT AS n_sections, count(heading)::BIGINT AS n_headed, sum(length(body))::BIGINT AS body_chars FROM b WHERE coalesce(body, '') <> '' GROUP BY chapter_id""")
+        FROM g GROUP BY chapter_id, g)"""
+
+
+@query(f"{_sections} SELECT chapter_id, count(*)::BIGINT AS n_sections, count(heading)::BIGINT AS n_headed, sum(length(body))::BIGINT AS body_chars FROM b WHERE coalesce(body, '') <> '' GROUP BY chapter_id")
 def chapter_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections by headings in running text."""
     made = chunking.with_sections(_texts(spark, sf_dir, "chapters", "chapter_id"), "text", "s").where(F.size("s") > 0)
@@ -80,14 +82,15 @@ def chapter_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""{_sections}, c AS (SELECT chapter_id, g, heading, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS k FROM (SELECT chapter_id, g, heading, {s.chunks('body', LIMIT)} AS cs FROM b WHERE coalesce(body, '') <> ''))
+    SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY g, k)::INT AS chunk_no, heading, chunk FROM c""")
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all sections with their heading, numbered over the chapter."""
     made = chunking.with_sections(_texts(spark, sf_dir, "chapters", "chapter_id"), "text", "s").select("chapter_id", F.flatten(F.transform("s", lambda x: F.transform(chunking.chunks(x["body"], LIMIT), lambda c: F.struct(x["heading"].alias("heading"), c.alias("chunk"))))).alias("c"))
     return made.select("chapter_id", F.posexplode("c").alias("pos", "x")).select("chapter_id", (F.col("pos") + 1).alias("chunk_no"), "x.heading", "x.chunk")
 
 
-@query()
+@query(f"SELECT chunk_id, h[1] AS first, h[2] AS second FROM (SELECT DISTINCT chunk_id, {s.retry_halves('text')} AS h FROM chunks WHERE text IS NOT NULL)")
 def retry_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The halves in which each chunk would be spoken after a failure."""
     h = chunking.retry_halves(F.col("text"))
@@ -116,7 +119,7 @@ def md_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.heading_levels(_texts(spark, sf_dir, "chapters", "chapter_id"), "chapter_id", "text")
 
 
-@query(f"""
+_md = f"""
     WITH d AS (SELECT chapter_id, coalesce(title, 'Untitled') AS fallback, text, {_lines} AS ls FROM chapters WHERE text IS NOT NULL),
     v AS (SELECT chapter_id, fallback, text, ls, {_level} AS level FROM d),
     l AS (SELECT chapter_id, fallback, level, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM v),
@@ -126,7 +129,10 @@ def md_level(spark: SparkSession, sf_dir: str) -> DataFrame:
         string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT heading) AS raw FROM g GROUP BY chapter_id, g),
     c AS (SELECT chapter_id, g, coalesce(title, fallback) AS title, {s.clean_markdown("coalesce(raw, '')")} AS text FROM b),
     k AS (SELECT * FROM c WHERE text <> ''),
-    e AS (SELECT chapter_id, 0 AS g, fallback AS title, {s.clean_markdown('text')} AS text FROM v WHERE chapter_id NOT IN (SELECT chapter_id FROM k))
+    e AS (SELECT chapter_id, 0 AS g, fallback AS title, {s.clean_markdown('text')} AS text FROM v WHERE chapter_id NOT IN (SELECT chapter_id FROM k))"""
+
+
+@query(f"""{_md}
     SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY g) AS part_no, title, text FROM (SELECT * FROM k UNION ALL SELECT * FROM e)""")
 def md_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chapter's text read as a Markdown document of its own."""
@@ -134,7 +140,29 @@ def md_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.chapters(named, ["chapter_id"], "text", "fallback")
 
 
-@query()
+@query(f"""{_md.replace("WITH d AS", "WITH RECURSIVE d AS", 1)},
+    src AS (SELECT chapter_id, g, title, text FROM (SELECT * FROM k UNION ALL SELECT * FROM e)), {s.parts_by_length('src', 'chapter_id, g, title', 1_500)},
+    n AS (SELECT *, count(*) OVER (PARTITION BY chapter_id, g) AS n, row_number() OVER (PARTITION BY chapter_id, g ORDER BY k) AS j FROM cut_parts)
+    SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY g, j) AS part_no, CASE WHEN n > 1 THEN title || ' ' || j ELSE title END AS title, part AS text FROM n""")
+def md_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with chapters of at most 1,500 code points."""
+    named = _texts(spark, sf_dir, "chapters", "chapter_id", "title").withColumn("fallback", F.coalesce("title", F.lit("Untitled")))
+    return markdown.chapters(named, ["chapter_id"], "text", "fallback", max_chars=1_500)
+
+
+@query(f"""
+    WITH RECURSIVE src AS (SELECT chapter_id, coalesce(title, 'Untitled') AS title, {s.clean_markdown('text')} AS text FROM chapters WHERE text IS NOT NULL), {s.parts_by_length('src', 'chapter_id, title', 1_500)},
+    n AS (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY k) AS j FROM cut_parts)
+    SELECT chapter_id, j AS part_no, CASE WHEN j > 1 THEN title || ' ' || j ELSE title END AS title, part AS text FROM n""")
+def md_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as one chapter, in parts of at most 1,500 code points."""
+    named = _texts(spark, sf_dir, "chapters", "chapter_id", "title").withColumn("fallback", F.coalesce("title", F.lit("Untitled")))
+    return markdown.chapters(named, ["chapter_id"], "text", "fallback", single=True, max_chars=1_500)
+
+
+@query(f"""
+    WITH RECURSIVE src AS (SELECT chapter_id, text FROM chapters WHERE text IS NOT NULL), {s.parts_by_length('src', 'chapter_id', 4_000)}
+    SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY k)::INT AS part_no, part FROM cut_parts""")
 def limited_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters cut to 4,000 code points at blank lines, else spaces."""
     return markdown.limited_parts(table(spark, sf_dir, "chapters"), "chapter_id", "text", 4_000)
@@ -208,20 +236,27 @@ def spoken_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.spoken(table(spark, sf_dir, "chapters")).select("chapter_id")
 
 
-@query("""
+_spoken = f"text IS NOT NULL AND {s.strip('text')} <> ''"
+
+
+@query(f"""
     SELECT chapter_id, source_id, chapter_index, group_path, row_number() OVER (PARTITION BY source_id ORDER BY chapter_index, chapter_id) AS place,
-        row_number() OVER (PARTITION BY source_id, group_path ORDER BY chapter_index, chapter_id) AS number_in_group FROM chapters""")
+        row_number() OVER (PARTITION BY source_id, group_path ORDER BY chapter_index, chapter_id) AS number_in_group FROM chapters WHERE {_spoken}""")
 def chapter_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.numbered(table(spark, sf_dir, "chapters"))
 
 
-@query(f"""
-    WITH f AS (SELECT source_id, group_path, min((chapter_index, chapter_id)) AS seen FROM chapters WHERE group_path <> '' GROUP BY ALL),
+def _folders(chapters: str) -> str:
+    """Common table expressions up to ``dirs`` (source_id, group_path, directory)."""
+    return f"""f AS (SELECT source_id, group_path, min((chapter_index, chapter_id)) AS seen FROM {chapters} WHERE group_path <> '' GROUP BY ALL),
     p AS (SELECT *, list_filter(list_transform(string_split(group_path, ' / '), lambda l: {s.strip('l')}), lambda l: l <> '') AS parts FROM f),
     n AS (SELECT source_id, group_path, seen, parts, unnest(range(1, len(parts) + 1)) AS depth FROM p),
     o AS (SELECT source_id, group_path, seen, depth, array_to_string(parts[1:depth - 1], ' / ') AS parent, parts[depth] AS name FROM n),
-    b AS (SELECT source_id, parent, depth, name, row_number() OVER (PARTITION BY source_id, parent, depth ORDER BY seen) AS place FROM (SELECT source_id, parent, depth, name, min(seen) AS seen FROM o GROUP BY source_id, parent, depth, name))
-    SELECT source_id, group_path, string_agg(lpad(place::VARCHAR, greatest(2, length(place::VARCHAR))::INT, '0') || '-' || {s.slug('name')}, '/' ORDER BY depth) AS directory FROM o JOIN b USING (source_id, parent, depth, name) GROUP BY ALL""")
+    b AS (SELECT source_id, parent, depth, name, row_number() OVER (PARTITION BY source_id, parent, depth ORDER BY seen) AS place FROM (SELECT source_id, parent, depth, name, min(seen) AS seen FROM o GROUP BY source_id, parent, depth, name)),
+    dirs AS (SELECT source_id, group_path, string_agg({s.padded('place', 2)} || '-' || {s.slug('name')}, '/' ORDER BY depth) AS directory FROM o JOIN b USING (source_id, parent, depth, name) GROUP BY ALL)"""
+
+
+@query(f"WITH {_folders('chapters')} SELECT * FROM dirs")
 def group_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.group_directories(table(spark, sf_dir, "chapters"))
 
@@ -282,33 +317,68 @@ def worker_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chapter_jobs").select("job_id", "attempt", size.alias("max_chars")).distinct()
 
 
-@query(f"""
-    WITH n AS (SELECT *, {s.file_component("coalesce(title, '')")} AS t, row_number() OVER (PARTITION BY source_id, group_path ORDER BY chapter_index, chapter_id) AS k, row_number() OVER (PARTITION BY source_id ORDER BY chapter_index, chapter_id) AS place FROM chapters),
-    m AS (SELECT *, lpad(k::VARCHAR, greatest(2, length(k::VARCHAR))::INT, '0') || '-' || t AS name FROM n),
-    d AS (SELECT *, row_number() OVER (PARTITION BY source_id, group_path, name ORDER BY chapter_index, chapter_id) AS r FROM m)
-    SELECT chapter_id, CASE WHEN r > 1 THEN name || '-c' || lpad(place::VARCHAR, greatest(3, length(place::VARCHAR))::INT, '0') ELSE name END AS output_name FROM d""")
+def _names(navigation: str) -> str:
+    return f"""
+    WITH sp AS (SELECT * FROM chapters WHERE {_spoken}), {_folders('sp')},
+    k AS (SELECT chapter_id, source_id, nullif(group_path, '') AS group_path, {s.file_component("coalesce(title, '')")} AS t, row_number() OVER (PARTITION BY source_id ORDER BY chapter_index, chapter_id) AS chapter_index FROM sp),
+    l AS (SELECT k.*, CASE WHEN k.group_path IS NULL THEN root ELSE concat_ws('/', root, coalesce(directory, {s.file_component('k.group_path')})) END AS output_subdir
+        FROM k LEFT JOIN dirs USING (source_id, group_path) LEFT JOIN (SELECT source_id, {s.slug(s.stem('source_path'))} AS root FROM sources) USING (source_id)),
+    nav AS ({navigation}),
+    e AS (SELECT l.*, CASE WHEN group_path IS NULL THEN place END AS entry FROM l LEFT JOIN nav USING (source_id, t)),
+    c AS (SELECT *, coalesce(entry, row_number() OVER (PARTITION BY source_id, output_subdir, CASE WHEN group_path IS NOT NULL THEN 0 WHEN entry IS NULL THEN 1 ELSE 2 END ORDER BY chapter_index)) AS no FROM e),
+    m AS (SELECT *, {s.padded('no', 2)} || '-' || t AS name FROM c),
+    d AS (SELECT *, row_number() OVER (PARTITION BY source_id, output_subdir, name ORDER BY chapter_index) AS same FROM m)
+    SELECT chapter_id, chapter_index, output_subdir, CASE WHEN same > 1 THEN name || '-c' || {s.padded('chapter_index', 3)} ELSE name END AS output_name FROM d"""
+
+
+@query(_names("SELECT NULL::BIGINT AS source_id, NULL::VARCHAR AS t, NULL::BIGINT AS place WHERE false"))
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.output_names(table(spark, sf_dir, "chapters"))
+    return jobs.output_names(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources"))
 
 
-_complete = "SELECT job_id FROM manifest_parts GROUP BY job_id HAVING bool_and(coalesce(mp3_path <> '' AND duration_seconds > 0, false))"
+@query(_names(f"SELECT source_id, {s.file_component('title')} AS t, min(chapter_index + 100)::BIGINT AS place FROM chapters WHERE group_path IS NULL AND length(title) < 20 GROUP BY ALL"))
+def output_names_by_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where short titles without a group are entries of the contents."""
+    chapters = table(spark, sf_dir, "chapters")
+    entries = chapters.where((F.length("title") < 20) & F.col("group_path").isNull()).select("source_id", "title", (F.col("chapter_index") + 100).alias("place"))
+    return jobs.output_names(chapters, table(spark, sf_dir, "sources"), entries)
+
+
+@query(f"SELECT source_path, {s.slug('source_path')} || '.json' AS cache FROM sources")
+def cache_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file in which each source's chapters are cached."""
+    return table(spark, sf_dir, "sources").select("source_path", text.cache_name(F.col("source_path")).alias("cache"))
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stands in for the folder of sound files: every file that a manifest names, as long as its part lasts."""
+    parts = table(spark, sf_dir, "manifest_parts")
+    return parts.select(F.explode(F.array("mp3_path", "wav_path")).alias("path"), (F.coalesce("duration_seconds", F.lit(0.0)) * 16_000).cast("long").alias("length")).where("path IS NOT NULL")
+
+
+def _done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.complete(table(spark, sf_dir, "manifest_parts"), _listing(spark, sf_dir))
+
+
+_complete = """SELECT job_id FROM manifest_parts GROUP BY job_id HAVING bool_and(coalesce(mp3_path, '') <> '' AND mp3_path IN (SELECT path FROM (SELECT unnest([mp3_path, wav_path]) AS path, trunc(coalesce(duration_seconds, 0) * 16000) AS n FROM manifest_parts) WHERE n > 0 AND path IS NOT NULL)
+    AND (coalesce(wav_path, '') = '' OR wav_path IN (SELECT path FROM (SELECT unnest([mp3_path, wav_path]) AS path, trunc(coalesce(duration_seconds, 0) * 16000) AS n FROM manifest_parts) WHERE n > 0 AND path IS NOT NULL)))"""
 
 
 @query(f"SELECT DISTINCT job_id, attempt FROM chapter_jobs WHERE job_id NOT IN ({_complete})")
 def jobs_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.pending(table(spark, sf_dir, "chapter_jobs"), table(spark, sf_dir, "manifest_parts")).select("job_id", "attempt").distinct()
+    return jobs.pending(table(spark, sf_dir, "chapter_jobs"), _done(spark, sf_dir)).select("job_id", "attempt").distinct()
 
 
 @query(f"SELECT source_path, count(DISTINCT job_id) AS n_skipped FROM chapter_jobs WHERE job_id IN ({_complete}) GROUP BY source_path")
 def jobs_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = jobs.skipped(table(spark, sf_dir, "chapter_jobs"), table(spark, sf_dir, "manifest_parts"))
+    done = jobs.skipped(table(spark, sf_dir, "chapter_jobs"), _done(spark, sf_dir))
     return done.groupBy("source_path").agg(F.count_distinct("job_id").alias("n_skipped"))
 
 
 @query(f"SELECT job_id FROM chapter_jobs EXCEPT ALL ({_complete})")
 def jobs_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All attempts but one of each finished job, as a bag difference."""
-    return table(spark, sf_dir, "chapter_jobs").select("job_id").exceptAll(jobs.complete(table(spark, sf_dir, "manifest_parts")))
+    return table(spark, sf_dir, "chapter_jobs").select("job_id").exceptAll(_done(spark, sf_dir))
 
 
 _key = "(estimated_chunks, estimated_chars, chapter_index, job_id)"
@@ -330,12 +400,13 @@ def cpu_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.cpu_pick(table(spark, sf_dir, "chapter_jobs"), ["source_path"], allowed_chunks=2)
 
 
+_device = "coalesce((regexp_matches(lower(line_text), 'cuda|cudnn|cublas|out of memory') OR event_kind = 'timeout') AND starts_with(worker_name, 'gpu'), false)"
+
+
 @query(f"""
     WITH j AS (SELECT job_id, max(attempt) AS attempt, max_by(coalesce(preferred_provider, ''), attempt) AS provider, max_by(fallback_locked, attempt) AS locked FROM chapter_jobs GROUP BY job_id),
-    f AS (SELECT job_id, max((coalesce(regexp_matches(lower(line_text), 'cuda|cudnn|cublas|out of memory'), false) OR (event_kind = 'timeout' AND coalesce(starts_with(worker_name, 'gpu'), false)))::INT) AS g
-        FROM runner_log WHERE event_kind IN ('worker_exception', 'timeout', 'retry') GROUP BY job_id)
-    SELECT job_id, (attempt + 1)::BIGINT AS attempt, CASE WHEN g = 1 AND provider <> '{jobs.CPU}' THEN '{jobs.CPU}' ELSE nullif(provider, '') END AS preferred_provider, g = 1 AND provider <> '{jobs.CPU}' AS fallback_locked
-    FROM j JOIN f USING (job_id) WHERE attempt <= 2 AND NOT coalesce(locked, false)""")
+    f AS (SELECT job_id, bool_or({_device}) AS g FROM runner_log WHERE event_kind IN ('worker_exception', 'timeout', 'retry') GROUP BY job_id)
+    SELECT job_id, (attempt + 1)::BIGINT AS attempt, CASE WHEN g THEN '{jobs.CPU}' ELSE nullif(provider, '') END AS preferred_provider, g AS fallback_locked FROM j JOIN f USING (job_id) WHERE attempt <= 2 AND NOT coalesce(locked, false)""")
 def next_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = jobs.next_attempts(table(spark, sf_dir, "chapter_jobs"), events.gpu_failures(table(spark, sf_dir, "runner_log")))
     return again.withColumn("attempt", F.col("attempt").cast("long"))
@@ -374,6 +445,77 @@ def packed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.packed_parts(_chunk_samples(spark, sf_dir), ["chapter_id"], PART)
 
 
+@query(f"""
+    WITH RECURSIVE x AS (SELECT s.chapter_id, s.chunk_index, s.n, h.heading FROM ({_samples}) s JOIN (SELECT DISTINCT chapter_id, chunk_index, heading FROM chunks) h ON h.chapter_id = s.chapter_id AND h.chunk_index = s.chunk_index),
+    o AS (SELECT chapter_id, chunk_index::BIGINT AS c, n, heading AS g, row_number() OVER (PARTITION BY chapter_id ORDER BY chunk_index) AS r FROM x),
+    w AS (SELECT chapter_id, r, c, g, 1 AS seq, 1 AS part, n AS run FROM o WHERE r = 1
+        UNION ALL SELECT o.chapter_id, o.r, o.c, o.g, CASE WHEN o.g IS DISTINCT FROM w.g OR w.run >= {PART // 4} THEN w.seq + 1 ELSE w.seq END, CASE WHEN o.g IS DISTINCT FROM w.g THEN 1 WHEN w.run >= {PART // 4} THEN w.part + 1 ELSE w.part END,
+            CASE WHEN o.g IS DISTINCT FROM w.g OR w.run >= {PART // 4} THEN o.n ELSE w.run + o.n END FROM w JOIN o ON o.chapter_id = w.chapter_id AND o.r = w.r + 1)
+    SELECT chapter_id, max(part)::BIGINT AS part_no, min(c) AS start_chunk, max(c) AS end_chunk, max(run)::BIGINT AS samples, any_value(g) AS "group" FROM w GROUP BY chapter_id, seq""")
+def grouped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a quarter of a minute that end where the heading changes, numbered anew under each."""
+    headed = table(spark, sf_dir, "chunks").select("chapter_id", "chunk_index", "heading").distinct()
+    return render.packed_parts(_chunk_samples(spark, sf_dir).join(headed, ["chapter_id", "chunk_index"]), ["chapter_id"], PART // 4, "heading")
+
+
+@query(f"""
+    WITH RECURSIVE x AS ({_samples}), o AS (SELECT chapter_id, chunk_index::BIGINT AS c, n, row_number() OVER (PARTITION BY chapter_id ORDER BY chunk_index) AS r FROM x),
+    w AS (SELECT chapter_id, r, c, 1 AS part, n AS run FROM o WHERE r = 1
+        UNION ALL SELECT o.chapter_id, o.r, o.c, CASE WHEN w.run >= {PART} THEN w.part + 1 ELSE w.part END, CASE WHEN w.run >= {PART} THEN o.n ELSE w.run + o.n END FROM w JOIN o ON o.chapter_id = w.chapter_id AND o.r = w.r + 1),
+    p AS (SELECT chapter_id, part, min(c) AS a, max(c) AS b FROM w GROUP BY ALL), q AS (SELECT *, (part - 1) // 2 + 1 AS run_no, max(part) OVER (PARTITION BY chapter_id) AS l, min(a) OVER (PARTITION BY chapter_id) AS f FROM p)
+    SELECT chapter_id, run_no::BIGINT AS run_no, (max(part) + 1)::BIGINT AS next_part, (max(b) + 1)::BIGINT AS next_chunk, (max(b) - min(f) + 1)::BIGINT AS completed_chunks, max(part) < max(l) AS partial FROM q GROUP BY chapter_id, run_no""")
+def resume_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each chapter's job goes on if a run ends after two parts."""
+    return resume.points(packed_parts(spark, sf_dir), ["chapter_id"], 2)
+
+
+@query("""
+    SELECT chapter_id, count(*) AS chunk_count, string_agg(chunk_index || ':' || coalesce(heading, '') || ':' || coalesce(length(text), 0) || ':' || md5(coalesce(text, '')), '|' ORDER BY chunk_index, chunk_id) AS chunks FROM (SELECT DISTINCT chunk_id, chapter_id, chunk_index, heading, text FROM chunks) GROUP BY chapter_id""")
+def manifest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every chapter's manifest, shown in one line."""
+    made = render.manifest_chunks(table(spark, sf_dir, "chunks").withColumn("title", F.col("heading")), ["chapter_id"], "title")
+    line = lambda c: F.concat_ws(":", c["index"].cast("string"), F.coalesce(c["heading"], F.lit("")), F.coalesce(c["chars"], F.lit(0)).cast("string"), F.md5(F.coalesce(c["text"], F.lit(""))))
+    return made.select("chapter_id", F.size("chunks").cast("long").alias("chunk_count"), F.array_join(F.transform("chunks", line), "|").alias("chunks"))
+
+
+@query(f"""
+    WITH j AS (SELECT DISTINCT job_id, source_path FROM chapter_jobs)
+    SELECT DISTINCT p.job_id, p.part_no, {s.stem('mp3_path')} AS title, coalesce(try_cast(nullif(regexp_extract({s.stem('mp3_path')}, '^([0-9]+)', 1), '') AS INT), part_no)::VARCHAR AS tracknumber,
+        CASE WHEN coalesce(group_path, '') = '' THEN source_title ELSE list_filter(list_transform(string_split(group_path, ' / '), lambda l: {s.strip('l')}), lambda l: l <> '')[-1] END AS album,
+        nullif(author, '') AS artist, nullif(author, '') AS albumartist, nullif(published_date, '') AS date, nullif(source_title, '') AS comment, nullif(publisher, '') AS publisher
+    FROM manifest_parts p JOIN j USING (job_id) JOIN sources USING (source_path)""")
+def part_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags of every part's sound file."""
+    of = table(spark, sf_dir, "chapter_jobs").select("job_id", "source_path").distinct()
+    rows = table(spark, sf_dir, "manifest_parts").join(of, "job_id").join(table(spark, sf_dir, "sources"), "source_path")
+    stem = text.stem(F.col("mp3_path"))
+    made = render.tags(stem, text.track_number(stem, F.col("part_no")), F.col("source_title"), F.col("author"), F.col("publisher"), F.col("published_date"), F.col("group_path"))
+    return rows.select("job_id", "part_no", made.alias("t")).select("job_id", "part_no", "t.*").distinct()
+
+
+@query(r"""
+    WITH n AS (SELECT job_id, output_name, count(DISTINCT part_no) AS n FROM (SELECT DISTINCT job_id, output_name FROM chapter_jobs) JOIN manifest_parts USING (job_id) GROUP BY ALL)
+    SELECT job_id, CASE WHEN n <= 1 THEN regexp_replace(output_name, '([^/])\.[^./]+$', '\1') || '.mp3' ELSE array_to_string(list_transform(range(1, n + 1), lambda k: output_name || '-part' || lpad(k::VARCHAR, greatest(2, length(k::VARCHAR))::INT, '0') || '.mp3'), '|') END AS files FROM n""")
+def part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of every finished job by its number of parts."""
+    named = table(spark, sf_dir, "chapter_jobs").select("job_id", "output_name").distinct().join(table(spark, sf_dir, "manifest_parts"), "job_id").groupBy("job_id", "output_name").agg(F.count_distinct("part_no").alias("n"))
+    return named.select("job_id", F.array_join(F.transform(text.output_paths(F.col("output_name"), F.col("n")), lambda f: f["mp3"]), "|").alias("files"))
+
+
+@query("SELECT DISTINCT mp3_path AS root, wav_path AS target, CASE WHEN duration_seconds > 20 THEN '_quarantine/' || replace(regexp_replace(wav_path, '^/+', ''), '/', '__') END AS quarantined FROM manifest_parts WHERE wav_path IS NOT NULL")
+def quarantine_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves of MP3 files to the places of their WAV files, of which those longer than 20 seconds are there already."""
+    parts = table(spark, sf_dir, "manifest_parts").where("wav_path IS NOT NULL")
+    moves = parts.select(F.col("mp3_path").alias("root"), F.col("wav_path").alias("target")).distinct()
+    return repair.move_plan(moves, parts.where("duration_seconds > 20").select(F.col("wav_path").alias("path")), "_quarantine")
+
+
+@query("SELECT lang, word, lower(trim(word)) IN ('1', 'true', 'yes', 'on', 'debug') AS is_on FROM common_words")
+def settings_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words would switch a setting on."""
+    return table(spark, sf_dir, "common_words").select("lang", "word", text.is_true(F.col("word")).alias("is_on"))
+
+
 @query("""
     SELECT job_id, count(*) AS part_count, (max(end_chunk) - min(start_chunk) + 1)::BIGINT AS chunk_count, round(sum(duration_seconds), 3) AS duration_seconds,
         string_agg(part_no::VARCHAR || ':' || start_chunk || '-' || end_chunk || ':' || coalesce(group_path, ''), ',' ORDER BY part_no, start_chunk) AS parts FROM manifest_parts GROUP BY job_id""")
@@ -412,6 +554,15 @@ def pcm_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", render.pcm16(F.transform("embedding", lambda x: x.cast("double"))).alias("pcm"))
 
 
+@query("""
+    SELECT vec_id, flatten(list_transform(range(1, len(embedding) // 2 + 1), lambda i: [trunc(greatest(-1.0, least(1.0, embedding[i]::DOUBLE)) * 32767)::INT, trunc(greatest(-1.0, least(1.0, embedding[i + len(embedding) // 2]::DOUBLE)) * 32767)::INT])) AS pcm FROM embeddings""")
+def stereo_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both halves of each vector as two channels."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    return table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e"), half.alias("h")).select("vec_id", render.interleaved(F.array(F.slice("e", F.lit(1), F.col("h")), F.slice("e", F.col("h") + 1, F.col("h")))).alias("pcm"))
+
+
 @query("""
     WITH k AS (SELECT vec_id, embedding, list_filter(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN abs(embedding[i]) > 0.1 THEN i END), lambda i: i IS NOT NULL) AS loud FROM embeddings)
     SELECT vec_id, (CASE WHEN len(loud) = 0 THEN len(embedding) ELSE least(loud[-1] + 2, len(embedding)) - greatest(loud[1] - 2, 1) + 1 END)::BIGINT AS n FROM k""")
@@ -439,12 +590,19 @@ def event_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.phases(table(spark, sf_dir, "runner_log"))
 
 
+@query(f"SELECT event_id, worker_name, logged_at + INTERVAL 12 SECOND AS ready_at FROM (SELECT DISTINCT * FROM runner_log) WHERE {_device}")
+def worker_rests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Until when GPU workers rest after a failure."""
+    return events.rests(table(spark, sf_dir, "runner_log"))
+
+
 @query(f"""
     WITH e AS (SELECT DISTINCT * FROM runner_log), g AS (SELECT event_id, job_id, (epoch_us(logged_at) - lag(epoch_us(logged_at)) OVER w) / 1000000 AS gap_seconds,
         coalesce(last_value({_phase} IGNORE NULLS) OVER (PARTITION BY job_id, worker_name ORDER BY logged_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'spawn') AS phase FROM e WINDOW w AS (PARTITION BY job_id, worker_name ORDER BY logged_at, event_id))
-    SELECT event_id, job_id, gap_seconds FROM g WHERE gap_seconds > CASE WHEN phase LIKE 'bootstrap%' OR phase = 'warmup' THEN 90 ELSE 300 END""")
+    SELECT event_id, job_id, gap_seconds FROM g WHERE gap_seconds > CASE WHEN phase LIKE 'bootstrap%' OR phase = 'warmup' THEN 20 ELSE 35 END""")
 def event_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.silences(table(spark, sf_dir, "runner_log"))
+    """Silences by limits of 35 seconds, 20 before rendering; the tables have none as long as the defaults."""
+    return events.silences(table(spark, sf_dir, "runner_log"), 35.0, 20.0)
 
 
 @query("SELECT worker_name, max_by(event_id, (logged_at, event_id)) AS event_id, max_by(event_kind, (logged_at, event_id)) AS event_kind, count(DISTINCT event_id) AS n_events FROM runner_log GROUP BY worker_name")
@@ -467,6 +625,40 @@ def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.batch_progress(table(spark, sf_dir, "chapter_jobs"), table(spark, sf_dir, "runner_log"))
 
 
+_progress = r"regexp_extract(trim(line_text), '^\[(\d+)/(\d+)\]\s+([0-9.]+)% .* eta=([0-9.]+)s', ['a', 'b', 'c', 'd'])"
+
+
+@query(f"""
+    WITH s AS (SELECT job_id, source_path, max(estimated_chunks) AS chunks FROM chapter_jobs GROUP BY ALL), l AS (SELECT DISTINCT * FROM runner_log),
+    e AS (SELECT job_id, coalesce(bool_or(starts_with(trim(line_text), '{{') AND json_valid(line_text) AND json_extract_string(CASE WHEN json_valid(line_text) THEN line_text END, '$.worker_job_done') = 'true'), false) AS done,
+        max(try_cast(nullif({_progress}.a, '') AS BIGINT)) AS cur, max((logged_at, event_id)) FILTER (WHERE event_kind IN ('worker_exception', 'timeout')) AS bad, max((logged_at, event_id)) FILTER (WHERE event_kind NOT IN ('worker_exception', 'timeout')) AS good,
+        min(epoch_us(logged_at)) AS begun, max(epoch_us(logged_at)) AS ended FROM l GROUP BY job_id),
+    j AS (SELECT source_path, chunks, coalesce(done, false) AS done, least(chunks, coalesce(cur, 0)) AS cur, bad IS NOT NULL AND (good IS NULL OR bad > good) AS failed, begun, ended FROM s LEFT JOIN e USING (job_id)),
+    t AS (SELECT source_path, count(*) AS n_jobs, count(*) FILTER (WHERE done) AS n_done, count(*) FILTER (WHERE NOT done AND NOT failed AND cur > 0) AS n_running, count(*) FILTER (WHERE failed AND NOT done) AS n_failed, sum(chunks) AS total,
+        sum(CASE WHEN done THEN chunks WHEN NOT failed AND cur > 0 THEN cur ELSE 0 END) AS made, coalesce((max(ended) - min(begun)) / 1000000, 0.0) AS took FROM j GROUP BY source_path)
+    SELECT source_path, n_jobs, n_done, n_running, n_failed, CASE WHEN total > 0 THEN round(made * 100.0 / total, 1) ELSE 100.0 END::DOUBLE AS percent, CASE WHEN made > 0 THEN round(took / made, 3) ELSE 0.0 END AS average_seconds, CASE WHEN made > 0 THEN round(took / made * (total - made), 3) ELSE 0.0 END AS eta_seconds FROM t""")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's jobs are, and how long they will take."""
+    queue, log = table(spark, sf_dir, "chapter_jobs"), table(spark, sf_dir, "runner_log")
+    of = queue.select("job_id", "source_path").distinct()
+    at = F.unix_micros(F.col("logged_at").cast("timestamp"))
+    took = log.join(of, "job_id").groupBy("source_path").agg(((F.max(at) - F.min(at)) / 1_000_000).alias("took"))
+    states = events.job_states(queue, log).join(of, "job_id").join(took, "source_path", "left")
+    return events.batch_summary(states, ["source_path"], F.coalesce("took", F.lit(0.0)))
+
+
+@query(f"""
+    WITH RECURSIVE l AS (SELECT DISTINCT event_id, job_id, worker_name, epoch_us(logged_at) AS t, {_progress} AS m FROM runner_log),
+    o AS (SELECT event_id, job_id, worker_name, t, m.a::BIGINT AS c, m.b::BIGINT AS n, row_number() OVER (PARTITION BY job_id, worker_name ORDER BY t, event_id) AS r FROM l WHERE m.a <> ''),
+    w AS (SELECT *, true AS shown, t AS st, c AS sc, n AS sn FROM o WHERE r = 1
+        UNION ALL SELECT o.*, NOT h, CASE WHEN h THEN w.st ELSE o.t END, CASE WHEN h THEN w.sc ELSE o.c END, CASE WHEN h THEN w.sn ELSE o.n END
+        FROM w JOIN o ON o.job_id = w.job_id AND o.worker_name IS NOT DISTINCT FROM w.worker_name AND o.r = w.r + 1, LATERAL (SELECT o.n = w.sn AND (o.c = w.sc OR o.c < o.n AND o.t - w.st < 30000000) AS h))
+    SELECT event_id, job_id FROM w WHERE shown""")
+def shown_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The progress lines that are shown, one in 30 seconds."""
+    return events.shown_progress(table(spark, sf_dir, "runner_log"), 30.0)
+
+
 @query(r"""
     WITH p AS (SELECT DISTINCT event_id, worker_name, regexp_extract(trim(line_text), '^\[(\d+)/(\d+)\]\s+([0-9.]+)% .* eta=([0-9.]+)s', ['a', 'b', 'c', 'd']) AS m FROM runner_log),
     q AS (SELECT *, floor(m.d::DOUBLE)::BIGINT AS t FROM p WHERE m.a <> '')
@@ -505,7 +697,7 @@ def repair_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, ["source_id", "k", "n"]).select("chapter_id", "job_id")
 
 
-@query()
+@query(f"SELECT chapter_id, {s.repair_title('title', text.NUMBERED_SECTIONS, text.FRONT_SECTIONS)} AS title FROM chapters")
 def repair_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chapters").select("chapter_id", text.repair_title(F.col("title")).alias("title"))
 

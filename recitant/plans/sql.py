@@ -72,3 +72,42 @@ def clean_markdown(x: str) -> str:
 
 def short_section(x: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({strip(x)}), '{w}')" for w in words) + ")"
+
+
+def stem(x: str) -> str:
+    return f"regexp_replace(regexp_extract({x}, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')"
+
+
+def padded(x: str, width: int) -> str:
+    return f"lpad(({x})::VARCHAR, greatest({width}, length(({x})::VARCHAR))::INT, '0')"
+
+
+def parts_by_length(source: str, keys: str, limit: int) -> str:
+    """Common table expressions up to ``cut_parts`` (keys, k, part): the texts of ``source`` cut to the limit by recursion."""
+    window = f"substr(rest, 1, {limit})"
+    end = f"CASE WHEN length(rest) <= {limit} THEN length(rest) ELSE coalesce(nullif(length(regexp_extract({window}, '(?s)^(.+\n\n)', 1)), 0), nullif(length(regexp_extract({window}, '(?s)^(.+ )', 1)), 0), {limit}) END"
+    return f"""walk AS (
+        SELECT {keys}, text AS rest, 0 AS k, NULL::VARCHAR AS part FROM {source} WHERE length(text) > {limit}
+        UNION ALL SELECT {keys}, regexp_replace(substr(rest, {end} + 1), '^[{WS}]+', ''), k + 1, {strip(f"substr(rest, 1, {end})")} FROM walk WHERE rest <> ''),
+    cut_parts AS (
+        SELECT {keys}, k, part FROM walk WHERE part <> '' UNION ALL SELECT {keys}, 1, text FROM {source} WHERE length(text) <= {limit}
+        UNION ALL SELECT {keys}, 1, text FROM {source} WHERE length(text) > {limit} AND {strip('text')} = '')"""
+
+
+def retry_halves(x: str) -> str:
+    """[first, second] halves of a text that failed."""
+    def halves(items: str) -> str:
+        return f"[array_to_string({items}[1:greatest(1, len({items}) // 2)], ' '), array_to_string({items}[greatest(1, len({items}) // 2) + 1:], ' ')]"
+
+    middle = f"greatest(1, length({x}) // 2)::INT"
+    words = f"list_filter(string_split({collapse(x)}, ' '), lambda z: z <> '')"
+    return f"CASE WHEN len({sentences(x)}) > 1 THEN {halves(sentences(x))} WHEN len({words}) > 1 THEN {halves(words)} ELSE [{strip(f'substr({x}, 1, {middle})')}, {strip(f'substr({x}, {middle} + 1)')}] END"
+
+
+def repair_title(x: str, numbered: list[str], front: list[str]) -> str:
+    v = f"replace(replace(replace({x}, chr(8217), chr(39)), chr(8220), chr(34)), chr(8221), chr(34))"
+    v = f"regexp_replace({v}, '^\\p{{Nd}}+[{WS}]*[-.][{WS}]*', '')"
+    word = "[\\p{L}\\p{N}_]+"
+    for rule in (f"^({'|'.join(numbered)})[{WS}]+{word}[{WS}]*[-:][{WS}]*", f"^({'|'.join(numbered)})[{WS}]+{word}[{WS}]+", f"^({'|'.join(front)})[{WS}]*[-:][{WS}]*"):
+        v = f"regexp_replace({v}, '{rule}', '', 'i')"
+    return f"regexp_replace(lower({v}), '[^a-z0-9]+', '', 'g')"

@@ -59,6 +59,14 @@ class Book:
     def path(self, href: str) -> str:
         return posixpath.normpath(posixpath.join(posixpath.dirname(self.package), href))
 
+    @classmethod
+    def metadata_of(cls, content: bytes, stem: str) -> dict[str, str | None]:
+        """Metadata of a file, whose stem is the title where the package can't be found."""
+        try:
+            return cls(content, stem).metadata()
+        except (ValueError, KeyError, ET.ParseError, zipfile.BadZipFile):
+            return dict.fromkeys(("author", "publisher", "published_date", "language")) | {"source_title": stem}
+
     def metadata(self) -> dict[str, str | None]:
         node = _local(self.xml, "metadata")
         value = lambda name: next((plain(x.text) or None for x in _children(node, name)[:1]), None) if node is not None else None
