@@ -22,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -175,9 +176,9 @@ ALLOWED = re.compile(
 )
 
 
-def plausible(text: str, base: str = "") -> bool:
-    """Whether all characters that ``base`` has not may come out of a restoration."""
-    return ALLOWED.fullmatch("".join(set(text).difference(base))) is not None
+def plausible(text: str, base: set[str] = frozenset()) -> bool:
+    """Whether all characters that are not among ``base`` may come out of a restoration."""
+    return ALLOWED.fullmatch("".join(set(text) - base)) is not None
 
 
 def undo_utf8(text: str, charset: str) -> str:
@@ -236,6 +237,7 @@ def undo_pairs(text: str, wrong: str, rights: list[str], allowed=lambda changed:
     if not high:
         return
     parts: list[str] = []
+    between: list[str] = []
     raws: list[bytes] = []
     for right in rights:
         reading = _readings(wrong, right)
@@ -247,35 +249,34 @@ def undo_pairs(text: str, wrong: str, rights: list[str], allowed=lambda changed:
         if not parts:
             table, last = byte_map(wrong), 0
             for found in encodable_runs(wrong).finditer(text):
-                parts += [text[last : found.start()], found.group()]
-                raws.append(codecs.charmap_encode(found.group(), "strict", table)[0])
+                between.append(text[last : found.start()])
+                parts.append(found.group())
                 last = found.end()
-            parts.append(text[last:])
-        out = list(parts)
-        for k, read in enumerate(_read_all(raws, right)):
-            if read is not None:
-                out[2 * k + 1] = read
-        if (fixed := "".join(out)) != text:
-            yield right, fixed
+            between.append(text[last:])
+            raws = [codecs.charmap_encode(x, "strict", table)[0] for x in parts]
+        read = _read_all(raws, parts, right, "\n" in text)
+        if read != parts:
+            yield right, "".join(chain.from_iterable(zip(between, read))) + between[-1]
 
 
 _FAILED = "\uf8ff"
 codecs.register_error("recitant-failed", lambda error: (_FAILED, error.end))
 
 
-def _read_all(raws: list[bytes], right: str) -> list[str | None]:
-    """Each of some byte strings read as ``right``; None where it can't be. They are read at one go, parted by line feeds,
-    which no multi-byte character of these sets holds; a string that fails somewhere shows a private mark."""
-    if all(b"\n" not in raw for raw in raws):
+def _read_all(raws: list[bytes], texts: list[str], right: str, lines: bool) -> list[str]:
+    """Each of some byte strings read as ``right``; its text as it is where it can't be. They are read at one go, parted by
+    line feeds, which no multi-byte character of these sets holds (``lines``: whether the strings hold some themselves); a
+    string that fails somewhere shows a private mark."""
+    if not lines:
         read = b"\n".join(raws).decode(right, "recitant-failed").split("\n")
         if len(read) == len(raws):
-            return [None if _FAILED in x else x for x in read]
-    out: list[str | None] = []
-    for raw in raws:
+            return [own if _FAILED in x else x for own, x in zip(texts, read)]
+    out = []
+    for raw, own in zip(raws, texts):
         try:
             out.append(raw.decode(right))
         except UnicodeDecodeError:
-            out.append(None)
+            out.append(own)
     return out
 
 
@@ -334,6 +335,7 @@ class Repairer:
         self.dictionaries = dictionaries
         self.alphabet = frozenset("".join(d.decode("utf-8", "ignore") for d in dictionaries.values())) | frozenset(map(chr, range(32, 127))) | frozenset("\t\r\n")
         self._compressors: dict = {}
+        self._seen: dict[str, tuple[str, str]] = {}  # segments of re-ingested texts come again
 
     def __getstate__(self):
         return self.dictionaries
@@ -362,15 +364,15 @@ class Repairer:
         """Restored text to chain step, for every step whose wrong set has a suspicious character; a step whose set
         has none leaves them all."""
         out: dict[str, str] = {}
-        odd = set(SUSPICIOUS.findall(text))
+        odd, base = set(SUSPICIOUS.findall(text)), set(text)
         fits = lambda charset: not odd.isdisjoint(high_characters(charset))
         for charset in UTF8_READ_AS:
-            if fits(charset) and (fixed := undo_utf8(text, charset)) != text and fixed not in out and plausible(fixed, text):
+            if fits(charset) and (fixed := undo_utf8(text, charset)) != text and fixed not in out and plausible(fixed, base):
                 out[fixed] = f"{charset}>utf-8"
         for charset in WIDE_READ_AS:
-            if (fixed := undo_wide_utf8(text, charset)) != text and fixed not in out and plausible(fixed, text):
+            if (fixed := undo_wide_utf8(text, charset)) != text and fixed not in out and plausible(fixed, base):
                 out[fixed] = f"{charset}>utf-8"
-        times, base, known = Counter(text), set(text), self.alphabet
+        times, known = Counter(text), self.alphabet
         bound = sum(n for c, n in times.items() if c not in known)
 
         def allowed(changed: dict[int, str]) -> bool:
@@ -383,7 +385,7 @@ class Repairer:
             if wrong not in WIDE_READ_AS and not fits(wrong):
                 continue
             for right, fixed in undo_pairs(text, wrong, rights, allowed):
-                if fixed not in out and plausible(fixed, text):
+                if fixed not in out and plausible(fixed, base):
                     out[fixed] = f"{wrong}>{right}"
         return out
 
@@ -399,7 +401,7 @@ class Repairer:
         form, for these come from no decoding. Steps are searched breadth first. Every step of a chain must pay: a
         step is followed by another if it was a UTF-8 step, after which suspicious characters can stay, and if it made the
         description shorter; so the search ends."""
-        best, chain = text, ""
+        best, taken = text, ""
         cost = self.size(text)
         folded = _invisible.sub("", unicodedata.normalize("NFKC", text.translate(_fold)))
         if folded != text:
@@ -418,18 +420,26 @@ class Repairer:
                     steps_now = f"{steps} {step}".strip()
                     now = self.size(fixed) + cost_of(steps_now)
                     if now < cost:
-                        best, cost, chain = fixed, now, steps_now
+                        best, cost, taken = fixed, now, steps_now
                     if now < before and step.endswith("utf-8") and SUSPICIOUS.search(fixed):
                         following.append((now, fixed, steps_now))
             layer = sorted(following)
-        return best, chain
+        return best, taken
+
+    def remembered(self, text: str) -> tuple[str, str]:
+        """``segment``, once for equal segments as long as they are remembered."""
+        if text not in self._seen:
+            if len(self._seen) > 20_000:
+                self._seen.clear()
+            self._seen[text] = self.segment(text)
+        return self._seen[text]
 
     def again(self, text: str, chains: dict[str, int]) -> tuple[str, str] | None:
         """A chain that this text has used, if it leaves the segment clean and pays; else None."""
-        for chain in sorted(chains, key=lambda c: (-chains[c], c)):
-            fixed = undo(text, chain)
-            if fixed != text and not SUSPICIOUS.search(fixed) and plausible(fixed, text) and self.unknown(fixed) == 0 and self.size(fixed) < self.size(text):
-                return fixed, chain
+        for steps in sorted(chains, key=lambda c: (-chains[c], c)):
+            fixed = undo(text, steps)
+            if fixed != text and not SUSPICIOUS.search(fixed) and plausible(fixed, set(text)) and self.unknown(fixed) == 0 and self.size(fixed) < self.size(text):
+                return fixed, steps
         return None
 
     def text(self, text: str) -> tuple[str, list[str]]:
@@ -441,15 +451,15 @@ class Repairer:
         left = []
         for k in range(0, len(parts), 2):
             if parts[k] and SUSPICIOUS.search(parts[k]):
-                parts[k], chain = self.again(parts[k], chains) or self.segment(parts[k])
-                if chain:
-                    chains[chain] = chains.get(chain, 0) + 1
+                parts[k], steps = self.again(parts[k], chains) or self.remembered(parts[k])
+                if steps:
+                    chains[steps] = chains.get(steps, 0) + 1
                 if SUSPICIOUS.search(parts[k]):
                     left.append(k)
         for k in left:  # a chain that this text has paid for costs nothing more
-            for chain in sorted(chains, key=lambda c: (-chains[c], c)):
-                fixed = undo(parts[k], chain)
-                if fixed != parts[k] and plausible(fixed, parts[k]) and len(SUSPICIOUS.findall(fixed)) < len(SUSPICIOUS.findall(parts[k])) and self.size(fixed) <= self.size(parts[k]):
+            for steps in sorted(chains, key=lambda c: (-chains[c], c)):
+                fixed = undo(parts[k], steps)
+                if fixed != parts[k] and plausible(fixed, set(parts[k])) and len(SUSPICIOUS.findall(fixed)) < len(SUSPICIOUS.findall(parts[k])) and self.size(fixed) <= self.size(parts[k]):
                     parts[k] = fixed
                     break
         return "".join(parts), sorted(chains)

@@ -47,6 +47,8 @@ _word = re.compile(
     r"[A-Za-zÀ-ɏḀ-ỿ̀-ͯ]+|[Ѐ-ԯ]+|[Ͱ-Ͽἀ-῿]+|[؀-ۿ]+|[ऀ-ॿ]+|[฀-๿]+|[가-힣]+|[぀-ヿ㐀-䶿一-鿿々]+"
 )
 _ascii_word = re.compile("[A-Za-z]+")
+_latin_word = re.compile("[A-Za-zÀ-ɏḀ-ỿ\u0300-\u036f]+")
+_other_script = re.compile("[Ͱ-ԯἀ-῿؀-ۿऀ-ॿ฀-๿가-힣぀-ヿ㐀-䶿一-鿿々]")
 _kana = re.compile("[぀-ヿ]")
 BLANK_LINE = "\n\n"  # other blank lines may stay inside a paragraph, where the sentence rules see them
 N = len(LANGUAGES)
@@ -232,7 +234,7 @@ def label_words(texts: list[str], model: Model) -> Iterator[tuple[int, np.ndarra
         rows, starts, marks, first, number = array("i"), [0], [], at, model.rows.__getitem__
         while at < len(texts) and (len(rows) < BATCH_WORDS or at == first):
             begins = []
-            find = (_ascii_word if texts[at].isascii() else _word).findall
+            find = (_ascii_word if texts[at].isascii() else _word if _other_script.search(texts[at]) else _latin_word).findall
             for part in texts[at].split(BLANK_LINE):
                 begins.append(len(rows) - starts[-1])
                 rows.extend(map(number, find(part)))
@@ -256,7 +258,7 @@ def confidence(own: np.ndarray) -> float:
 _code = re.compile(r"[<>{}=|\\]|https?://|::|\(\)|\$\S")
 _marked = re.compile(r"\]\(|\]\[|\[\[|\{\{|<[a-z/!]|\\[a-z]")
 #: Code points to a sign of code, and words to a sign of markup, below which a sentence is code or markup.
-CODE_CHARS, MARKUP_WORDS = 60, 10
+CODE_CHARS, MARKUP_WORDS = 20, 6
 _final = re.compile(r"[.!?…。！？।؟۔;;][”’\"'»“«)\]」』]*$")
 
 
