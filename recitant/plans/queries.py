@@ -278,7 +278,8 @@ def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions and nations as a navigation tree of two levels."""
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    r = region.select("r_regionkey", "r_name", F.row_number().over(Window.orderBy("r_regionkey")).alias("at"))
+    listed = region.agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("all"))  # one row an entry at the top
+    r = listed.select(F.posexplode("all").alias("pos", "x")).select("x.r_regionkey", "x.r_name", (F.col("pos") + 1).alias("at"))
     n = nation.join(r, nation.n_regionkey == r.r_regionkey).withColumn("own", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
     top = r.select(F.array("r_name").alias("path"), F.array("at").alias("places"), F.lit(True).alias("has_children"))
     return top.unionByName(n.select(F.array("r_name", "n_name").alias("path"), F.array("at", "own").alias("places"), F.lit(False).alias("has_children")))

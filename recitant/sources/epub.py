@@ -25,9 +25,15 @@ SUFFIXES = [".epub"]
 READABLE = (".xhtml", ".html", ".htm", ".xml")
 
 
+_rules = [(re.compile("\r\n"), "\n"), (re.compile("[ \t]+"), " "), (re.compile("\n{3,}"), "\n\n")]
+
+
 def plain(text: str | None) -> str:
-    text = html.unescape(text or "").replace("\r\n", "\n")
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
+    """Text by the rules of ``functions.text.clean_plain``."""
+    out = html.unescape(text or "")
+    for rule, put in _rules:
+        out = rule.sub(put, out)
+    return out.strip()
 
 
 def _local(node: ET.Element, *names: str) -> ET.Element | None:
@@ -91,33 +97,34 @@ class Book:
             walk(_children(tree, "navPoint"), [], [])
         return rows
 
-    def chapters(self) -> Iterator[dict]:
-        """Readable spine items in order: the contents' title wins over the page's, a later entry for the same
-        file over an earlier one; broken pages and pages without text are passed over."""
+    def spine(self) -> list[str]:
+        """Files of the readable spine items, in order."""
         files = {x.attrib["id"]: self.path(x.attrib["href"]) for x in self.items if {"id", "href"} <= x.attrib.keys()}
-        named = {row["href"]: row for row in self.navigation() if row["href"]}
         spine = _local(self.xml, "spine")
-        for ref in _children(spine, "itemref") if spine is not None else []:
-            path = files.get(ref.attrib.get("idref", ""))
-            if not path or not path.lower().endswith(READABLE):
-                continue
-            try:
-                page = ET.fromstring(self.zip.read(path))
-            except (ET.ParseError, KeyError):
-                continue
-            body = _local(page, "body")
-            text = plain("\n".join(body.itertext())) if body is not None else ""
-            if not text:
-                continue
-            head = _local(body, "h1", "h2")
-            head = head if head is not None else _local(page, "title")
-            stem = posixpath.splitext(posixpath.basename(path))[0]
-            title, group = (plain(" ".join(head.itertext())) if head is not None else stem) or stem, None
-            if entry := named.get(path):
-                title = entry["titles"][-1]
-                levels = [x.strip() for x in (entry["titles"] if entry["has_children"] else entry["titles"][:-1]) if x.strip()]
-                group = GROUP_SEPARATOR.join(levels) or None
-            yield {"title": title, "text": text, "group_path": group}
+        listed = [files.get(x.attrib.get("idref", "")) for x in _children(spine, "itemref")] if spine is not None else []
+        return [x for x in listed if x and x.lower().endswith(READABLE)]
+
+    def page(self, path: str) -> tuple[str, str] | None:
+        """(own title or the file's stem, text) of a page; None for a broken one, one without body or without text."""
+        try:
+            page = ET.fromstring(self.zip.read(path))
+        except (ET.ParseError, KeyError):
+            return None
+        body = _local(page, "body")
+        text = plain("\n".join(body.itertext())) if body is not None else ""
+        heads = (x for x in (_local(body, "h1", "h2"), _local(page, "title")) if x is not None) if text else ()
+        own = next((plain(" ".join(x.itertext())) for x in heads), "")
+        return (own or posixpath.splitext(posixpath.basename(path))[0], text) if text else None
+
+    def chapters(self) -> Iterator[dict]:
+        """Pages of the spine joined with the contents by file: the contents' title and group win over the page's own title,
+        the last entry of a file over earlier ones."""
+        entries = {row["href"]: row for row in self.navigation() if row["href"]}
+        pages = ((path, self.page(path)) for path in self.spine())
+        for path, title, text in ((path, *made) for path, made in pages if made):
+            entry = entries.get(path, {"titles": [title], "has_children": False})
+            above = entry["titles"] if entry["has_children"] else entry["titles"][:-1]
+            yield {"title": entry["titles"][-1], "text": text, "group_path": GROUP_SEPARATOR.join(filter(None, map(str.strip, above))) or None}
 
 
 _book = pa.schema(

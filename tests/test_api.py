@@ -12,13 +12,19 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.md").write_text("# One\nA\n\n# Two\nB", encoding="utf-8")
     (tmp_path / "b.epub").write_bytes(epub.archive("Book", [("P", "x")]))
     (tmp_path / "c.txt").write_text("no")
-    found = api.expand_inputs(spark, [str(tmp_path / "b.epub"), str(tmp_path)]).orderBy("ord").collect()
+    found = api.expand_inputs(spark, [str(tmp_path / "b.epub"), str(tmp_path)]).orderBy("item", "ord").collect()
     assert [r.path.rpartition("/")[2] for r in found] == ["b.epub", "a.md"]
     paths = [str(tmp_path / "a.md"), str(tmp_path / "b.epub")]
     assert api.load_sources(spark, paths).count() == 3
     assert [r.title for r in api.load_sources(spark, paths[:1], api.Options(chapter_index=2)).collect()] == ["Two"]
     with pytest.raises(ValueError):
         api.load_sources(spark, [str(tmp_path / "c.txt")])
+    with pytest.raises(Exception, match="no chapter 3"):
+        api.load_sources(spark, paths[:1], api.Options(chapter_index=3)).collect()
+    with pytest.raises(ValueError):
+        api.Options(heading_level=5)
+    assert [r.title for r in api.load_chapters(spark, paths[0], single_chapter=True).collect()] == ["a"]
+    assert api.source_metadata(b"no zip", "stem")["source_title"] == "stem"
     assert api.supported_suffixes() == [".epub", ".markdown", ".md"] and api.Options().chunk_chars == 450
 
 
@@ -56,3 +62,16 @@ def test_repair(spark):
     roots = spark.createDataFrame([("b", "r1", "01 - The End", 1), ("b", "r2", "The End", 2), ("b", "r3", "Gate", 3), ("b", "r4", "???", 4), ("c", "r5", "Gate", 1)], schema)
     targets = spark.createDataFrame([("b", "t1", "The Old Gate", 1), ("b", "t2", "The End", 2), ("b", "t3", "The End Again", 3)], schema)
     assert sorted(map(tuple, repair.assigned(roots, targets, "book").collect())) == [("b", "r1", "t2"), ("b", "r2", "t3"), ("b", "r3", "t1")]
+
+
+def test_readers_and_environment(spark, tmp_path, monkeypatch):
+    (tmp_path / "n.note").write_text("one line")
+    read = lambda s, paths, options: s.read.text(paths, wholetext=True).selectExpr("_metadata.file_path AS source_path", "1 AS chapter_index", "'Note' AS title", "value AS text", "CAST(NULL AS string) AS group_path")
+    monkeypatch.setattr(api, "READERS", dict(api.READERS))
+    api.register_reader([".note"], read)
+    assert [r.text for r in api.load_sources(spark, [str(tmp_path / "n.note")]).collect()] == ["one line"] and ".note" in api.supported_suffixes()
+    checks = {r["check"]: r.good for r in api.environment(spark).collect()}
+    assert checks["spark"] and checks["shared folder"]
+    assert api.warm_up(lambda t: (np.zeros(len(t)), 10)) > 0 and api.warm_up(lambda t: (np.zeros(1), 1), api.Options(warmup_text=" ")) == 0
+    monkeypatch.setenv("RECITANT_DEBUG", "Yes")
+    assert api.Options().debugging

@@ -91,7 +91,7 @@ def test_long_rows_take_time_in_proportion(spark):
         return time.time() - began
 
     took(10)
-    assert took(6000) < 6  # about 5 million code points
+    assert took(6000) < 20  # about 5 million code points; the square of the length would take minutes
 
 
 def test_sections_and_halves(spark):
