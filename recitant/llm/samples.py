@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,8 +55,21 @@ def labelled(label: Column) -> Column:
     return F.coalesce(F.element_at(table, clean), F.element_at(table, first))
 
 
+#: Files of a table from which the sample is drawn, chosen by the hash of their names.
+SAMPLE_FILES = 64
+_drawn: dict[tuple, dict[str, list[str]]] = {}
+
+
 def training_texts(chapters: DataFrame, sources: DataFrame) -> dict[str, list[str]]:
-    """Texts by labelled language, at most ROWS_PER_LANGUAGE each, chosen by hash among SAMPLE_ROWS."""
+    """Texts by labelled language, at most ROWS_PER_LANGUAGE each, chosen by hash among SAMPLE_ROWS of SAMPLE_FILES files, so that
+    a corpus is not read as a whole for a sample. They are drawn once in a session for the same files."""
+    spark, files = chapters.sparkSession, sorted(chapters.inputFiles())
+    key = (spark.sparkContext.applicationId, tuple(files), tuple(sorted(sources.inputFiles())))
+    if files and key in _drawn:
+        return _drawn[key]
+    if len(files) > SAMPLE_FILES:
+        chosen = sorted(files, key=lambda f: hashlib.md5(f.encode()).digest())[:SAMPLE_FILES]
+        chapters = spark.read.schema(chapters.schema).parquet(*chosen)
     total = chapters.count()  # from the files' footers
     keep = F.pmod(F.xxhash64("chapter_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE_ROWS / max(1, total))) + 1)
     drawn = chapters.where(keep & (F.length("text") > 200)).select("chapter_id", "source_id", "text")
@@ -65,6 +79,8 @@ def training_texts(chapters: DataFrame, sources: DataFrame) -> dict[str, list[st
     out: dict[str, list[str]] = {}
     for lang, text in rows:
         out.setdefault(lang, []).append(text)
+    if files:
+        _drawn[key] = out
     return out
 
 
