@@ -155,6 +155,14 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.decode(p7_ids(spark, sf_dir), "doc_id", "ids")
 
 
+def p7_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the spans of each text's tokens reach, and whether each begins where the one before ends, or within the
+    character that both share."""
+    coded = tokenizing.encode_with_offsets(table(spark, sf_dir, "documents"), "doc_id", "text")
+    joined = F.zip_with(F.slice("starts", F.lit(2), F.greatest(F.size("starts") - 1, F.lit(0))), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))), lambda a, b: (a == b) | (a == b - 1))
+    return coded.select("doc_id", F.when(F.size("ends") > 0, F.element_at("ends", -1)).otherwise(F.lit(0)).cast("long").alias("chars"), (F.forall(joined, lambda x: x) & (F.coalesce(F.get("starts", F.lit(0)), F.lit(0)) == 0)).alias("gapless"))
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -216,6 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_restored": p6_restored,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
+    "p7_offsets": p7_offsets,
     "p8_containers": p8_containers,
     "p8_mixed": p8_mixed,
     "p8_room": p8_room,

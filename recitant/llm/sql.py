@@ -15,6 +15,7 @@ SQL: dict[str, str] = {
             UNION ALL SELECT 'chunks', chunk_id, text, limit_id FROM chunks)
         SELECT DISTINCT rec_table, rec_id, text, true AS within FROM items JOIN size_limits USING (limit_id) WHERE length(text) > max_chars""",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_offsets": "SELECT doc_id, coalesce(length(text), 0) AS chars, true AS gapless FROM documents",
     "p9_stats": rf"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS u FROM documents),
