@@ -675,6 +675,16 @@ def streamed_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.run_to_table(spark, found, "phases", "job_id", "phase_at").select("job_id", "phase")
 
 
+@query(f"""
+    SELECT event_id, job_id, coalesce(last_value({_phase} IGNORE NULLS) OVER w, 'spawn') AS phase, coalesce((epoch_us(logged_at) - lag(epoch_us(logged_at)) OVER w) / 1000000 >
+        CASE WHEN coalesce(last_value({_phase} IGNORE NULLS) OVER (PARTITION BY job_id, worker_name ORDER BY logged_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'spawn') SIMILAR TO 'bootstrap.*|warmup' THEN 20 ELSE 35 END, false) AS silent
+    FROM (SELECT DISTINCT * FROM runner_log) WINDOW w AS (PARTITION BY job_id, worker_name ORDER BY logged_at, event_id ROWS UNBOUNDED PRECEDING)""")
+def streamed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phase of every run after each event, and its silences, by a stateful stream over the log."""
+    found = stream.watched(stream.events(spark, f"{sf_dir}/runner_log.parquet"), 35.0, 20.0, timer=False)
+    return stream.run_appended(spark, found, "runs").where("event_id IS NOT NULL").select("event_id", "job_id", "phase", "silent")
+
+
 # ---- sources and repair
 @query("""
     SELECT DISTINCT lower(regexp_extract(source_path, '(\\.[^./]*)$', 1)) AS suffix, regexp_matches(lower(source_path), '\\.(md|markdown|epub)$') AS supported, count(DISTINCT source_path) AS n_sources FROM sources GROUP BY ALL""".replace("\\\\", "\\"))
