@@ -444,9 +444,15 @@ class Repairer:
 
     def text(self, text: str) -> tuple[str, list[str]]:
         """(restored text, chains used) of a text of any length, segment by segment."""
+        _, parts, chains = self.parts(text)
+        return "".join(parts), chains
+
+    def parts(self, text: str) -> tuple[list[str], list[str], list[str]]:
+        """(segments as they are, restored, chains used) of a text."""
         if text.isascii() or not SUSPICIOUS.search(text):
-            return text, []
+            return [text], [text], []
         parts = _segments.split(text)
+        written = list(parts)
         chains: dict[str, int] = {}
         left = []
         for k in range(0, len(parts), 2):
@@ -462,7 +468,7 @@ class Repairer:
                 if fixed != parts[k] and plausible(fixed, set(parts[k])) and len(SUSPICIOUS.findall(fixed)) < len(SUSPICIOUS.findall(parts[k])) and self.size(fixed) <= self.size(parts[k]):
                     parts[k] = fixed
                     break
-        return "".join(parts), sorted(chains)
+        return written, parts, sorted(chains)
 
 
 def cost_of(chain: str) -> int:

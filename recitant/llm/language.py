@@ -361,16 +361,40 @@ def _restored(texts: list[str | None], repairer: Repairer | None) -> list[str]:
     return [repairer.text(t)[0] if places else t for t, places in zip(plain, suspicious(plain).tolist())] if repairer else plain
 
 
+class Places:
+    """Places in a restored text as places in the text as it is. Within a segment that was restored, a begin is the
+    segment's begin and an end its end; others are the same place."""
+
+    def __init__(self, written: list[str], restored: list[str]):
+        self.changed = [a != b for a, b in zip(written, restored)]
+        self.to = np.concatenate([[0], np.cumsum([len(x) for x in written])])
+        self.from_ = np.concatenate([[0], np.cumsum([len(x) for x in restored])])
+
+    def begin(self, place: int) -> int:
+        k = int(np.searchsorted(self.from_, place, side="right")) - 1
+        return int(self.to[k] + (0 if self.changed[k] else place - self.from_[k]))
+
+    def end(self, place: int) -> int:
+        k = int(np.searchsorted(self.from_, place, side="left")) - 1
+        return int(self.to[k + 1] if self.changed[k] else self.to[k] + place - self.from_[k])
+
+
 def segments(df: DataFrame, key: str, text: str, model: Model, repairer: Repairer | None = None) -> DataFrame:
     """(key, seg_no int, seg_start int, seg_end int, lang, confidence double, n_words int): maximal runs of words in one
-    language, as code-point spans of the text. Texts with garbled places are labelled after restoration, and
-    their spans are those of the restored text."""
+    language, as code-point spans of the text. Garbled sentences are labelled by what they were before; a run that begins or
+    ends within one begins or ends with it."""
     kind = dict(df.dtypes)[key]
     names = [key, "seg_no", "seg_start", "seg_end", "lang", "confidence", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _restored(batch.column(1).to_pylist(), repairer)
+            texts = [one_script_words(t) if t else "" for t in batch.column(1).to_pylist()]
+            places: dict[int, Places] = {}
+            for k, found in enumerate(suspicious(texts).tolist()) if repairer else ():
+                if found:
+                    written, restored, chains = repairer.parts(texts[k])
+                    if chains:
+                        texts[k], places[k] = "".join(restored), Places(written, restored)
             rows: list[tuple] = []
             for k, labels, own, _ in label_words(texts, model):
                 if not len(labels):
@@ -378,7 +402,10 @@ def segments(df: DataFrame, key: str, text: str, model: Model, repairer: Repaire
                 spans = [m.span() for m in _word.finditer(texts[k])]
                 edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
                 for no, (a, b) in enumerate(zip(edges, edges[1:]), 1):
-                    rows.append((k, no, spans[a][0], spans[b - 1][1], LANGUAGES[labels[a]], confidence(own[a:b]), b - a))
+                    begin, end = spans[a][0], spans[b - 1][1]
+                    if k in places:
+                        begin, end = places[k].begin(begin), places[k].end(end)
+                    rows.append((k, no, begin, end, LANGUAGES[labels[a]], confidence(own[a:b]), b - a))
             types = [pa.int32()] * 3 + [pa.string(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([r[0] for r in rows], pa.int32())), *(pa.array([r[c + 1] for r in rows], t) for c, t in enumerate(types))], names

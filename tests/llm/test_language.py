@@ -85,3 +85,14 @@ def test_texts_with_few_suspicious_places_are_restored(model):
     assert 1 <= E.suspicious([garbled])[0] <= 4
     assert L.languages_of([garbled], model) == [{"ru"}]  # what it counts as unrestored
     assert L.languages_of(L._restored([garbled], repairer), model) == [{"el"}]
+
+
+def test_segments_of_garbled_text_lie_in_the_text_as_it_is(spark, model):
+    repairer = E.train({k: [v] * 3 for k, v in TEXT.items()})
+    at = {b: c for c, b in E.byte_of("cp1252").items()}
+    garbled = "".join(at[b] for b in TEXT["ru"].encode("utf-8"))
+    text = f"{TEXT['en']} {garbled} {TEXT['en']}"
+    rows = L.segments(spark.createDataFrame([(1, text)], "k bigint, text string"), "k", "text", model, repairer).orderBy("seg_no").collect()
+    assert [r.lang for r in rows] == ["en", "ru", "en"]
+    assert garbled.rstrip(". ") in text[rows[1].seg_start : rows[1].seg_end] and text[rows[2].seg_start :] == TEXT["en"]
+    assert all(a.seg_end <= b.seg_start for a, b in zip(rows, rows[1:]))
