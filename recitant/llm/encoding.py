@@ -35,6 +35,8 @@ from .samples import LATIN, SCRIPT_CLASS, SCRIPT_OF, clean_sentences
 UTF8_COST, PAIR_COST = 1, 2
 #: Bytes of clean text in the dictionary of one language.
 DICTIONARY_BYTES = 40_000
+#: Code points of the segments that a worker remembers; bounds memory, changes no result.
+REMEMBERED = 4_000_000
 LEVEL = 3
 #: Times that a part of a name is seen, at any number of names, before the dictionary of names takes it.
 NAME_TIMES = 4
@@ -336,6 +338,7 @@ class Repairer:
         self.alphabet = frozenset("".join(d.decode("utf-8", "ignore") for d in dictionaries.values())) | frozenset(map(chr, range(32, 127))) | frozenset("\t\r\n")
         self._compressors: dict = {}
         self._seen: dict[str, tuple[str, str]] = {}  # segments of re-ingested texts come again
+        self._held = 0
 
     def __getstate__(self):
         return self.dictionaries
@@ -429,8 +432,10 @@ class Repairer:
     def remembered(self, text: str) -> tuple[str, str]:
         """``segment``, once for equal segments as long as they are remembered."""
         if text not in self._seen:
-            if len(self._seen) > 20_000:
+            self._held += len(text)
+            if self._held > REMEMBERED:
                 self._seen.clear()
+                self._held = len(text)
             self._seen[text] = self.segment(text)
         return self._seen[text]
 
