@@ -72,6 +72,9 @@ _strange = "".join(chr(c) for a, b in ((0x0370, 0x03FF), (0x0400, 0x045F)) for c
 
 _wide_remains = "繝繧縺蜈譁隱蟷豁螢莠蛻郢驛逕謌锛銆鐨鈥涓鍦鏄浜鎴鍙缁瀛"
 
+# Letters as which quotation marks are read, at the begin or behind the end of what is quoted; signs that stand in no word.
+_read_quotes, _no_letters = "ÆÕÓÔÒöæôòùû", "¿¡•†‡‰"
+
 #: Characters and pairs that running text of no language shows; only what matches is looked at closely. Each
 #: match is one character, found by its class and then judged with what stands before it.
 SUSPICIOUS = re.compile(
@@ -80,7 +83,8 @@ SUSPICIOUS = re.compile(
     "|(?<=[¡-ª¬-º¼-¾][А-я])|(?<=[а-яё][А-Я])|(?<=[α-ώ][Α-Ω])"
     "|(?<=[ÂÃÄÅÎÏÒÓÔÕØÙÑàáâãäåæçèéêëìíîï][¡-ºˆ¼-¾€‚ƒ„†‡ˆ‰Š‹ŒŽ•–—˜™š›žŸ\xad])|(?<=[ÂÃÄÅÎÏÒÓÔÕØÙ][‘’“”…»«œ\xa0])"
     f"|(?<=[À-ÖØ-öø-ÿ]{{3}})|(?<=[a-z][À-ÖØ-Þ])(?=[a-z])|(?<=[A-Za-z][{_strange}])|(?<=[{_strange}])(?=[A-Za-zÀ-ÿ])|(?<=[А-яЁё][°±µ¶·№»])(?=[А-я])"
-    "|(?<=[Α-ώ][¡-·À-ÿ£¥])|(?<=[‚„][Ä-ÿ]))"
+    "|(?<=[Α-ώ][¡-·À-ÿ£¥])|(?<=[‚„][Ä-ÿ])"
+    f"|(?<=[,.!?…][{_read_quotes}])(?![^\\W\\d_])|(?<=(?<![^\\W\\d_])[{_read_quotes}])(?=[A-Z][a-zà-ÿ ])|(?<=[A-Za-zÀ-ÿ][{_no_letters}])(?=[a-zà-ÿ]))"
 )
 
 
@@ -99,7 +103,7 @@ def _pair_tables() -> np.ndarray:
     rules = [
         ("¡-ª¬-º¼-¾", "А-я"), ("а-яё", "А-Я"), ("α-ώ", "Α-Ω"),
         ("ÂÃÄÅÎÏÒÓÔÕØÙÑàáâãäåæçèéêëìíîï", "¡-ºˆ¼-¾€‚ƒ„†‡ˆ‰Š‹ŒŽ•–—˜™š›žŸ\xad"), ("ÂÃÄÅÎÏÒÓÔÕØÙ", "‘’“”…»«œ\xa0"),
-        (letter, letter), ("a-z", "À-ÖØ-Þ"), ("A-Za-z", _strange), (_strange, "A-Za-zÀ-ÿ"), ("А-яЁё", "°±µ¶·№»"), ("Α-ώ", "¡-·À-ÿ£¥"), ("‚„", "Ä-ÿ"),
+        (letter, letter), ("a-z", "À-ÖØ-Þ"), ("A-Za-z", _strange), (_strange, "A-Za-zÀ-ÿ"), ("А-яЁё", "°±µ¶·№»"), ("Α-ώ", "¡-·À-ÿ£¥"), ("‚„", "Ä-ÿ"), (",.!?…", _read_quotes), (_read_quotes, "A-Z"), ("A-Za-zÀ-ÿ", _no_letters),
     ]
     for bit, (a, b) in enumerate(rules):
         first[members(a)] |= 1 << bit
@@ -126,6 +130,7 @@ def suspicious(texts: list[str]) -> np.ndarray:
 BROKEN = re.compile(
     "\ufffd|â€|Ã[\x80-\xbf\xa0©¨ƒ‚„†‡ˆ‰Š‹ŒŽ–—˜™š›žŸ€]|Â[\xa0«»°·¿¡]|à[¤¥¸¹][\x80-\xbf‚-™ ]|ï»¿|Ð[\xa0-¿][ÐÑ]|锟斤拷|ã[€\x81\x82ƒ‚][\x80-¿‚-™]"
     f"|√[©®†Ø§∂∫ºÆ°≠±]|├[│⌐¼®ª│í║▒]|ΓÇ|‚Ä[ôúùò¶ì]|[bdfghjklmnqrtuvwz][{_strange}]|[{_strange}][bdfghjklmnqrtvwz]|[a-z][ÆÕ][st]\\b|[\x80-\x84\x86-\x9f]"
+    f"|[,.!?…][{_read_quotes}](?![^\\W\\d_])|(?<![^\\W\\d_])[{_read_quotes}](?=[A-Z][a-zà-ÿ ])|(?<=[A-Za-zÀ-ÿ])[{_no_letters}](?=[a-zà-ÿ])"
 )
 
 

@@ -81,3 +81,11 @@ def test_every_candidate_is_described(monkeypatch):
     monkeypatch.setattr(REPAIRER, "size", lambda text: described.append(text) or 9)
     REPAIRER.segment("Ã©")
     assert set(found) <= set(described)
+
+
+def test_quotation_marks_read_as_letters_and_signs_in_words():
+    for text in ("ôThe keeper counted a mill. It was old.", "It was a brass promise?Æ her brother replied.", "A na•ve little poem was read."):
+        assert E.SUSPICIOUS.search(text) and E.suspicious([text])[0] and (REPAIRER.text(text)[1] or E.is_broken(text))
+    for text in ("HÔTEL DE LA MER", "Ó senhor, venha cá.", "È VIETATO entrare.", "¿Quién es? ¡Nadie!", "« Ô temps ! » dit-il.", "Dans l’Île, öfter."):
+        assert not E.SUSPICIOUS.search(text)
+    assert E.is_broken_name("S¿ren Quoder") and E.is_broken_name("A•cha Mor") and not E.is_broken_name("Søren Ôte")
