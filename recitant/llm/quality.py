@@ -93,6 +93,18 @@ def word_list(text: str) -> list[str]:
     return [w for w in _words.findall(text) if any(c.isalpha() or unicodedata.category(c)[0] == "N" for c in w)]
 
 
+class Bare(dict):
+    """Token to its small letters without outer signs; a token is looked at once as long as it is remembered."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 200_000:  # bounds memory, changes no result
+            self.clear()
+        made = self[token] = _edges.sub("", token).lower()
+        return made
+
+
+bare_of = Bare().__getitem__
+
 SIZES = range(2, 11)
 #: Words of a run that counts as repeated, a third of a shorter text.
 RUN = 20
@@ -134,12 +146,13 @@ def repetition(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     for k, n in enumerate(counts.tolist()):
         if n >= 12 and len(set(texts[k])) < n:
             by_size.setdefault(min(RUN, n // 3), []).append(k)
-    for n in range(1, RUN + 1):
-        if n > 1:
-            at = at[at + n <= ends[text[at]]]
-            longer = np.zeros_like(code)
-            longer[at] = code[at] * _base + part[at + n - 1]
-            code = longer
+    for n in range(2, RUN + 1):
+        at = at[at + n <= ends[text[at]]]
+        if not len(at):
+            break
+        longer = np.zeros_like(code)
+        longer[at] = code[at] * _base + part[at + n - 1]
+        code = longer
         run, at_ = _repeats(code, at)
         if n in SIZES and len(run):
             first = np.concatenate([[True], run[1:] != run[:-1]])
@@ -276,7 +289,7 @@ def kind_of(text: str, m: Measures) -> str | None:
         return "junk"
     number: Counter[str] = Counter()
     for token, times in Counter(tokens).items():
-        if word := _edges.sub("", token).lower():
+        if word := bare_of(token):
             number[word] += times
     total = sum(number.values())
     if total >= 12:
@@ -285,7 +298,7 @@ def kind_of(text: str, m: Measures) -> str | None:
         if max(number.values()) > 0.4 * total:
             return "junk"
         if len(number) < 0.12 * total:  # no window has more words than the whole, so only then theirs can be few
-            row = [w for w in (_edges.sub("", t).lower() for t in tokens) if w]
+            row = [w for w in map(bare_of, tokens) if w]
             parts = max(1, total // WINDOW)
             edges = [total * k // parts for k in range(parts + 1)]
             if sum(len(set(row[x:y])) for x, y in zip(edges, edges[1:])) < 0.12 * total:
@@ -346,7 +359,7 @@ def _is_entry(line: str, bare: bool) -> bool:
 def measured(texts: list[str], common: frozenset[str] = frozenset()) -> list[Measures]:
     """The statistics of texts; ``common`` are the common words in lower case."""
     c = {k: v.tolist() for k, v in counts(texts).items()}
-    words = [[w for w in (_edges.sub("", w).lower() for w in _words.findall(t)) if w] for t in texts]
+    words = [[w for w in map(bare_of, _words.findall(t)) if w] for t in texts]
     coverage, repeated = repetition(words)
     out = []
     for k, t in enumerate(texts):
