@@ -62,9 +62,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _abbreviations(spark: SparkSession, sf_dir: str) -> frozenset[str]:
-    """Abbreviations that the training sample of the chapters shows."""
-    texts = samples.training_texts(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources"))
-    return sentences.learned_abbreviations(t for own in texts.values() for t in own)
+    """Abbreviations that all chapters show; what a chunk holds is in its chapter."""
+    return sentences.learned_abbreviations_of(table(spark, sf_dir, "chapters"), "chapter_id", "text")
 
 
 def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ Texts of an Arrow batch are laid end to end and cut into blocks of equal length.
 to states, the functions are composed by a parallel prefix scan (doubling), and each block then emits from its true
 start state. A long text can be lexed in windows with halos by many tasks; only letters then meet for the scan.
 
-Abbreviations are those of the lists below and those that collocation statistics over a bounded sample of the texts find:
+Abbreviations are those of the lists below and those that collocation statistics over all chapters find:
 types which are followed by a full stop nearly always, and then mostly by what can't begin a sentence.
 
 Defined results: null, empty and blank texts have no sentence; a paragraph without a closing mark is one
@@ -471,22 +471,85 @@ def sentence_ends(texts: list[str | None], learned: frozenset[str] = frozenset()
 
 
 # ---- abbreviations by collocation
-_stopped = re.compile(r"(?<![^\s(\[“„«\"'‘])([^\W\d_]{2,6})(\.?)(?=(\s+\S)?)(?![\w.])")
+_stopped = re.compile(r"(?<![^\s(\[“„«\"'‘])([^\W\d_]{2,6})(\.?)(?![\w.])")
+#: Code points whose tokens are told apart before they are looked at; bounds memory, changes no result.
+COUNTED_CHARS = 4_000_000
+#: How often an abbreviation is seen, its share with a full stop, and the share of those before what can't begin a sentence.
+STOPPED_TIMES, STOPPED_SHARE, INSIDE_SHARE = 10, 0.9, 0.5
+
+
+class StopCounts:
+    """Of each type of two to six letters: how often it is seen, with a full stop, and with one before a small letter, digit
+    or comma. No match reaches over a blank, so each distinct token is looked at once."""
+
+    def __init__(self):
+        self.whole, self.stopped, self.inside = Counter(), Counter(), Counter()
+        self._tokens, self._followed, self._held = Counter(), Counter(), 0
+
+    def add(self, text: str) -> None:
+        own = text.split()
+        self._tokens.update(own)
+        self._followed.update((t, after[0]) for t, after in zip(own, own[1:]) if t[-1] == ".")
+        self._held += len(text)
+        if self._held > COUNTED_CHARS:
+            self.settle()
+
+    def settle(self) -> None:
+        """Counts the types of the tokens that were added."""
+        for token, n in self._tokens.items():
+            for found in _stopped.finditer(token):
+                word = found[1].lower()
+                self.whole[word] += n
+                if found[2]:
+                    self.stopped[word] += n
+        for (token, following), n in self._followed.items():
+            if following.islower() or following.isdigit() or following in ",;:":
+                for found in _stopped.finditer(token):
+                    if found[2] and found.end() == len(token):
+                        self.inside[found[1].lower()] += n
+        self._tokens, self._followed, self._held = Counter(), Counter(), 0
+
+
+def _learned(counts: Iterable[tuple[str, int, int, int]]) -> frozenset[str]:
+    return frozenset(w for w, whole, n, inside in counts if n >= STOPPED_TIMES and n >= STOPPED_SHARE * whole and inside > INSIDE_SHARE * n and w not in TRAILING and w not in BEFORE_NUMBER)
 
 
 def learned_abbreviations(texts: Iterable[str]) -> frozenset[str]:
-    """Types of two to six letters that a sample shows as abbreviations: seen at least ten times, nine times in ten with a
-    full stop, and after the full stop mostly a small letter, digit or comma. Documented bound: the texts that are given."""
-    whole, stopped, inside = Counter(), Counter(), Counter()
+    """Types of two to six letters that texts show as abbreviations: seen at least ten times, nine times in ten with a
+    full stop, and after the full stop mostly a small letter, digit or comma."""
+    counts = StopCounts()
     for text in texts:
-        for found in _stopped.finditer(text):
-            word = found[1].lower()
-            whole[word] += 1
-            if found[2]:
-                stopped[word] += 1
-                following = (found[3] or "").lstrip()[:1]
-                inside[word] += following.islower() or following.isdigit() or following in ",;:" and bool(following)
-    return frozenset(w for w, n in stopped.items() if n >= 10 and n >= 0.9 * whole[w] and inside[w] > 0.5 * n and w not in TRAILING and w not in BEFORE_NUMBER)
+        counts.add(text)
+    counts.settle()
+    return _learned((w, counts.whole[w], n, counts.inside[w]) for w, n in counts.stopped.items())
+
+
+def learned_abbreviations_of(df: DataFrame, key: str, text: str) -> frozenset[str]:
+    """``learned_abbreviations`` of all rows. Tasks count their own rows, sums of counts are shuffled, and only types that
+    pass are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = StopCounts()
+        for batch in batches:
+            for t in batch.column(1).to_pylist():
+                if t:
+                    counts.add(t)
+            if len(counts.whole) > 200_000:
+                counts.settle()
+                yield counted(counts)
+                counts = StopCounts()
+        counts.settle()
+        yield counted(counts)
+
+    def counted(counts: StopCounts) -> pa.RecordBatch:
+        words = list(counts.whole)
+        columns = [pa.array([c[w] for w in words], pa.int64()) for c in (counts.whole, counts.stopped, counts.inside)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], ["word", "whole", "stopped", "inside"])
+
+    parts = spread(df.select(key, text), key).mapInArrow(run, "word string, whole bigint, stopped bigint, inside bigint")
+    sums = parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("whole", "stopped", "inside")))
+    passed = sums.where((F.col("stopped") >= STOPPED_TIMES) & (F.col("stopped") >= F.lit(STOPPED_SHARE) * F.col("whole")) & (F.col("inside") > F.lit(INSIDE_SHARE) * F.col("stopped")))
+    return _learned(map(tuple, passed.collect()))
 
 
 def sentence_ends_of(df: DataFrame, key: str, text: str, learned: frozenset[str] = frozenset()) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from recitant.llm import queries
 from recitant.llm import sentences as S
 
 CASES = [
@@ -107,3 +108,25 @@ def test_windows_of_long_texts(spark, window, halo):
 def test_very_long_text():
     text = "A word here. " * 20000
     assert len(S.sentence_ends([text])[0]) == 20000
+
+
+def test_abbreviations_are_counted_in_all_chapters(spark, tmp_path):
+    plain, rare = "The lamp is old and it is red. She kept it all the same. " * 5, "He kept vgt. three of them. She kept it vgt. longer. "
+    rows = [(k, 1 + k % 2, plain + rare * (k % 25 == 0)) for k in range(300)] + [(300, None, None), (301, 1, ""), (302, 2, "Kept xq. here. " * 9)]
+    spark.createDataFrame(rows, "chapter_id bigint, source_id bigint, text string").write.parquet(f"{tmp_path}/chapters.parquet")
+    spark.createDataFrame([(1, "en"), (2, None)], "source_id bigint, language_tag string").write.parquet(f"{tmp_path}/sources.parquet")
+    assert queries._abbreviations(spark, str(tmp_path)) == {"vgt"} == S.learned_abbreviations(t for _, _, t in rows if t)
+
+
+def test_settling_changes_no_count(monkeypatch):
+    texts = ["He kept vgt. three, (vgt.) and vgt.\n four. A.b. No.", "vgt. 3 “ca. five”", "no. no.. no"] * 4
+    whole = S.StopCounts()
+    for t in texts:
+        whole.add(t)
+    whole.settle()
+    monkeypatch.setattr(S, "COUNTED_CHARS", 1)
+    parts = S.StopCounts()
+    for t in texts:
+        parts.add(t)
+    assert (parts.whole, parts.stopped, parts.inside) == (whole.whole, whole.stopped, whole.inside)
+    assert (whole.whole["vgt"], whole.stopped["vgt"], whole.inside["vgt"]) == (16, 16, 12)
