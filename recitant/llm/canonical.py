@@ -95,6 +95,10 @@ def plain(text: str) -> str:
     return _edges.sub("\n", _blanks.sub(" ", text)).strip()
 
 
+#: Code points whose tokens are told apart before they are taken apart; bounds memory, changes no result.
+COUNTED_CHARS = 4_000_000
+
+
 class Scripts:
     """Character bigram scores of the three scripts."""
 
@@ -108,18 +112,73 @@ class Scripts:
         return sum(table.get(word[k : k + 2], -9.0) for k in range(len(word) - 1)) / (len(word) - 1)
 
 
-def train(samples: dict[str, list[str]]) -> Scripts:
-    tables = []
-    for languages in (LATIN, ["ru"], ["el"]):
-        grams: Counter[str] = Counter()
-        for lang in languages:
-            for sentence in clean_sentences(samples.get(lang, []), lang, SUSPICIOUS):
-                for w in _token.findall(unicodedata.normalize("NFD", sentence).lower()):
+#: Languages whose clean sentences each script's bigrams are counted in.
+_languages = (LATIN, ["ru"], ["el"])
+_script_of = {lang: s for s, own in enumerate(_languages) for lang in own}
+
+
+class Grams:
+    """Character bigrams of the words of clean sentences, by script. Each distinct token is taken apart once."""
+
+    def __init__(self):
+        self.grams: list[Counter[str]] = [Counter() for _ in range(SCRIPTS)]
+        self._tokens: list[Counter[str]] = [Counter() for _ in range(SCRIPTS)]
+        self._held = 0
+
+    def add(self, lang: str, text: str) -> None:
+        if (script := _script_of.get(lang)) is None:
+            return
+        for sentence in clean_sentences([text], lang, SUSPICIOUS):
+            self._tokens[script].update(sentence.split())
+        self._held += len(text)
+        if self._held > COUNTED_CHARS:
+            self.settle()
+
+    def settle(self) -> None:
+        """Counts the bigrams of the tokens that were added."""
+        for grams, tokens in zip(self.grams, self._tokens):
+            for token, n in tokens.items():
+                for w in _token.findall(unicodedata.normalize("NFD", token).lower()):
                     w = f" {w} "
-                    grams.update(w[k : k + 2] for k in range(len(w) - 1))
-        total = sum(grams.values()) + 1
-        tables.append({g: max(-9.0, math.log(n / total)) for g, n in grams.items()})
-    return Scripts(tables)
+                    for k in range(len(w) - 1):
+                        grams[w[k : k + 2]] += n
+        self._tokens, self._held = [Counter() for _ in range(SCRIPTS)], 0
+
+
+def _scores(grams: list[dict[str, int]]) -> Scripts:
+    totals = [sum(own.values()) + 1 for own in grams]
+    return Scripts([{g: max(-9.0, math.log(n / total)) for g, n in own.items()} for own, total in zip(grams, totals)])
+
+
+def train(texts: dict[str, list[str]]) -> Scripts:
+    counts = Grams()
+    for lang, own in texts.items():
+        for text in own:
+            counts.add(lang, text)
+    counts.settle()
+    return _scores(counts.grams)
+
+
+def train_on(df: DataFrame, key: str, lang: str, text: str) -> Scripts:
+    """``train`` on all rows. Tasks count their own rows and sums of counts are shuffled and collected: at most the square of
+    a script's letters, whatever the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Grams()
+        for batch in batches:
+            for spoken, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if spoken and t:
+                    counts.add(spoken, t)
+        counts.settle()
+        rows = [(s, g, n) for s, own in enumerate(counts.grams) for g, n in own.items()]
+        columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["script", "gram", "n"])
+
+    parts = spread(df.select(key, lang, text), key).mapInArrow(run, "script int, gram string, n bigint")
+    grams: list[dict[str, int]] = [{} for _ in range(SCRIPTS)]
+    for script, gram, n in parts.groupBy("script", "gram").agg(F.sum("n").alias("n")).collect():
+        grams[script][gram] = n
+    return _scores(grams)
 
 
 _class_of = {member: cls for cls in CLASSES for member in cls if member != "."}

@@ -105,7 +105,8 @@ def p4_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> canonical.Scripts:
-    return canonical.train(samples.training_texts(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources")))
+    """Bigram scores from all labelled chapters."""
+    return canonical.train_on(samples.labelled_texts(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources")), "chapter_id", "lang", "text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

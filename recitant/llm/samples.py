@@ -1,4 +1,4 @@
-"""Language labels, and the bounded labelled sample on which the models of this subpackage are trained."""
+"""Language labels, and the labelled texts on which models of this subpackage are trained: all of them, or a bounded sample."""
 
 from __future__ import annotations
 
@@ -84,17 +84,33 @@ def training_texts(chapters: DataFrame, sources: DataFrame) -> dict[str, list[st
     return out
 
 
+def labelled_texts(chapters: DataFrame, sources: DataFrame) -> DataFrame:
+    """(chapter_id, lang, text) of all chapters whose source names its language."""
+    known = sources.select("source_id", labelled(F.col("language_tag")).alias("lang")).where("lang IS NOT NULL")
+    return chapters.where("text IS NOT NULL").join(known, "source_id").select("chapter_id", "lang", "text")
+
+
 _split = re.compile(r"(?<=[.!?…。！？।؟])[\"”’»“«)\]」』]*\s+|[\r\n]+|(?<=[。！？])")
 
 
+#: The same for texts without full-width marks, by the first character of what parts sentences.
+_split_blank = re.compile(r"[\"”’»“«)\]」』\s](?:(?<=[.!?…।؟][\"”’»“«)\]」』])[\"”’»“«)\]」』]*\s+|(?<=[.!?…।؟]\s)\s*|(?<=[\r\n])[\r\n]*)")
+_wide_mark = re.compile("[。！？]")
+_markup = re.compile(r"[<>{}\\|*_#=~`\[\]]")
+_latin_runs = "A-Za-zÀ-ɏ"
+_runs = {lang: re.compile(f"[{SCRIPT_CLASS.get(SCRIPT_OF.get(lang, ''), _latin_runs)}]+") for lang in ("", *LANGUAGES)}
+
+
 def clean_sentences(texts: list[str], lang: str, suspicious: re.Pattern) -> list[str]:
     """Sentences in the script of the language, without signs of markup or of a wrong decoding."""
-    script = SCRIPT_CLASS.get(SCRIPT_OF.get(lang, ""), "A-Za-zÀ-ɏ")
-    own = re.compile(f"[{script}]")
+    own = _runs[lang if lang in SCRIPT_OF else ""]
     out = []
     for text in texts:
-        for sentence in _split.split(text):
-            letters = sum(c.isalpha() for c in sentence)
-            if letters > 12 and len(own.findall(sentence)) >= 0.85 * letters and not suspicious.search(sentence) and not re.search(r"[<>{}\\|*_#=~`\[\]]", sentence):
+        for sentence in (_split if _wide_mark.search(text) else _split_blank).split(text):
+            held = sum(map(len, own.findall(sentence)))
+            if held <= 10 or _markup.search(sentence):  # less than 0.85 of 13 letters
+                continue
+            letters = sum(map(str.isalpha, sentence)) if held <= 12 or not sentence.isascii() else held
+            if letters > 12 and held >= 0.85 * letters and (sentence.isascii() or not suspicious.search(sentence)):
                 out.append(sentence)
     return out

@@ -3,6 +3,7 @@ import unicodedata
 import pytest
 
 from recitant.llm import canonical as C
+from recitant.llm import queries
 
 SCRIPTS = C.train({"en": ["The old ferryman opened the gate near the harbour."], "ru": ["Старый паромщик открыл ворота у гавани."], "el": ["Ο γέρος φύλακας άνοιξε την πόρτα."]})
 SAME = [
@@ -58,3 +59,17 @@ def test_undecided_tokens_are_counted():
 
 def test_letters_follow_bigrams():
     assert C.canonical("ржa gate дом", SCRIPTS).startswith("ржа")
+
+
+def test_bigrams_are_counted_in_all_labelled_chapters(spark, tmp_path, monkeypatch):
+    sources = [(1, "en"), (2, "Русский"), (3, "Ελληνικά"), (4, None)]
+    texts = {1: "The old ferryman opened the gate near the harbour.", 2: "Старый паромщик открыл ворота у гавани.", 3: "Ο γέρος φύλακας άνοιξε την πόρτα."}
+    rows = [(k, 1 + k % 3, texts[1 + k % 3] * 6) for k in range(300)] + [(300 + k, s, "Short " + t) for k, (s, t) in enumerate([(1, "mqzv words here."), (4, "xqjw words there.")])] + [(400, 1, None), (401, 1, "")]
+    spark.createDataFrame(rows, "chapter_id bigint, source_id bigint, text string").write.parquet(f"{tmp_path}/chapters.parquet")
+    spark.createDataFrame(sources, "source_id bigint, language_tag string").write.parquet(f"{tmp_path}/sources.parquet")
+    got = queries._scripts(spark, str(tmp_path)).tables
+    assert "qz" in got[0] and "xq" not in got[0]
+    whole = {C.LATIN[0]: [t for _, s, t in rows if s == 1 and t], "ru": [t for _, s, t in rows if s == 2], "el": [t for _, s, t in rows if s == 3]}
+    assert got == C.train(whole).tables
+    monkeypatch.setattr(C, "COUNTED_CHARS", 1)
+    assert got == C.train(whole).tables
