@@ -4,8 +4,9 @@ A decoding chain is a list of steps (wrong, right): the text was read as ``wrong
 ``right``. A segment (sentence or line) with suspicious characters gets every chain whose steps its
 characters allow; each candidate is compressed by zstandard with the dictionary of each language of its
 script, and the chain of minimum description length is taken: compressed bytes plus the code of each step.
-No chain at all costs nothing, so a text is left as it is unless a decoding pays. Dictionaries are clean
-sentences of a bounded, labelled sample (samples.py).
+No chain at all costs nothing, so a text is left as it is unless a decoding pays. A dictionary holds the
+commonest pairs of words (windows of characters where no blanks part words) of the clean sentences of all texts with the label
+of its language, as many as fit, laid end to end where they overlap (``train_on``).
 
 UTF-8 read as a single-byte set is undone inside a segment for each maximal valid byte sequence, so that
 places inside intact text are found; the other chains take each maximal run that the wrong set can encode.
@@ -19,14 +20,16 @@ from __future__ import annotations
 import codecs
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..tables import spread
 from .samples import LATIN, SCRIPT_CLASS, SCRIPT_OF, clean_sentences
@@ -35,6 +38,10 @@ from .samples import LATIN, SCRIPT_CLASS, SCRIPT_OF, clean_sentences
 UTF8_COST, PAIR_COST = 1, 2
 #: Bytes of clean text in the dictionary of one language.
 DICTIONARY_BYTES = 40_000
+#: Languages that part words by no blanks, and the characters of a piece in them; elsewhere a piece is a pair of words.
+SOLID, PIECE_CHARS = ("zh", "ja", "th"), 3
+#: Words or characters that a task holds before it hands counts on; bounds memory, changes no result.
+COUNTED_UNITS = 1_000_000
 #: Code points of the segments that a worker remembers; bounds memory, changes no result.
 REMEMBERED = 4_000_000
 LEVEL = 3
@@ -517,17 +524,149 @@ def train(samples: dict[str, list[str]]) -> Repairer:
     return Repairer(dictionaries)
 
 
-def train_names(names: list[str]) -> Repairer:
-    """A dictionary of the parts of names that occur often enough not to be garbled themselves."""
-    count: dict[str, int] = {}
-    for name in names:
+class Pieces:
+    """Counts of the pieces of clean sentences, by language. Units (words or characters) are numbered as they come."""
+
+    def __init__(self):
+        self._units: dict[str, array] = {}
+        self._numbers: dict[str, dict[str, int]] = {}
+        self.held = 0
+
+    def add(self, lang: str, text: str) -> None:
+        if lang not in self._units:
+            self._units[lang], self._numbers[lang] = array("q"), defaultdict(count(1).__next__)  # 0 parts sentences
+        own, number = self._units[lang], self._numbers[lang].__getitem__
+        before = len(own)
+        for sentence in clean_sentences([text], lang, SUSPICIOUS):
+            own.extend(map(number, sentence if lang in SOLID else sentence.split()))
+            own.append(0)
+        self.held += len(own) - before
+
+    def counts(self) -> Iterator[tuple[str, list[str], np.ndarray]]:
+        """(language, pieces, how often each is seen)."""
+        for lang, units in self._units.items():
+            width, names = PIECE_CHARS if lang in SOLID else 2, ["", *self._numbers[lang]]
+            ids, bits = np.array(units, dtype=np.int64), len(names).bit_length()
+            columns = [ids[k : len(ids) - width + 1 + k] for k in range(width)] if len(ids) >= width else []
+            if not columns:
+                continue
+            code, whole = np.zeros(len(columns[0]), dtype=np.int64), np.ones(len(columns[0]), dtype=bool)
+            for column in columns:
+                code = code << bits | column
+                whole &= column > 0
+            kinds, times = np.unique(code[whole], return_counts=True)
+            parts = [map(names.__getitem__, (kinds >> bits * (width - 1 - k) & (1 << bits) - 1).tolist()) for k in range(width)]
+            yield lang, list(map(("" if lang in SOLID else " ").join, zip(*parts))), times
+
+
+def joined(pieces: list[tuple[str, ...]], blank: str) -> bytes:
+    """Pieces, the commonest first, as one text with the common ones last. Each is there once: behind a piece comes the
+    commonest one left that begins with its end."""
+    following, at = defaultdict(list), Counter()
+    for p in pieces:
+        following[p[:-1]].append(p)
+    used: set[tuple[str, ...]] = set()
+    out = []
+    for p in pieces:
+        if p in used:
+            continue
+        used.add(p)
+        units, end = list(p), p[1:]
+        while True:
+            own = following.get(end, ())
+            while at[end] < len(own) and own[at[end]] in used:
+                at[end] += 1
+            if at[end] == len(own):
+                break
+            after = own[at[end]]
+            used.add(after)
+            units.append(after[-1])
+            end = after[1:]
+        out.append(blank.join(units))
+    return blank.join(reversed(out)).encode()
+
+
+def dictionary(pieces: list[tuple[str, ...]], blank: str) -> bytes:
+    """``joined`` of as many of the commonest pieces as fit into DICTIONARY_BYTES, by bisection."""
+    best, low, high = b"", 0, len(pieces)
+    while low < high:
+        middle = (low + high + 1) // 2
+        content = joined(pieces[:middle], blank)
+        if len(content) <= DICTIONARY_BYTES:
+            best, low = content, middle
+        else:
+            high = middle - 1
+    return best
+
+
+def train_on(df: DataFrame, key: str, lang: str, text: str) -> Repairer:
+    """Dictionaries from all rows. Tasks count the pieces of their own rows, sums are shuffled, and of each language the commonest
+    are collected, as many as could fit: a piece brings at least its last word or character."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Pieces()
+        for batch in batches:
+            for spoken, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if spoken and t:
+                    seen.add(spoken, t)
+                if seen.held > COUNTED_UNITS:
+                    yield from counted(seen)
+                    seen = Pieces()
+        yield from counted(seen)
+
+    def counted(seen: Pieces) -> Iterator[pa.RecordBatch]:
+        for spoken, pieces, times in seen.counts():
+            yield pa.RecordBatch.from_arrays([pa.array([spoken] * len(pieces), pa.string()), pa.array(pieces, pa.string()), pa.array(times, pa.int64())], ["lang", "piece", "n"])
+
+    parts = spread(df.select(key, lang, text), key).mapInArrow(run, "lang string, piece string, n bigint")
+    brings = F.when(F.col("lang").isin(*SOLID), F.octet_length(F.expr("right(piece, 1)"))).otherwise(F.octet_length(F.substring_index("piece", " ", -1)) + 1)
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "piece")
+    common = parts.groupBy("lang", "piece").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= DICTIONARY_BYTES)
+    fitting = common.withColumn("bytes", F.sum(brings).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("bytes") <= DICTIONARY_BYTES + 1)
+    ranked: dict[str, list[tuple[int, str]]] = {}
+    for spoken, piece, rank in fitting.select("lang", "piece", "rank").collect():
+        ranked.setdefault(spoken, []).append((rank, piece))
+    dictionaries = {}
+    for spoken, own in sorted(ranked.items()):
+        pieces = [tuple(p) if spoken in SOLID else tuple(p.split(" ")) for _, p in sorted(own)]
+        if content := dictionary(pieces, "" if spoken in SOLID else " "):
+            dictionaries[spoken] = content
+    return Repairer(dictionaries)
+
+
+def name_parts(names: Iterable[tuple[str, int]]) -> Counter[str]:
+    """How often each part of (name, times) is seen in names that are not garbled as far as their signs tell."""
+    parts: Counter[str] = Counter()
+    for name, n in names:
         if not BROKEN.search(name) and all(undo_utf8(name, c) == name for c in UTF8_READ_AS) and plausible(name):
             for part in name.split():
-                count[part] = count.get(part, 0) + 1
-    known = sorted((n, part) for part, n in count.items() if n >= NAME_TIMES)
+                parts[part] += n
+    return parts
+
+
+def _of_parts(parts: Iterable[tuple[str, int]]) -> Repairer:
+    known = sorted((n, part) for part, n in parts if n >= NAME_TIMES)
     return Repairer({"en": last_bytes(" ".join(part for _, part in known).encode())} if known else {})
 
 
+def train_names(names: list[str]) -> Repairer:
+    """A dictionary of the parts of names that occur often enough not to be garbled themselves."""
+    return _of_parts(name_parts(Counter(names).items()).items())
+
+
+def train_names_on(df: DataFrame, key: str, name: str) -> Repairer:
+    """``train_names`` on all rows; the commonest parts are collected, no more than fit into the dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = name_parts(Counter(x for x in batch.column(1).to_pylist() if x).items())
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["part", "n"])
+
+    parts = spread(df.select(key, name), key).mapInArrow(run, "part string, n bigint")
+    known = parts.groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") >= NAME_TIMES)
+    return _of_parts(map(tuple, known.orderBy(F.desc("n"), F.desc("part")).limit(DICTIONARY_BYTES // 2 + 1).collect()))
+
+
 #: Letters of names that elsewhere would be suspicious.
 _name_letters = re.compile(r"\bŠ|[ěĚńćğ]|(?<=[A-ZÀ-ÞŁŞĞŠ])[ŃĆĞŘŠŽĐ]")
 

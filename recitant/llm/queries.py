@@ -118,20 +118,20 @@ def p5_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, sf_dir, "chapters"), ["chapter_id"], ["title", "text"], _scripts(spark, sf_dir))
 
 
-#: Authors from which the dictionary of names is made.
-AUTHOR_ROWS = 20_000
+def _text_repairer(spark: SparkSession, sf_dir: str) -> encoding.Repairer:
+    """Dictionaries from all labelled chapters."""
+    return encoding.train_on(samples.labelled_texts(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources")), "chapter_id", "lang", "text")
 
 
-def _text_repairer(spark: SparkSession, sf_dir: str) -> encoding.Repairer:
-    return encoding.train(samples.training_texts(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "sources")))
+def _name_repairer(spark: SparkSession, sf_dir: str) -> encoding.Repairer:
+    """A dictionary from all authors."""
+    return encoding.train_names_on(table(spark, sf_dir, "sources"), "source_id", "author")
 
 
 def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_table, rec_id, restored, chains, garbled) of chapters' texts and sources' authors."""
     chapters = encoding.repair(table(spark, sf_dir, "chapters"), ["chapter_id"], "text", _text_repairer(spark, sf_dir))
-    sources = table(spark, sf_dir, "sources")
-    drawn = sources.where("author IS NOT NULL").orderBy(F.xxhash64("source_id"), "source_id").limit(AUTHOR_ROWS).select("author").collect()
-    authors = encoding.repair(sources, ["source_id"], "author", encoding.train_names([r[0] for r in drawn]), encoding.is_broken_name)
+    authors = encoding.repair(table(spark, sf_dir, "sources"), ["source_id"], "author", _name_repairer(spark, sf_dir), encoding.is_broken_name)
     return chapters.select(F.lit("chapters").alias("rec_table"), F.col("chapter_id").alias("rec_id"), "restored", "chains", "garbled").unionByName(
         authors.select(F.lit("sources").alias("rec_table"), F.col("source_id").alias("rec_id"), "restored", "chains", "garbled")
     )

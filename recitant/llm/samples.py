@@ -97,6 +97,7 @@ _split = re.compile(r"(?<=[.!?…。！？।؟])[\"”’»“«)\]」』]*\s+|
 _split_blank = re.compile(r"[\"”’»“«)\]」』\s](?:(?<=[.!?…।؟][\"”’»“«)\]」』])[\"”’»“«)\]」』]*\s+|(?<=[.!?…।؟]\s)\s*|(?<=[\r\n])[\r\n]*)")
 _wide_mark = re.compile("[。！？]")
 _markup = re.compile(r"[<>{}\\|*_#=~`\[\]]")
+_no_letters = bytes(c for c in range(128) if not chr(c).isalpha())
 _latin_runs = "A-Za-zÀ-ɏ"
 _runs = {lang: re.compile(f"[{SCRIPT_CLASS.get(SCRIPT_OF.get(lang, ''), _latin_runs)}]+") for lang in ("", *LANGUAGES)}
 
@@ -107,10 +108,11 @@ def clean_sentences(texts: list[str], lang: str, suspicious: re.Pattern) -> list
     out = []
     for text in texts:
         for sentence in (_split if _wide_mark.search(text) else _split_blank).split(text):
-            held = sum(map(len, own.findall(sentence)))
+            plain = sentence.isascii()
+            held = (0 if lang in SCRIPT_OF else len(sentence.encode().translate(None, _no_letters))) if plain else sum(map(len, own.findall(sentence)))
             if held <= 10 or _markup.search(sentence):  # less than 0.85 of 13 letters
                 continue
-            letters = sum(map(str.isalpha, sentence)) if held <= 12 or not sentence.isascii() else held
-            if letters > 12 and held >= 0.85 * letters and (sentence.isascii() or not suspicious.search(sentence)):
+            letters = held if plain else sum(map(str.isalpha, sentence))
+            if letters > 12 and held >= 0.85 * letters and (plain or not suspicious.search(sentence)):
                 out.append(sentence)
     return out

@@ -1,6 +1,7 @@
 import pytest
 
 from recitant.llm import encoding as E
+from recitant.llm import queries
 from tests.llm.test_language import TEXT
 
 MORE = {k: [v] * 3 for k, v in TEXT.items()}
@@ -89,3 +90,34 @@ def test_quotation_marks_read_as_letters_and_signs_in_words():
     for text in ("HÔTEL DE LA MER", "Ó senhor, venha cá.", "È VIETATO entrare.", "¿Quién es? ¡Nadie!", "« Ô temps ! » dit-il.", "Dans l’Île, öfter."):
         assert not E.SUSPICIOUS.search(text)
     assert E.is_broken_name("S¿ren Quoder") and E.is_broken_name("A•cha Mor") and not E.is_broken_name("Søren Ôte")
+
+
+def test_dictionaries_hold_pieces_of_all_labelled_chapters(spark, tmp_path, monkeypatch):
+    letters = "abcdefghijklmnopqrst"
+    own = [f"{a}{b}omber" for a in letters for b in letters[:15]]
+    rows = [(k, 1, f"The old {w} lamp was under the stairs. " * 6) for k, w in enumerate(own)] + [(1000, 2, TEXT["ja"]), (1001, 2, None), (1002, 3, "Nobody labelled this qqomber lamp at all."), (1003, 1, "")]
+    spark.createDataFrame(rows, "chapter_id bigint, source_id bigint, text string").write.parquet(f"{tmp_path}/chapters.parquet")
+    spark.createDataFrame([(1, "English"), (2, "ja"), (3, "und")], "source_id bigint, language_tag string").write.parquet(f"{tmp_path}/sources.parquet")
+    got = queries._text_repairer(spark, str(tmp_path)).dictionaries
+    text = got["en"].decode()
+    assert sorted(got) == ["en", "ja"] and all(f"old {w}" in text and f"{w} lamp" in text for w in own) and "qqomber" not in text
+    assert all(TEXT["ja"][k : k + 3] in got["ja"].decode() for k in range(len(TEXT["ja"]) - 2))
+    monkeypatch.setattr(E, "COUNTED_UNITS", 1)
+    assert queries._text_repairer(spark, str(tmp_path)).dictionaries == got
+    monkeypatch.setattr(E, "DICTIONARY_BYTES", 60)
+    for lang, small in queries._text_repairer(spark, str(tmp_path)).dictionaries.items():
+        assert 30 < len(small) <= 60 and (lang == "ja" or "under the stairs." in small.decode())
+
+
+def test_pieces_are_joined_where_they_overlap():
+    assert E.joined([("b", "c"), ("a", "b"), ("c", "d"), ("x", "y"), ("c", "b")], " ") == b"c b x y a b b c d"
+    assert E.joined([tuple("abc"), tuple("bcd"), tuple("cda")], "") == b"abcda" and E.dictionary([], " ") == b""
+
+
+def test_names_are_learnt_from_all_authors(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    author = F.when(F.col("id") % 15000 == 7, "Renée Pel").when(F.col("id") % 20000 == 7, "Søren Lor").otherwise("Ann Bel")
+    spark.range(60000).select(F.col("id").alias("source_id"), author.alias("author")).write.parquet(f"{tmp_path}/sources.parquet")
+    got = queries._name_repairer(spark, str(tmp_path))
+    assert got.dictionaries == E.train_names(["Renée Pel"] * 4 + ["Søren Lor"] * 2 + ["Ann Bel"] * 59994).dictionaries and "é" in got.alphabet and "ø" not in got.alphabet
