@@ -174,12 +174,17 @@ def synthesize(voice: Synthesis, text: str) -> tuple[np.ndarray, int]:
 
 def rendered(chunks: DataFrame, keys: list[str], text: str, voice: Synthesis = stub, unique: bool = False) -> DataFrame:
     """(*keys, n_samples long, sample_rate int): runs the voice over Arrow batches and keeps the lengths; a
-    null text gives none. With ``unique`` a chunk delivered twice is spoken once."""
+    null text gives none. With ``unique`` a chunk delivered twice is spoken once. The samples of one text go before the
+    next is spoken, so a worker holds one text's sound and not a batch's."""
     kinds, width = dict(chunks.dtypes), len(keys)
 
+    def measured(said: str | None) -> tuple[int, int]:
+        samples, rate = synthesize(voice, said) if said else (np.zeros(0), RATE)
+        return len(samples), rate
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [synthesize(voice, t) if t else (np.zeros(0), RATE) for t in batch.column(width).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(width)), pa.array([len(x) for x, _ in made], pa.int64()), pa.array([r for _, r in made], pa.int32())], [*keys, "n_samples", "sample_rate"])
+            made = [measured(t) for t in batch.column(width).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(width)), pa.array([n for n, _ in made], pa.int64()), pa.array([r for _, r in made], pa.int32())], [*keys, "n_samples", "sample_rate"])
 
     return spread(chunks.select(*keys, text), *keys, unique=unique).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_samples long, sample_rate int")

@@ -1,4 +1,5 @@
 import random
+import weakref
 
 import numpy as np
 import pytest
@@ -156,6 +157,21 @@ def test_sound(spark):
     assert [(r.n_samples, r.sample_rate) for r in made] == [(4800, 24000), (0, 24000)]
 
 
+def test_rendered_holds_one_text(spark):
+    """Before a text is spoken, the samples of all texts before it are gone, within a batch as well."""
+    spoken = []
+
+    def voice(said):
+        assert not any(samples() is not None for samples in spoken), "samples of an earlier text are held"
+        samples = np.zeros(len(said), dtype=np.float32)
+        spoken.append(weakref.ref(samples))
+        return samples, 10
+
+    df = spark.createDataFrame([(k, "x" * k) for k in range(1, 101)], "k int, t string")
+    for unique in (False, True):
+        assert sorted(tuple(r) for r in render.rendered(df, ["k"], "t", voice, unique=unique).collect()) == [(k, k, 10) for k in range(1, 101)]
+
+
 def test_groups(spark):
     rows = [(1, 1, 1, "Book / A"), (2, 1, 2, "Book / B"), (3, 1, 3, "Other"), (4, 1, 4, "Book / A"), (5, 1, 5, None)]
     df = spark.createDataFrame(rows, "chapter_id bigint, source_id bigint, chapter_index int, group_path string").withColumn("text", F.lit("x"))
